@@ -40,8 +40,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 A
 FROM f
 """
 
+OP2 = r"""
+WITH RECURSIVE page AS (
+  SELECT row_number() OVER () AS rid, page_id, url, html FROM pages
+), tag AS (
+  SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS a,
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS b
+  FROM page WHERE url IS NOT NULL AND html IS NOT NULL
+), target AS (
+  SELECT url, trim(regexp_extract(a, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))', 1)
+    || regexp_extract(a, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))', 2)
+    || regexp_extract(a, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))', 3)) AS t FROM tag
+  UNION ALL
+  SELECT url, trim(regexp_extract(b, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)) FROM tag
+), link AS (
+  SELECT url AS u, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN t
+    WHEN starts_with(t, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || t
+    ELSE rtrim(regexp_extract(url, '^([^/]*//[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || t END AS v
+  FROM (SELECT url, replace(t, '&amp;', '&') AS t FROM target WHERE t <> '')
+), keyed AS (
+  SELECT url, lower(regexp_extract(k, '^([^:/?#]*://[^/?#]*)', 1)) || substr(k, length(regexp_extract(k, '^([^:/?#]*://[^/?#]*)', 1)) + 1) AS k
+  FROM (SELECT url, split_part(url, '#', 1) AS k FROM (SELECT url FROM page WHERE url IS NOT NULL UNION SELECT u FROM link UNION SELECT v FROM link))
+), arc AS (
+  SELECT a.k AS u, b.k AS v FROM link JOIN keyed a ON a.url = link.u JOIN keyed b ON b.url = link.v
+), reach AS (
+  SELECT u, v FROM (SELECT u, v FROM arc UNION SELECT v, u FROM arc)
+  UNION
+  SELECT r.u, s.v FROM reach r JOIN (SELECT u, v FROM arc UNION SELECT v, u FROM arc) s ON s.u = r.v
+), part AS (
+  SELECT rid, page_id, url,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) ELSE '' END AS path
+  FROM (SELECT rid, page_id, url FROM page UNION ALL SELECT NULL, NULL, k FROM (SELECT u AS k FROM arc UNION SELECT v FROM arc))
+), rule(action, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), own AS (
+  SELECT p.rid, p.page_id, p.url, p.host, p.path,
+    (SELECT max_by(rhost || rpath, length(rhost || rpath)) FROM rule WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS rule,
+    (SELECT max_by(action, length(rhost || rpath)) FROM rule WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS action
+  FROM part p
+), grp AS (
+  SELECT reach.u AS k, bool_or(own.action = 'allow') AS allowed, bool_or(own.action = 'block') AS blocked
+  FROM reach JOIN own ON own.rid IS NULL AND own.url = reach.v GROUP BY reach.u
+)
+SELECT own.page_id, own.host, own.path, own.rule,
+  coalesce(own.action, CASE WHEN grp.allowed THEN 'allow' WHEN grp.blocked THEN 'block' END, 'allow') AS verdict
+FROM own LEFT JOIN keyed ON keyed.url = own.url LEFT JOIN grp ON grp.k = keyed.k
+WHERE own.rid IS NOT NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filters": OP2,
         "op10_quality_rules": OP10,
     }
