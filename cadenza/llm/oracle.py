@@ -90,9 +90,38 @@ FROM own LEFT JOIN keyed ON keyed.url = own.url LEFT JOIN grp ON grp.k = keyed.k
 WHERE own.rid IS NOT NULL
 """
 
+OP9 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL
+), p AS (
+  SELECT DISTINCT item, ws[i:i + least(len(ws), 10) - 1] AS pat, least(len(ws), 10) AS m
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)
+), size AS (
+  SELECT DISTINCT m FROM p
+), win AS (
+  SELECT rid, i, m, ws[i:i + m - 1] AS pat FROM (SELECT rid, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, size)
+), hit AS (
+  SELECT win.rid, win.i, win.m, p.item FROM win JOIN p ON p.m = win.m AND p.pat = win.pat
+), covered AS (
+  SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + m)) AS j FROM hit) GROUP BY rid
+), named AS (
+  SELECT rid, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY rid
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(named.items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_decontaminate": OP9,
         "op2_url_filters": OP2,
         "op10_quality_rules": OP10,
     }
