@@ -118,9 +118,33 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
+OP4 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), w AS (
+  SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS pat
+  FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)
+), early AS (
+  SELECT rid, i, doc_id > min(doc_id) OVER (PARTITION BY pat) AS gone FROM w
+), covered AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 13)) AS j FROM early WHERE gone
+), c AS (
+  SELECT rid, list(j) AS js FROM covered GROUP BY rid
+), words AS (
+  SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d
+), kept AS (
+  SELECT words.rid, string_agg(word, ' ' ORDER BY words.j) AS t FROM words LEFT JOIN covered ON covered.rid = words.rid AND covered.j = words.j
+  WHERE covered.rid IS NULL GROUP BY words.rid
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(c.js), 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_substring_dedup": OP4,
         "op9_decontaminate": OP9,
         "op2_url_filters": OP2,
         "op10_quality_rules": OP10,
