@@ -24,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,16 +88,18 @@ def _member(text: np.ndarray, key: np.ndarray, lists: pa.ListArray, row: int, un
 
 
 def _keys(window: int, anchor: int):
-    """(anchor, whole, doc) of the windows around the seeds of (doc, text, seeds), each once per document."""
+    """(anchor, whole, doc) of the windows around the seeds of each document that is no copy, each once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, until, data, bounds in chunks(batch.column(1)):
+            seeds = batch.column("_seeds")
+            batch = batch.filter(pc.and_(seeds.is_valid(), pc.invert(batch.column("_copy"))))
+            ids, seeds = batch.column("_doc").to_numpy(zero_copy_only=False), batch.column("_seeds")
+            for row, until, data, bounds in chunks(batch.column("_text")):
                 words = Words(data, bounds)
                 at, chosen, whole = _windows(words, window, anchor)
                 text = np.searchsorted(words.first, at, "right") - 1
-                hit = _member(text, chosen, batch.column(2), row, until)
+                hit = _member(text, chosen, seeds, row, until)
                 text, chosen, whole = text[hit], chosen[hit], whole[hit]
                 order = np.lexsort((whole, text))
                 text, chosen, whole = text[order], chosen[order], whole[order]
@@ -116,7 +119,7 @@ def _cut(window: int, anchor: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            rest = [c for c in names if c not in ("_text", "_seeds", "_firsts", "_copy")]
+            rest = [c for c in names if c not in ("_doc", "_text", "_seeds", "_firsts", "_copy")]
             seeds, firsts = batch.column(names.index("_seeds")), batch.column(names.index("_firsts"))
             copies = batch.column(names.index("_copy")).to_numpy(zero_copy_only=False).astype(bool)
             n_words, n_removed, runs, n_runs, digests, kept = [], [], [], [], [], []
@@ -187,14 +190,14 @@ def remove_repeats(
     joined = named.join(seeds, "_doc", "left").join(firsts_of_text, "_doc", "left")
     joined = joined.withColumn("_copy", F.col("_whole").isNull() & F.col("_doc").isNotNull()).drop("_whole")
 
-    windows = joined.where("_seeds IS NOT NULL AND NOT _copy").select("_doc", "_text", "_seeds")
-    keys = windows.mapInArrow(_keys(window, anchor), "anchor bigint, whole bigint, doc bigint")
+    # both readers of `joined` take all its columns and rows, so that the texts are shuffled once
+    keys = joined.mapInArrow(_keys(window, anchor), "anchor bigint, whole bigint, doc bigint")
     earliest = keys.groupBy("anchor", "whole").agg(F.min("doc").alias("_doc"))
     firsts = earliest.mapInArrow(_folded, "_doc bigint, key bigint").groupBy("_doc").agg(F.collect_list("key").alias("_firsts"))
 
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in rest) + "_n_words bigint, _n_removed bigint, _removed_runs array<int>, _kept_sha256 string"
-    whole = joined.join(firsts, "_doc", "left").select(*rest, "_text", "_seeds", "_firsts", "_copy")
+    whole = joined.join(firsts, "_doc", "left").select(*rest, "_doc", "_text", "_seeds", "_firsts", "_copy")
     out = whole.mapInArrow(_cut(window, anchor, with_text), schema + ", _kept_text string" * with_text)
     return out.withColumnsRenamed({f"_{c}": c for c in added})
 
