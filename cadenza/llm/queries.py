@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, decontaminate, quality_rules, substring_dedup, url_filters
+from cadenza.llm import byte_bpe, decontaminate, language_id, quality_rules, substring_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    found = language_id.identify(docs, ~F.col("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -46,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filters": op2_url_filters,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_language_id": op5_language_id,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_rules": op10_quality_rules,
