@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.scratch import materialize
+from cadenza.llm.scratch import broadcast_if_small, materialize
 
 SPACE = " \t\n\x0b\f\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -129,6 +129,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
     measured = measure(docs, text).drop(text).withColumns(flags(**rules))
     measured = materialize(measured, "quality")
     bad = host_verdicts(measured, host, max_rate).where("host_rejected").select("_host", "host_rejected")
+    bad = broadcast_if_small(bad)
     joined = measured.join(bad, measured[host] == bad["_host"], "left").drop("_host")
     return (
         joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
@@ -143,5 +144,6 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_rat
     columns = docs.columns
     measured = materialize(measure(docs, text).withColumns(flags(**rules)), "quality-rows")
     bad = host_verdicts(measured, host, max_rate).where("host_rejected").select("_host")
+    bad = broadcast_if_small(bad)
     passed = measured.where(~F.col("fails_base"))
     return passed.join(bad, passed[host] == bad["_host"], "left_anti").select(*columns)

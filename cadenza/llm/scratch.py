@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -42,3 +43,8 @@ def discard(df: DataFrame) -> None:
 def n_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """`df` marked for a broadcast if it has at most `most` rows (counted), else `df` for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
