@@ -116,6 +116,27 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = until
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every span."""
+    forward, backward = _powers(_ODD, len(data) + 1)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE_CODE[data] * forward[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * backward[start] + (end - start).astype(U64))
+
+
+class Sums:
+    """Prefix sums of a sequence of codes, for hashes of its parts."""
+
+    def __init__(self, codes: np.ndarray):
+        forward, self.backward = _powers(_ODD, len(codes) + 1)
+        self.total = np.zeros(len(codes) + 1, U64)
+        np.cumsum(codes * forward[: len(codes)], out=self.total[1:])
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of codes[start:end]."""
+        return mix((self.total[end] - self.total[start]) * self.backward[start])
+
+
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     """Minimum of every `size` neighbours."""
     out, have = x, 1
