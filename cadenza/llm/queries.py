@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, url_filters
+from cadenza.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, ngram_join, packing, quality_rules, substring_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -71,6 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_url_filters": op2_url_filters,
         "op3_line_dedup": op3_line_dedup,
         "op4_substring_dedup": op4_substring_dedup,
