@@ -1,11 +1,18 @@
-"""The corpus pipeline: STAGES of (name, function), each over all that the stage before it kept."""
+"""The corpus pipeline: STAGES of (name, function), each over all that the stage before it kept.
+
+Every stage but the last returns the columns of documents. Documents go in the first (rules), second (no line left),
+third (copy of an earlier one) and fourth stage (contaminated); the second also changes texts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import quality_rules
+from cadenza.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
+from cadenza.llm.scratch import materialize
 
+#: Chosen paths and merges cannot be written in SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
@@ -14,11 +21,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one."""
+    return line_dedup.keep_first_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark passage occurs."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and the SHA-256 of the bytes decoded from these."""
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_join", near_copies),
+    ("decontaminate", benchmark),
+    ("byte_bpe", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each one's result is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
