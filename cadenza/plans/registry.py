@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.plans import features, operations, serving
+
+GROUPS = (features, serving, operations)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").count()
+    """Recall by session co-occurrence over the training transitions."""
+    return serving.recall_cooc(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for group in GROUPS for name, (query, _) in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for group in GROUPS for name, (_, text) in group.QUERIES.items() if text}
