@@ -4,7 +4,7 @@ The texts of a task are packed into blocks of a few megabytes: one row with the
 as bytes) that the task has not met before and, for every document, the numbers of its words. A task forgets its words
 when it has met DICTIONARY of them, so its memory is bounded. On these rows, JVM-side, a fold merges the byte array of
 each distinct word: every step joins the adjacent pair of least rank, the leftmost of equals, until no pair
-has a rank. The ranks are a literal: an array of small maps, found by the CRC of the pair's bytes. Decoding
+has a rank. The ranks are a literal: an array of small maps, found by the CRC of the pair's name in hexadecimal. Decoding
 concatenates the binary pieces of the ids. No row leaves its task, so nothing is shuffled.
 
 Defined cases: a null or empty text has no ids; a word without merges keeps one id a byte (the ranks hold all 256
@@ -19,25 +19,28 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.tokens import chunks, list_array
+from cadenza.llm.tokens import U64, Words, chunks, list_array, span_hashes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 BUCKETS = 1 << 16
-DICTIONARY = 600_000
+DICTIONARY = 400_000
 NO_RANK = 2**31 - 1
 SHIFT = 2**31
 #: White space of the pattern; between another character and one of these every match ends.
 GAP = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{GAP}]*[^{GAP}]+|[{GAP}]+")
+#: One of these that is not ASCII, with an ASCII one after it, in UTF-8.
+ODD_GAP = re.compile("|".join(c for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000").join(["(?:", ")[\t-\r ]"]).encode())
 
 
 def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
@@ -64,41 +67,80 @@ def _ragged(first: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.nda
     return values[np.repeat(first, counts) + inner]
 
 
+class _Pieces:
+    """Numbers the pieces of texts (white space and the word after it) and their words, as a task meets them."""
+
+    def __init__(self, pattern: str):
+        self.find = regex.compile(pattern).findall
+        self.words = _Numbers()
+        self.hashes, self.numbers = np.zeros(0, U64), np.zeros(0, np.int64)  # of the known pieces, by hash
+        self.counts, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64)  # words of each piece
+
+    def add(self, pieces: Iterable[str]) -> None:
+        of_piece = [[self.words[w] for w in self.find(p)] for p in pieces]
+        self.counts = np.concatenate([self.counts, np.array([len(x) for x in of_piece], np.int64)])
+        self.values = np.concatenate([self.values, np.array([w for x in of_piece for w in x], np.int64)])
+
+    def number(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers of all texts, words of each text). Pieces end where an ASCII word ends and at the ends of texts."""
+        words = Words(data, bounds)
+        raw = data.tobytes()
+        ends = np.unique(np.concatenate([words.end, bounds[1:]]))
+        ends = ends[ends > 0]
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        hashes = span_hashes(data, starts, ends)
+        some, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, some)
+        known = np.zeros(len(some), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == some[inside]
+        number = np.zeros(len(some), np.int64)
+        number[known] = self.numbers[at[known]]
+        fresh = np.flatnonzero(~known)
+        number[fresh] = len(self.counts) + np.arange(len(fresh))
+        self.add(raw[starts[i] : ends[i]].decode() for i in first[fresh].tolist())
+        order = np.argsort(np.concatenate([self.hashes, some[fresh]]), kind="stable")
+        self.hashes = np.concatenate([self.hashes, some[fresh]])[order]
+        self.numbers = np.concatenate([self.numbers, number[fresh]])[order]
+        flat = number[inverse]
+        counts = self.counts[flat]
+        refs = _ragged((np.cumsum(self.counts) - self.counts)[flat], counts, self.values)
+        until = np.searchsorted(ends, bounds[1:], "right")  # pieces up to the end of each text
+        return refs, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], until])])
+
+
 def _pack(pattern: str, n_rest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        words, known = _Numbers(), 0
+        pieces, known = _Pieces(pattern), 0
         for batch in batches:
             texts = batch.column(n_rest)
             rest = pa.StructArray.from_arrays(batch.columns[:n_rest], names=batch.schema.names[:n_rest])
             for row, until, data, bounds in chunks(texts, BLOCK_BYTES):
-                forget = len(words) > DICTIONARY
+                forget = max(len(pieces.words), len(pieces.counts)) > DICTIONARY
                 if forget:
-                    words, known = _Numbers(), 0
-                pieces = _Numbers()
-                raw, flat, per_doc = data.tobytes(), [], []
-                for t in range(until - row):
-                    own = [pieces[p] for p in PIECE.findall(raw[bounds[t] : bounds[t + 1]].decode())]
-                    per_doc.append(len(own))
-                    flat.append(np.array(own, np.int64))
-                of_piece = [[words[w] for w in find(p)] for p in pieces]
-                counts = np.array([len(x) for x in of_piece], np.int64)
-                values = np.array([w for x in of_piece for w in x], np.int64)
-                flat = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-                refs = _ragged((np.cumsum(counts) - counts)[flat], counts[flat], values)
-                ends = np.concatenate([[0], np.cumsum(counts[flat])])[np.concatenate([[0], np.cumsum(per_doc)])]
-                one = np.array([0, until - row], np.int32)
+                    pieces, known = _Pieces(pattern), 0
+                if ODD_GAP.search(data.tobytes()):
+                    refs, counts = [], []
+                    for t in range(until - row):  # a gap that is not ASCII may precede a space: cut at all gaps
+                        own = [pieces.words[w] for p in PIECE.findall(data[bounds[t] : bounds[t + 1]].tobytes().decode()) for w in pieces.find(p)]
+                        refs += own
+                        counts.append(len(own))
+                    refs, counts = np.array(refs, np.int64), np.array(counts, np.int64)
+                else:
+                    refs, counts = pieces.number(data, bounds)
+                fresh = [w.encode() for w in islice(pieces.words, known, None)]
+                known = len(pieces.words)
+                one = pa.array(np.array([0, until - row], np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.ListArray.from_arrays(pa.array(one), rest.slice(row, until - row)),
-                        list_array(np.diff(ends), np.array([until - row]), pa.int32()),
+                        pa.ListArray.from_arrays(one, rest.slice(row, until - row)),
+                        list_array(counts, np.array([until - row]), pa.int32()),
                         list_array(refs, np.array([len(refs)]), pa.int32()),
-                        pa.array([[w.encode() for w in islice(words, known, None)]], pa.list_(pa.binary())),
+                        pa.array([fresh], pa.list_(pa.binary())),
                         pa.array([forget]),
                     ],
                     names=["_rest", "_counts", "_refs", "_words", "_forget"],
                 )
-                known = len(words)
 
     return run
 
@@ -112,11 +154,15 @@ def rank_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
     """The rank of a binary column in a literal map, or NO_RANK."""
     parts: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        parts[zlib.crc32(piece) % BUCKETS][piece.hex().upper()] = rank
+        name = piece.hex().upper()
+        parts[zlib.crc32(name.encode()) % BUCKETS][name] = rank
     table = F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")
-    return lambda piece: F.coalesce(
-        F.try_element_at(F.get(table, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), F.hex(piece)), F.lit(NO_RANK)
-    )
+
+    def found(name: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(name.cast("binary")), F.lit(BUCKETS)).cast("int"))
+        return F.coalesce(F.try_element_at(bucket, name), F.lit(NO_RANK))
+
+    return lambda piece: _let(F.hex(piece), found)
 
 
 def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
@@ -165,18 +211,18 @@ class _Known:
 
     def __init__(self):
         self.sizes = self.first = self.values = np.zeros(0, np.int64)
-        self.raw: list[bytes] = []
-        self.texts: list[str] = []
+        self.raw, self.texts = pa.array([], pa.binary()), pa.array([], pa.string())
 
     def add(self, ids: pa.ListArray, pieces: pa.BinaryArray) -> None:
-        sizes, values = np.asarray(ids.value_lengths(), np.int64), ids.flatten().to_numpy()
-        flat, at = list(map(str, values.tolist())), 0
-        for n in sizes.tolist():
-            self.texts.append(",".join(flat[at : at + n]))
-            at += n
+        sizes, values = np.asarray(ids.value_lengths(), np.int64), ids.flatten()
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(_bounds(sizes), pa.int32()), values.cast(pa.string())), ",")
         self.first = np.concatenate([self.first, np.cumsum(sizes) - sizes + len(self.values)])
-        self.sizes, self.values = np.concatenate([self.sizes, sizes]), np.concatenate([self.values, values])
-        self.raw += pieces.to_pylist()
+        self.sizes, self.values = np.concatenate([self.sizes, sizes]), np.concatenate([self.values, values.to_numpy()])
+        self.raw, self.texts = pa.concat_arrays([self.raw, pieces]), pa.concat_arrays([self.texts, texts])
+
+
+def _bounds(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
 
 
 def _unpack(names: list[str], digest: bool):
@@ -187,28 +233,25 @@ def _unpack(names: list[str], digest: bool):
                 if batch.column(4)[k].as_py():
                     known = _Known()
                 rest = batch.column(0).slice(k, 1).flatten()
-                counts = batch.column(1).slice(k, 1).flatten().to_numpy()
-                refs = batch.column(2).slice(k, 1).flatten().to_numpy()
+                counts = batch.column(1).slice(k, 1).flatten().to_numpy().astype(np.int64)
+                refs = batch.column(2).slice(k, 1).flatten()
                 coded = batch.column(3).slice(k, 1).flatten()
                 known.add(coded.field(0), coded.field(1))
-                sizes, first, values, raw, texts = known.sizes, known.first, known.values, known.raw, known.texts
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                n_tokens = np.add.reduceat(np.append(sizes[refs], 0), ends[:-1]) * (counts > 0) if len(counts) else counts
-                decoded = lambda t, raw=raw, refs=refs, ends=ends: b"".join(map(raw.__getitem__, refs[ends[t] : ends[t + 1]].tolist()))
+                bounds = pa.array(_bounds(counts), pa.int32())
+                joined = lambda parts, gap, refs=refs, bounds=bounds: pc.binary_join(pa.ListArray.from_arrays(bounds, parts.take(refs)), gap)
+                decoded = joined(known.raw, b"")
+                at = refs.to_numpy().astype(np.int64)
+                n_tokens = np.diff(_bounds(known.sizes[at])[_bounds(counts)])
                 columns = list(rest.flatten())
                 if digest:
-                    joined = (",".join(map(texts.__getitem__, refs[ends[t] : ends[t + 1]].tolist())) for t in range(len(counts)))
                     columns += [
                         pa.array(n_tokens, pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()),
-                        pa.array([hashlib.sha256(decoded(t)).hexdigest() for t in range(len(counts))], pa.string()),
+                        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined(known.texts, ",")], pa.string()),
+                        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, "_n_tokens", "_ids_sha256", "_decoded_sha256"])
                 else:
-                    columns += [
-                        list_array(_ragged(first[refs], sizes[refs], values), n_tokens, pa.int32()),
-                        pa.array([decoded(t) for t in range(len(counts))], pa.binary()),
-                    ]
+                    columns += [list_array(_ragged(known.first[at], known.sizes[at], known.values), n_tokens, pa.int32()), decoded]
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, "_ids", "_decoded"])
 
     return run

@@ -1,6 +1,6 @@
 """Vectorised words of Arrow string columns: byte offsets, 64-bit word hashes and hashes of word windows.
 
-Texts are handled in chunks of a few megabytes, so a task's memory depends on the chunk and on its
+Texts are handled in chunks of a megabyte, so a task's memory depends on the chunk and on its
 longest single text, never on the number of rows. Hashes only find candidates or key groups; callers
 that need certainty compare the words or use two independent hashes.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _WINDOW_ODD = U64(0xD6E8FEB86659FD93)
