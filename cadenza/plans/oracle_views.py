@@ -45,7 +45,7 @@ VIEWS = {
       ('0x' || substr(md5(c.session_id || ':' || c.t || ':' || x.candidate), 1, 13))::BIGINT / (2.0::DOUBLE ** 52) * 4 - 2 AS score
       FROM ctx c JOIN (SELECT session_id, t, anchor AS candidate FROM ctx UNION SELECT session_id, t, dst FROM ctx JOIN neighbours ON src = anchor) x
       ON x.session_id = c.session_id AND x.t = c.t WHERE c.n >= 3 AND c.t <= c.n - 3""",
-    "recent": "SELECT session_id, track_id, position FROM st WHERE session_id % 50 = 0",
+    "recent": "SELECT session_id, track_id, position FROM st",
     "cooc": """SELECT session_id, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, track_id) AS r FROM (
       SELECT session_id, dst AS track_id, sum(exp(-0.3 * age) * weight) AS score FROM (SELECT session_id, track_id AS src, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) - 1 AS age FROM recent)
       JOIN edges USING (src) WHERE age < 10 GROUP BY 1, 2)) WHERE r <= 100""",

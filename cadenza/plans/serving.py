@@ -14,8 +14,8 @@ FIXTURE_WEIGHTS = {"popularity": 1.0, "cooc_session": 1.0, "cooc_playlist": 0.7,
 
 
 def _recent(s: SparkSession, d: str) -> DataFrame:
-    """Plays of the sessions that are scored: every fiftieth session."""
-    return v.session_tracks(s, d).where("session_id % 50 = 0").select("session_id", "track_id", "position")
+    """Plays of all sessions; each is scored."""
+    return v.session_tracks(s, d).select("session_id", "track_id", "position")
 
 
 def recall_cooc(s: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def queue_rotate(s: SparkSession, d: str) -> DataFrame:
 
 
 def safe_catalog_fallback(s: SparkSession, d: str) -> DataFrame:
-    ranks = popularity(s, d).where("track_id % 401 = 0").select("track_id", F.col("track_count").alias("rank"))
+    ranks = popularity(s, d).select("track_id", F.col("track_count").alias("rank"))
     return r.safe_fallback(v.catalog(s, d).where(v.playable()), ranks)
 
 
@@ -95,8 +95,8 @@ def playable_catalog(s: SparkSession, d: str) -> DataFrame:
 QUEUE = """, top AS (SELECT session_id, track_id, place FROM queue WHERE place <= 12),
   gone AS (SELECT session_id, track_id FROM excluded UNION SELECT session_id, track_id FROM top WHERE place % 3 = 0),
   tiers AS (SELECT session_id, track_id, 1 AS tier, place FROM top ANTI JOIN gone USING (session_id, track_id)
-    UNION ALL SELECT session_id, track_id, 2, row_number() OVER (PARTITION BY session_id ORDER BY md5(track_id::VARCHAR), track_id) FROM (
-      SELECT s.session_id, p.track_id FROM (SELECT DISTINCT session_id FROM top) s, playable p) x ANTI JOIN (SELECT session_id, track_id FROM gone UNION SELECT session_id, track_id FROM top) y USING (session_id, track_id)
+    UNION ALL SELECT session_id, track_id, 2, row_number() OVER (PARTITION BY session_id ORDER BY h) FROM (
+      SELECT s.session_id, p.track_id, p.h FROM (SELECT DISTINCT session_id FROM top) s, (SELECT track_id, row_number() OVER (ORDER BY md5(track_id::VARCHAR), track_id) AS h FROM playable) p) x ANTI JOIN (SELECT session_id, track_id FROM gone UNION SELECT session_id, track_id FROM top) y USING (session_id, track_id)
     UNION ALL SELECT session_id, track_id, 3, place FROM top SEMI JOIN gone USING (session_id, track_id)),
   composed AS (SELECT session_id, track_id, tier, place FROM (SELECT session_id, track_id, tier, row_number() OVER (PARTITION BY session_id ORDER BY tier, place) AS place FROM tiers) WHERE place <= 18)
 """
@@ -122,6 +122,6 @@ QUERIES = {
     "queue_rotate": (queue_rotate, sql("queue excluded playable", "").rstrip() + QUEUE + """SELECT session_id, track_id, ((place - 1 - off + n) % n + 1)::INTEGER AS place FROM (
       SELECT *, CASE WHEN (session_id % 5) % n = 0 AND n > 1 THEN 1 ELSE (session_id % 5) % n END AS off FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM composed))"""),
     "safe_catalog_fallback": (safe_catalog_fallback, sql("playable pop", """SELECT track_id, artist, title, place::INTEGER AS place FROM (SELECT p.track_id, artist, title, row_number() OVER (ORDER BY track_count NULLS LAST, lower(artist), lower(title), p.track_id) AS place
-      FROM playable p LEFT JOIN (SELECT * FROM pop WHERE track_id % 401 = 0) r USING (track_id)) WHERE place <= 18""")),
+      FROM playable p LEFT JOIN pop r USING (track_id)) WHERE place <= 18""")),
     "playable_catalog": (playable_catalog, sql("playable", "SELECT track_id, title, artist, nav_id FROM playable")),
 }
