@@ -89,8 +89,9 @@ def artist_relations(files: DataFrame, tracks: DataFrame) -> DataFrame:
     The condition is an OR: two equi-joins, united.
     """
     columns = [F.col("media_id"), F.col("artist")]
-    by_name = files.join(tracks, files["filename"] == tracks["path"]).select(*columns)
-    by_title = files.join(tracks, files["title"] == tracks["track_key"]).select(*columns)
+    paths, keys = tracks.select("path", "artist").distinct(), tracks.select("track_key", "artist").distinct()
+    by_name = files.select("media_id", "filename").join(paths, F.col("filename") == F.col("path")).select(*columns)
+    by_title = files.select("media_id", "title").join(keys, F.col("title") == F.col("track_key")).select(*columns)
     return by_name.unionByName(by_title).distinct().withColumn("role", F.explode(F.array(F.lit("artist"), F.lit("albumartist"))))
 
 

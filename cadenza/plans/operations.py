@@ -104,7 +104,7 @@ def quality_report(s: SparkSession, d: str) -> DataFrame:
 
 def artist_relations(s: SparkSession, d: str) -> DataFrame:
     files = v.catalog(s, d).select(F.col("track_id").alias("media_id"), F.concat("title", F.lit(".mp3")).alias("filename"), F.concat_ws("-", "artist", "duration_sec").alias("title"))
-    tracks = v.catalog(s, d).where("track_id % 40 = 0").select(F.concat("title", F.lit(".mp3")).alias("path"), F.concat_ws("-", "artist", "duration_sec").alias("track_key"), "artist")
+    tracks = v.catalog(s, d).select(F.concat("title", F.lit(".mp3")).alias("path"), F.concat_ws("-", "artist", "duration_sec").alias("track_key"), "artist")
     return t.artist_relations(files, tracks)
 
 
@@ -173,8 +173,9 @@ def activation_gate(s: SparkSession, d: str) -> DataFrame:
 
 
 def model_version_transitions(s: SparkSession, d: str) -> DataFrame:
-    some = v.request_metrics(s, d).where("metric_id % 500 = 0")
-    return t.activations(some.select("model_version", (F.col("created_at") + F.make_dt_interval(secs=F.col("metric_id") % 50)).alias("activated_at")))
+    """The first request of each version and day stands for an activation: versions times days, not requests."""
+    at = F.col("created_at") + F.make_dt_interval(secs=F.col("metric_id") % 50)
+    return t.activations(v.request_metrics(s, d).groupBy("model_version", "created_at").agg(F.min(at).alias("activated_at")))
 
 
 def hourly_rates(s: SparkSession, d: str) -> DataFrame:
@@ -279,7 +280,7 @@ QUERIES = {
       CASE WHEN n_quarantined / n_rows > 0.05 THEN 'quarantined_high' END) AS notes, CASE WHEN greatest(n_repeated, n_missing, n_unmapped, n_quarantined) / n_rows > 0.05 THEN 'warning' ELSE 'ok' END AS status
       FROM (SELECT count(*) AS n_rows, count(*) - count(DISTINCT track_id) AS n_repeated, count(*) FILTER (trim(title) = '') AS n_missing, count(*) FILTER (nav_id IS NULL) AS n_unmapped, count(*) FILTER (availability_status = 'quarantined') AS n_quarantined
       FROM (SELECT track_id, title, nav_id, availability_status FROM cat UNION ALL SELECT track_id, ' ', nav_id, availability_status FROM cat WHERE track_id % 50 = 0))""")),
-    "artist_relations": (artist_relations, sql("cat", """SELECT DISTINCT f.track_id AS media_id, t.artist, r.role FROM cat f JOIN (SELECT * FROM cat WHERE track_id % 40 = 0) t ON f.title = t.title OR (f.artist = t.artist AND f.duration_sec = t.duration_sec), (VALUES ('artist'), ('albumartist')) r(role)""")),
+    "artist_relations": (artist_relations, sql("cat", """SELECT DISTINCT f.track_id AS media_id, t.artist, r.role FROM cat f JOIN cat t ON f.title = t.title OR (f.artist = t.artist AND f.duration_sec = t.duration_sec), (VALUES ('artist'), ('albumartist')) r(role)""")),
     "artist_stats": (artist_stats, sql("cat", """SELECT artist, n_tracks, n_albums, total_sec, first_track, '{"albumCount":' || n_albums || ',"songCount":' || n_tracks || ',"size":' || total_sec || '}' AS as_json
       FROM (SELECT artist, count(DISTINCT track_id) AS n_tracks, count(DISTINCT album) AS n_albums, sum(duration_sec)::BIGINT AS total_sec, min(track_id) AS first_track FROM cat GROUP BY 1)""")),
     "request_rollup": (request_rollup, sql("roll", "SELECT * FROM roll")),
@@ -305,7 +306,7 @@ QUERIES = {
     "activation_gate": (activation_gate, sql("rm", """SELECT metric_id, CASE WHEN metric_id % 3 = 2 THEN metric_id % 5 = 0 ELSE NOT (metric_id % 4 = 0 AND model_version <> 'm1') END AS activated, CASE WHEN metric_id % 3 = 2 THEN CASE WHEN metric_id % 5 = 0 THEN 'override' ELSE 'not_approved' END
       WHEN metric_id % 4 = 0 AND model_version <> 'm1' THEN 'version_mismatch' ELSE 'approved' END AS gate FROM rm""")),
     "model_version_transitions": (model_version_transitions, sql("rm", """SELECT model_version, activated_at, deactivated_at, CASE WHEN before <> model_version THEN before END AS parent, CASE WHEN deactivated_at IS NULL THEN 'active' ELSE 'previous' END AS status FROM (
-      SELECT *, lead(activated_at) OVER w AS deactivated_at, lag(model_version) OVER w AS before FROM (SELECT model_version, created_at + to_seconds(metric_id % 50) AS activated_at FROM rm WHERE metric_id % 500 = 0) WINDOW w AS (ORDER BY activated_at, model_version))""")),
+      SELECT *, lead(activated_at) OVER w AS deactivated_at, lag(model_version) OVER w AS before FROM (SELECT model_version, min(created_at + to_seconds(metric_id % 50)) AS activated_at FROM rm GROUP BY model_version, created_at) WINDOW w AS (ORDER BY activated_at, model_version))""")),
     "hourly_rates": (hourly_rates, sql("plays", "SELECT date_trunc('hour', created_at) AS hour, round(count(*) FILTER (event_type = 'skip') / count(*), 4) AS skip_rate, round(count(*) FILTER (event_type = 'complete') / count(*), 4) AS completion_rate FROM plays WHERE playratio IS NOT NULL GROUP BY 1")),
     "hourly_volume": (hourly_volume, sql("plays", """SELECT date_trunc('hour', created_at) AS hour, count(*) AS n, 'playback' AS stream FROM plays GROUP BY 1 UNION ALL SELECT date_trunc('hour', created_at), count(*), 'skips' FROM plays WHERE event_type = 'skip' GROUP BY 1
       UNION ALL SELECT date_trunc('hour', created_at), count(*), 'late' FROM plays WHERE date_trunc('hour', updated_at) > date_trunc('hour', created_at) GROUP BY 1""")),
