@@ -4,7 +4,7 @@ The texts of a task are packed into blocks of a few megabytes: one row with the
 as bytes) that the task has not met before and, for every document, the numbers of its words. A task forgets its words
 when it has met DICTIONARY of them, so its memory is bounded. On these rows, JVM-side, a fold merges the byte array of
 each distinct word: every step joins the adjacent pair of least rank, the leftmost of equals, until no pair
-has a rank. The ranks are a literal: an array of small maps, found by the CRC of the pair's name in hexadecimal. Decoding
+has a rank. The ranks are one literal, bound once a block: buckets of pairs of ids with the rank of what they make. Decoding
 concatenates the binary pieces of the ids. No row leaves its task, so nothing is shuffled.
 
 Defined cases: a null or empty text has no ids; a word without merges keeps one id a byte (the ranks hold all 256
@@ -18,7 +18,6 @@ import base64
 import hashlib
 import json
 import re
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -32,10 +31,11 @@ from pyspark.sql import functions as F
 from cadenza.llm.tokens import U64, Words, chunks, list_array, span_hashes
 
 BLOCK_BYTES = 1 << 20
-BUCKETS = 1 << 16
+BUCKETS = 200_003
 DICTIONARY = 400_000
-NO_RANK = 2**31 - 1
-SHIFT = 2**31
+#: A piece's id has so many bits, the place of its first byte in its word so many.
+ID_BITS, PLACE_BITS = 18, 27
+NO_RANK = (1 << ID_BITS) - 1
 #: White space of the pattern; between another character and one of these every match ends.
 GAP = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{GAP}]*[^{GAP}]+|[{GAP}]+")
@@ -129,6 +129,7 @@ def _pack(pattern: str, n_rest: int):
                 else:
                     refs, counts = pieces.number(data, bounds)
                 fresh = [w.encode() for w in islice(pieces.words, known, None)]
+                inner = list_array(np.frombuffer(b"".join(fresh), np.uint8).astype(np.int16), np.array([len(w) for w in fresh], np.int64), pa.int16())
                 known = len(pieces.words)
                 one = pa.array(np.array([0, until - row], np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +137,7 @@ def _pack(pattern: str, n_rest: int):
                         pa.ListArray.from_arrays(one, rest.slice(row, until - row)),
                         list_array(counts, np.array([until - row]), pa.int32()),
                         list_array(refs, np.array([len(refs)]), pa.int32()),
-                        pa.array([fresh], pa.list_(pa.binary())),
+                        pa.ListArray.from_arrays(pa.array(np.array([0, len(fresh)], np.int32)), inner),
                         pa.array([forget]),
                     ],
                     names=["_rest", "_counts", "_refs", "_words", "_forget"],
@@ -150,60 +151,106 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """The rank of a binary column in a literal map, or NO_RANK."""
-    parts: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """(left id, right id) to the rank of their concatenation, for every way to join two pieces into a third."""
+    pairs = {}
     for piece, rank in ranks.items():
-        name = piece.hex().upper()
-        parts[zlib.crc32(name.encode()) % BUCKETS][name] = rank
-    table = F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                pairs[left, right] = rank
+    return pairs
 
-    def found(name: Column) -> Column:
-        bucket = F.get(table, F.pmod(F.crc32(name.cast("binary")), F.lit(BUCKETS)).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, name), F.lit(NO_RANK))
 
-    return lambda piece: _let(F.hex(piece), found)
+def _merged(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    ids = [ranks[piece[i : i + 1]] for i in range(len(piece))]
+    while len(ids) > 1:
+        rank, at = min((pairs.get(p, NO_RANK), i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
+        if rank == NO_RANK:
+            break
+        ids[at : at + 2] = [rank]
+    return ids
 
 
-def fold_merges(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids (array<int>) that ranked merges give a binary word; a word that has a rank is one id.
+def rank_map(ranks: dict[bytes, int]) -> tuple[Column, dict[str, int]]:
+    """The literal rank map, and the pieces that merges do not reach: their merged ids (comma-joined) to their own id.
 
-    The state has a number for every piece: the rank of its pair with the next piece, times SHIFT, plus its first byte.
-    Its minimum is the pair to merge, the leftmost of equal ranks.
+    The literal: `bytes`, the id of every byte; `keys` and `values`, the merge pairs and their ranks in BUCKETS buckets.
     """
-    n = F.length(word)
-    none = F.lit(NO_RANK * SHIFT)
-    first = lambda code: F.pmod(code, F.lit(SHIFT)).cast("int")
-    span = lambda a, b: F.substring(word, a + 1, b - a)
-    code = lambda a, b: rank(span(a, b)).cast("bigint") * SHIFT + a
-
-    def merge(state: Column, i: Column) -> Column:
-        at, after = first(F.get(state, i - 1)), F.get(state, i + 1)
-        pair = F.when(after.isNull(), none + at).otherwise(code(at, F.coalesce(first(F.get(state, i + 2)), n)))
-        before = code(first(F.get(state, i - 2)), F.coalesce(first(after), n))
-        fresh = F.when(i == 1, F.array(pair)).otherwise(F.array(before, pair))
-        return F.concat(F.slice(state, 1, F.greatest(i - 2, F.lit(0))), fresh, F.slice(state, i + 2, n))
+    if max(ranks.values()) >= NO_RANK:
+        raise ValueError(f"ranks must be less than {NO_RANK}")
+    pairs = merge_pairs(ranks)
+    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
+    values: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for (left, right), rank in pairs.items():
+        key = (left << ID_BITS) + right
+        keys[key % BUCKETS].append(key)
+        values[key % BUCKETS].append(rank)
+    table = {"bytes": [ranks[bytes([i])] for i in range(256)], "keys": keys, "values": values}
+    literal = F.from_json(F.lit(json.dumps(table)), "bytes array<int>, keys array<array<bigint>>, values array<array<int>>")
+    whole = {}
+    for piece, rank in ranks.items():
+        ids = _merged(piece, ranks, pairs)
+        if ids != [rank]:
+            whole[",".join(map(str, ids))] = rank
+    return literal, whole
 
-    def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state)
-        spot = F.array_position(state, least).cast("int")
-        return F.when(least < none, _let(spot, lambda i: merge(state, i))).otherwise(state)
 
-    singles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == n - 1, none + i).otherwise(code(i, i + 2)))
-    parts = lambda state: F.transform(
-        state, lambda x, k: rank(span(first(x), F.coalesce(first(F.get(state, k + 1)), n)))
-    )
-    folded = F.aggregate(F.sequence(F.lit(2), n), singles, step, parts)
-    return F.when(rank(word) < NO_RANK, F.array(rank(word))).otherwise(folded)
+def fold_merges(word: Column, table: Column, whole: dict[str, int]) -> Column:
+    """The ids (array<int>) that ranked merges give a word (array of byte values); a word that has a rank is one id.
 
+    The state has a number for every piece, from high bits to low: the rank of its pair with the next piece, the
+    place of its first byte, its id. Its minimum is the pair to merge, the leftmost of equal ranks.
+    """
+    high = ID_BITS + PLACE_BITS
+    low = lambda code, bits: code.bitwiseAND(F.lit((1 << bits) - 1))
+    put = lambda rank, rest: F.shiftleft(rank, high) + rest
+
+    def rank(left: Column, right: Column) -> Column:
+        key = F.shiftleft(left, ID_BITS) + right
+        bucket = (key % BUCKETS).cast("int")
+        at = F.array_position(F.get(table["keys"], bucket), key) - 1
+        return F.coalesce(F.get(F.get(table["values"], bucket), at.cast("int")), F.lit(NO_RANK)).cast("bigint")
+
+    def merge(state: Column, least: Column) -> Column:
+        def at(i: Column) -> Column:
+            fresh = F.shiftrightunsigned(least, high)
+            before = F.get(state, i - 2)
+            pair = put(rank(fresh, low(F.get(state, i + 1), ID_BITS)), low(least, high) - low(least, ID_BITS) + fresh)
+            both = F.array(put(rank(low(before, ID_BITS), fresh), low(before, high)), pair)
+            head = F.slice(state, 1, F.greatest(i - 2, F.lit(0)))
+            return F.concat(head, F.when(i == 1, F.array(pair)).otherwise(both), F.slice(state, i + 2, F.size(state)))
+
+        return _let(F.array_position(state, least).cast("int"), at)
 
-def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The binary pieces of an array of ids, concatenated."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    def step(state: Column, _: Column) -> Column:
+        unmerged = F.lit(NO_RANK << high)
+        return _let(F.array_min(state), lambda least: F.when(least < unmerged, merge(state, least)).otherwise(state))
+
+    id_of = lambda x: F.get(table["bytes"], x.cast("int")).cast("bigint")
+    pair = lambda x, i: rank(id_of(x), id_of(F.get(word, i + 1)))
+    singles = F.transform(word, lambda x, i: put(pair(x, i), F.shiftleft(i.cast("bigint"), ID_BITS) + id_of(x)))
+    parts = lambda state: F.transform(state, lambda x: low(x, ID_BITS).cast("int"))
+    folded = F.aggregate(F.sequence(F.lit(2), F.size(word)), singles, step, parts)
+    folded = F.when(F.size(word) == 1, F.transform(word, lambda x: id_of(x).cast("int"))).otherwise(folded)
+    if not whole:
+        return folded
+    known = F.from_json(F.lit(json.dumps(whole)), "map<string,int>")
+    one = lambda x: F.try_element_at(known, F.array_join(x, ","))
+    return _let(folded, lambda x: F.when(one(x).isNotNull(), F.array(one(x))).otherwise(x))
+
+
+def decode_ids(ids: Column, table: Column) -> Column:
+    """The binary pieces (array<binary>, by id) of an array of ids, concatenated."""
+    return F.aggregate(ids, F.lit(b"").cast("binary"), lambda acc, i: F.concat(acc, F.get(table, i)))
+
+
+def piece_table(ranks: dict[bytes, int]) -> Column:
+    """A literal of the bytes of every id."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.aggregate(ids, F.lit(b"").cast("binary"), lambda acc, i: F.concat(acc, F.unhex(F.get(table, i))))
+        pieces[rank] = piece
+    return F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in pieces])), "array<binary>")
 
 
 class _Known:
@@ -261,12 +308,15 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ad
     rest = [c for c in docs.columns if c != text and c not in added]
     types = dict(docs.dtypes)
     fields = ", ".join(f"`{c}`: {types[c]}" for c in rest)
-    schema = f"_rest array<struct<{fields}>>, _counts array<int>, _refs array<int>, _words array<binary>, _forget boolean"
+    schema = f"_rest array<struct<{fields}>>, _counts array<int>, _refs array<int>, _words array<array<smallint>>, _forget boolean"
     packed = docs.select(*rest, F.col(text).alias("_text")).mapInArrow(_pack(pattern, len(rest)), schema)
-    rank = rank_lookup(ranks)
-    ids = F.transform("_words", lambda w: fold_merges(w, rank))
+    literal, whole = rank_map(ranks)
+    ids = _let(literal, lambda table: F.transform("_words", lambda w: fold_merges(w, table, whole)))
     packed = packed.withColumn("_ids", ids)
-    coded = F.transform("_ids", lambda i: F.struct(i.alias("ids"), decode_ids(i, ranks).alias("bytes")))
+    coded = _let(
+        piece_table(ranks),
+        lambda table: F.transform("_ids", lambda i: F.struct(i.alias("ids"), decode_ids(i, table).alias("bytes"))),
+    )
     packed = packed.select("_rest", "_counts", "_refs", coded.alias("_coded"), "_forget")
     schema = "".join(f"`{c}` {types[c]}, " for c in rest) + kinds
     return packed.mapInArrow(_unpack(rest, digest), schema).withColumnsRenamed({f"_{c}": c for c in added})
