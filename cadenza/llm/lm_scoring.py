@@ -1,16 +1,19 @@
 """Cross-entropy difference of two matched bigram models.
 
-Both models are of the same order and smoothing over one vocabulary: the start, the `frequent` most frequent words of
-all documents, and `classes` hash classes that share out all other words. The target model counts the documents marked
-as targets, the background model all documents. The score of a document is its loss per word under the target model
-minus that under the background model (nats; low: like the target).
-
-Counting covers every word of every document: word counts are summed by word, pair counts by pair, in shuffles with
-map-side partial sums. The vocabulary bounds both models, so their tables (2 * size**2 numbers of 4 bytes) are sent to
-the tasks. Texts are turned into 2-byte word numbers once and kept in the shared folder.
+Both models are of the same order and smoothing over one vocabulary: the start and every word of all documents. The
+target model counts the documents marked as targets, the background model all documents. The score of a document is its
+loss per word under the target model minus that under the background model (nats; low: like the target).
 
 Smoothing: p(w|u) = (c(u,w) + k p(w)) / (c(u) + k) with p(w) = (c(w) + 1) / (n + size).
 
+Neither words nor pairs are bounded in number, and no model is built in one place. Texts are turned into chunks of about
+`CHUNK_TOKENS` words, kept in the shared folder; only ids are joined with the targets. Every chunk sends each of its
+distinct words and pairs once, with their counts, to the parts that the keys' hashes say; a part sums the counts over all
+chunks and sends the sums back in the same order. So a frequent key adds at most one entry a chunk to a part, and the
+number of parts grows with the input. Words and pairs are told apart by 64-bit hashes.
+
+With `frequent`, only so many words are told apart and all others share `classes` hash classes.
+
 Defined cases: a document without words (null, empty) has n_tokens 0 and null losses; repeated rows count and are scored
 as often as they occur; a document is a target if any of its label rows says so, and one with a null id never is; with no
 targets the target model is uniform. Other columns do not pass. Empty table: empty result.
@@ -18,18 +21,20 @@ targets the target model is uniform. Other columns do not pass. Empty table: emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.scratch import materialize
+from cadenza.llm.scratch import materialize, n_partitions
 from cadenza.llm.tokens import U64, Words, chunks, mix, signed
 
-FREQUENT, CLASSES = 1535, 512
+CHUNK_TOKENS, CHUNK_ROWS = 1 << 20, 1 << 17
+#: Bytes of text for every part of the key space.
+PART_BYTES = 8 << 20
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,54 +61,131 @@ def number_words(hashes: np.ndarray, vocabulary: np.ndarray, classes: int) -> np
     return np.where(vocabulary[at] == hashes, 1 + at, rare)
 
 
-def _pairs(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(previous * size + word for every word, words of each row)."""
-    lengths = np.asarray(pc.binary_length(batch.column(column)), np.int64) // 2
-    numbers = np.frombuffer(b"".join(batch.column(column).to_pylist()), "<u2").astype(np.int64)
-    before = np.zeros(len(numbers), np.int64)
-    before[1:] = numbers[:-1]
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    before[starts] = 0
-    return before * size + numbers, lengths
+def pack(x: np.ndarray) -> bytes:
+    """The numbers of `x`, byte plane by byte plane, compressed."""
+    raw = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, kind)
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+class Chunk:
+    """Distinct words and pairs of a chunk: `number` and `pair` of every word, `before` and `after` of every pair."""
+
+    def __init__(self, table: pa.Table):
+        get = lambda name, kind: unpack(table.column(name)[0].as_py(), kind)
+        self.lengths, self.number = get("lengths", np.int32).astype(np.int64), get("numbers", np.int32).astype(np.int64)
+        words = get("words", U64)
+        ends = np.cumsum(self.lengths)
+        self.last = (ends - 1)[self.lengths > 0]
+        before = np.zeros(len(self.number), np.int64)
+        before[1:] = self.number[:-1] + 1
+        before[(ends - self.lengths)[self.lengths > 0]] = 0
+        base = max(1, len(words))
+        pairs, self.pair, self.pair_counts = np.unique(before * base + self.number, return_inverse=True, return_counts=True)
+        self.before, self.after = pairs // base, pairs % base
+        hashes = np.concatenate([np.zeros(1, U64), mix(words, 3)])
+        #: of words and of pairs: the key of each, and their order by it
+        self.keys = mix(words, 11), mix(hashes[self.before] + words[self.after], 5)
+        self.orders = [np.argsort(keys) for keys in self.keys]
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words: all, in targets, last of all, last in targets; of pairs: all, in targets. One row each."""
+        n, chosen = len(self.keys[0]), np.repeat(target, self.lengths)
+        last = self.number[self.last]
+        of_word = [self.number, self.number[chosen], last, last[target[self.lengths > 0]]]
+        of_pair = [self.pair_counts, np.bincount(self.pair[chosen], minlength=len(self.pair_counts))]
+        return np.stack([np.bincount(x, minlength=n) for x in of_word]).astype(np.int32), np.stack(of_pair).astype(np.int32)
+
+
+WIDTHS = {"word": 4, "pair": 2}
+
 
+def _chunked(number: Callable[[np.ndarray], np.ndarray]):
+    """Rows (id, text) to chunks."""
 
-def _encoded(docs: DataFrame, doc_id: str, text: str, words: np.ndarray, classes: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    def chunk(serial: int, ids: list[pa.Array], lengths: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        own = pa.concat_arrays(ids)
+        words, numbers = np.unique(hashes, return_inverse=True)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+        raw = [pa.array([pack(x)], pa.binary()) for x in (lengths.astype(np.int32), words, numbers.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([serial], pa.int64()), listed, *raw], names=["chunk", "ids", "lengths", "words", "numbers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial, held, n_tokens, n_rows = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            ids, lengths, hashes = zip(*held, strict=True)
+            return chunk(serial, list(ids), np.concatenate(lengths), np.concatenate(hashes))
+
         for batch in batches:
             for row, until, data, bounds in chunks(batch.column(1)):
                 w = Words(data, bounds)
-                raw = number_words(w.hash, shared.value, classes).astype("<u2").tobytes()
-                rows = [raw[2 * a : 2 * b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-                ids = batch.column(0).slice(row, until - row)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.binary())], names=["_id", "_numbers"])
+                held.append((batch.column(0).slice(row, until - row), w.counts, number(w.hash)))
+                n_tokens, n_rows = n_tokens + len(w.hash), n_rows + until - row
+                if n_tokens >= CHUNK_TOKENS or n_rows >= CHUNK_ROWS:
+                    yield flush()
+                    serial, held, n_tokens, n_rows = serial + 1, [], 0, 0
+        if held:
+            yield flush()
 
-    return docs.select(doc_id, text).mapInArrow(run, f"_id {dict(docs.dtypes)[doc_id]}, _numbers binary")
+    return run
 
 
-def _pair_counts(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = np.zeros(size * size, np.int64), np.zeros(size * size, np.int64)
-        for batch in batches:
-            pairs, lengths = _pairs(batch, 0, size)
-            chosen = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths)
-            np.add.at(every, pairs, 1)
-            np.add.at(target, pairs[chosen], 1)
-        found = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int64()), pa.array(every[found]), pa.array(target[found])], names=["pair", "n", "n_target"]
-        )
+def _asked(n_parts: int):
+    """The distinct words and pairs of a chunk with their counts, by part: a range of keys."""
+    edges = np.array([-(-(p << 64) // n_parts) for p in range(1, n_parts)], U64)
+
+    def run(held: pa.Table, marked: pa.Table) -> pa.Table:
+        c = Chunk(held)
+        target = np.zeros(len(c.lengths), bool)
+        for rows in marked.column("rows").to_pylist():
+            target[rows] = True
+        columns, some = [], np.zeros(n_parts, bool)
+        for keys, order, counts in zip(c.keys, c.orders, c.counts(target), strict=True):
+            keys, counts = keys[order], counts[:, order]
+            bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            columns += [[pack(keys[a:b]) for a, b in spans], [pack(counts[:, a:b]) for a, b in spans]]
+            some |= np.diff(bounds) > 0
+        parts = np.flatnonzero(some)
+        own = [pa.array([held.column("chunk")[0].as_py()] * len(parts), pa.int64()), pa.array(parts, pa.int32())]
+        raw = [pa.array([column[p] for p in parts.tolist()], pa.binary()) for column in columns]
+        return pa.table([*own, *raw], names=["chunk", "part", "words", "word_counts", "pairs", "pair_counts"])
 
     return run
 
 
-def losses(counts: np.ndarray, k: float) -> np.ndarray:
-    """-log p(w|u) of every pair, from pair counts (size, size)."""
-    size = len(counts)
-    words = counts.sum(axis=0)
-    p = (words + 1) / (words.sum() + size)
-    return -np.log((counts + k * p) / (counts.sum(axis=1, keepdims=True) + k)).astype(np.float32)
+def _answered(asked: pa.Table) -> pa.Table:
+    """The sums over all chunks, for every chunk in the order of its keys.
+
+    `told`, in one row of the part: its number of words, and the sums of their counts.
+    """
+    columns, told = [], []
+    for name, width in WIDTHS.items():
+        keys = [unpack(x, U64) for x in asked.column(f"{name}s").to_pylist()]
+        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros((width, len(unique)), np.int64)
+        ends = np.cumsum([len(x) for x in keys]).tolist()
+        spans = list(zip([0, *ends], ends, strict=False))
+        for (a, b), raw in zip(spans, asked.column(f"{name}_counts").to_pylist(), strict=True):
+            sums[:, at[a:b]] += unpack(raw, np.int32).reshape(width, -1)  # a chunk has each key once
+        columns.append(pa.array([pack(sums[:, at[a:b]]) for a, b in spans], pa.binary()))
+        told = told or [len(unique), *sums.sum(axis=1).tolist()]
+    told = pa.array([told] + [None] * (asked.num_rows - 1), pa.list_(pa.int64()))
+    return pa.table([asked.column("chunk"), asked.column("part"), *columns, told], names=["chunk", "part", "word_sums", "pair_sums", "told"])
+
+
+def _losses(c: Chunk, words: np.ndarray, last: np.ndarray, pairs: np.ndarray, n: int, starts: int, size: int, k: float) -> np.ndarray:
+    """-log p(w|u) of the distinct pairs of a chunk."""
+    left = np.concatenate([[starts], words - last])
+    p = (words + 1) / (n + size)
+    return -np.log((pairs + k * p[c.after]) / (left[c.before] + k))
 
 
 def score(
@@ -111,37 +193,50 @@ def score(
     targets: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    frequent: int = FREQUENT,
-    classes: int = CLASSES,
+    frequent: int | None = None,
+    classes: int = 512,
     k: float = 50.0,
 ) -> DataFrame:
     """(doc_id, n_tokens, ce_target, ce_background, score). `targets`: a column `doc_id`, any number of rows for one."""
-    words = vocabulary(docs, text, frequent)
-    size = 1 + len(words) + classes
-    if size > 1 << 14:
-        raise ValueError("the vocabulary and classes must have fewer than 16384 numbers")
-    encoded = materialize(_encoded(docs, doc_id, text, words, classes), "numbers")
-    marks = targets.select(F.col(doc_id).alias("_id")).distinct().withColumn("_target", F.lit(True))
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[doc_id]
+    size, number = None, lambda hashes: hashes
+    if frequent is not None:
+        words = vocabulary(docs, text, frequent)
+        size, number = 1 + len(words) + classes, lambda hashes: number_words(hashes, words, classes).astype(U64)
+    schema = f"chunk bigint, ids array<{kind}>, lengths binary, words binary, numbers binary"
+    held = materialize(docs.select(doc_id, text).mapInArrow(_chunked(number), schema), "chunks")
+    marks = targets.select(F.col(doc_id).alias("_id")).distinct()
+    marked = held.select("chunk", F.posexplode("ids").alias("row", "_id")).where("_id IS NOT NULL")
     # one plan at every size: few labels would be broadcast, many shuffled
-    marked = encoded.join(marks.hint("merge"), "_id", "left").select("_numbers", F.coalesce("_target", F.lit(False)).alias("_target"))
-    counts = marked.mapInArrow(_pair_counts(size), "pair bigint, n bigint, n_target bigint")
-    counts = counts.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()  # at most size**2 rows
-    tables = []
-    for name in ("n_target", "n"):
-        table = np.zeros(size * size)
-        table[counts.column("pair").to_numpy()] = counts.column(name).to_numpy()
-        tables.append(losses(table.reshape(size, size), k).ravel())
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(tables))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs, lengths = _pairs(batch, 1, size)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            sums = [np.bincount(owner, table[pairs], len(lengths)) / np.maximum(lengths, 1) for table in shared.value]
-            none = lengths == 0
-            values = [sums[0], sums[1], sums[0] - sums[1]]
-            columns = [batch.column(0), pa.array(lengths, pa.int64()), *(pa.array(v, pa.float64(), mask=none) for v in values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "n_tokens", "ce_target", "ce_background", "score"])
-
-    schema = f"_id {dict(docs.dtypes)[doc_id]}, n_tokens bigint, ce_target double, ce_background double, score double"
-    return encoded.mapInArrow(run, schema).withColumnRenamed("_id", doc_id)
+    marked = marked.join(marks.hint("merge"), "_id").groupBy(F.col("chunk").alias("_of")).agg(F.collect_list("row").alias("rows"))
+    sent = held.select("chunk", "lengths", "words", "numbers")
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n_parts = max(n_partitions(spark), -(-n_bytes // PART_BYTES))
+    asked = "chunk bigint, part int, words binary, word_counts binary, pairs binary, pair_counts binary"
+    asked = sent.groupBy("chunk").cogroup(marked.groupBy("_of")).applyInArrow(_asked(n_parts), asked)
+    answers = "chunk bigint, part int, word_sums binary, pair_sums binary, told array<bigint>"
+    answers = materialize(asked.groupBy("part").applyInArrow(_answered, answers), "counts")
+    told = answers.where("told IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("told")[i]), F.lit(0)) for i in range(5))).first()
+    size = size or 1 + told[0]
+
+    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
+        c, answers = Chunk(held), answers.sort_by("part")
+        sums = []
+        for (name, width), order in zip(WIDTHS.items(), c.orders, strict=True):
+            own = np.zeros((width, len(order)), np.int64)
+            back = [unpack(x, np.int64).reshape(width, -1) for x in answers.column(f"{name}_sums").to_pylist()]
+            own[:, order] = np.concatenate([np.zeros((width, 0), np.int64), *back], axis=1)
+            sums += list(own)
+        owner = np.repeat(np.arange(len(c.lengths)), c.lengths)
+        ce = []
+        for at in (1, 0):  # of `sums` and `told`: target, background
+            losses = _losses(c, sums[at], sums[2 + at], sums[4 + at], told[1 + at], told[3 + at], size, k)
+            ce.append(np.bincount(owner, losses[c.pair], len(c.lengths)) / np.maximum(c.lengths, 1))
+        none = c.lengths == 0
+        ids = held.column("ids").combine_chunks().flatten()
+        values = [pa.array(v, pa.float64(), mask=none) for v in (ce[0], ce[1], ce[0] - ce[1])]
+        return pa.table([ids, pa.array(c.lengths, pa.int64()), *values], names=["_id", "n_tokens", "ce_target", "ce_background", "score"])
+
+    schema = f"_id {kind}, n_tokens bigint, ce_target double, ce_background double, score double"
+    scored = held.groupBy("chunk").cogroup(answers.drop("told").groupBy("chunk")).applyInArrow(run, schema)
+    return scored.withColumnRenamed("_id", doc_id)
