@@ -31,7 +31,7 @@ def recall_pref_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def recall_pop_fill(s: SparkSession, d: str) -> DataFrame:
-    return r.fill_popular(recall_cooc(s, d), popularity(s, d))
+    return r.fill_popular(_recent(s, d), recall_cooc(s, d), popularity(s, d))
 
 
 def recall_merged(s: SparkSession, d: str) -> DataFrame:
