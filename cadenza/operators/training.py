@@ -47,21 +47,56 @@ def hard_negatives(found: DataFrame, neighbours: DataFrame, k: int = 3) -> DataF
     return found.join(top, "anchor").select("session_id", "t", "candidate", "rank")
 
 
-def random_negatives(found: DataFrame, weights: DataFrame, n: int = 5, tries: int = 12) -> DataFrame:
-    """(session_id, t, candidate, rank): n different tracks drawn with the given weights, the anchor left out.
+def _spans(weights: DataFrame, bands: int, width: int = 4096) -> DataFrame:
+    """(candidate, from, to, band): the weights laid out on [0, total) by track, once for every band that they touch.
 
-    A draw is a number in [0, total) from a hash of the context and the try. The weights are laid out on [0, total) in
-    bands, so a draw is an equi-join on its band and a comparison, never a comparison with all tracks.
+    Running sums are made in ranges of `width` track numbers, and begin at the sum of the ranges before.
     """
-    spans = weights.withColumn("to", F.sum("weight").over(Window.orderBy("track_id"))).withColumn("from", F.col("to") - F.col("weight"))
-    bands = F.lit(4096)
-    spans = spans.select(F.col("track_id").alias("candidate"), "from", "to", F.explode(F.sequence(F.floor(F.col("from") * bands), F.floor(F.col("to") * bands))).alias("band"))
-    drawn = found.select("session_id", "t", "anchor", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try"))
-    drawn = drawn.withColumn("u", unit_of(F.concat_ws(":", "session_id", "t", "try"))).withColumn("band", F.floor(F.col("u") * bands))
-    hits = drawn.join(spans, "band").where("u >= `from` AND u < `to` AND candidate <> anchor")
-    once = hits.groupBy("session_id", "t", "candidate").agg(F.min("try").alias("try"))
-    rank = F.row_number().over(Window.partitionBy("session_id", "t").orderBy("try"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= n).select("session_id", "t", "candidate", "rank")
+    ranged = weights.withColumn("range", F.floor(F.col("track_id") / width))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("range").agg(F.sum("weight").alias("w")).select("range", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("base"))
+    spans = ranged.withColumn("to", F.sum("weight").over(Window.partitionBy("range").orderBy("track_id"))).join(base, "range")
+    spans = spans.withColumn("to", F.col("base") + F.col("to")).withColumn("from", F.col("to") - F.col("weight"))
+    touched = F.sequence(F.floor(F.col("from") * bands), F.floor(F.col("to") * bands))
+    return spans.select(F.col("track_id").alias("candidate"), "from", "to", F.explode(touched).alias("band"))
+
+
+def random_negatives(found: DataFrame, weights: DataFrame, hard: DataFrame | None = None, n: int = 5, tries: int = 12, most: int = 200) -> DataFrame:
+    """(session_id, t, candidate, rank): tracks drawn with the given weights that make up n with the context's `hard` ones.
+
+    They differ, and the anchor and the hard ones are left out. A draw is a number in [0, total) from a hash of the
+    context and the try. The weights are laid out on [0, total) in bands, so a draw is an equi-join on its band and a
+    comparison, never a comparison with all tracks. Contexts that are short after `tries` draws get up to `most` for every
+    track they need, and then the first tracks of the vocabulary: as many as it has.
+    """
+    key, bands = ["session_id", "t"], 4096
+    spans = _spans(weights, bands)
+    none = F.array().cast("array<bigint>")
+    rows = found.select(*key, "anchor").withColumn("gone", none)
+    if hard is not None:
+        rows = rows.drop("gone").join(hard.groupBy(*key).agg(F.collect_set(F.col("candidate").cast("bigint")).alias("gone")), key, "left")
+    rows = rows.withColumn("gone", F.array_except(F.coalesce("gone", none), F.array(F.col("anchor").cast("bigint"))))
+    rows = rows.withColumn("need", n - F.size("gone")).where("need > 0")
+    rows = rows.select(*key, "need", F.concat("gone", F.array(F.col("anchor").cast("bigint"))).alias("gone"), none.alias("got"))
+
+    def with_more(rows: DataFrame, more: str) -> DataFrame:
+        fresh = F.array_except(F.array_except(more, "gone"), F.col("got"))
+        return rows.withColumn("got", F.concat("got", F.slice(fresh, F.lit(1), F.col("need") - F.size("got")))).drop(more)
+
+    for first, last in ((1, F.lit(tries)), (tries + 1, most * F.col("need"))):
+        short = rows.where((F.size("got") < F.col("need")) & (last >= first))
+        drawn = short.select(*key, F.explode(F.sequence(F.lit(first), last)).alias("try"))
+        drawn = drawn.withColumn("u", unit_of(F.concat_ws(":", "session_id", "t", "try"))).withColumn("band", F.floor(F.col("u") * bands))
+        once = drawn.join(spans, "band").where("u >= `from` AND u < `to`").groupBy(*key, "candidate").agg(F.min("try").alias("try"))
+        hits = once.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("try", F.col("candidate").cast("bigint").alias("c")))).alias("hits"))
+        rows = with_more(rows.join(hits, key, "left").withColumn("more", F.coalesce(F.col("hits.c"), none)).drop("hits"), "more")
+    # a context leaves out n tracks at most besides those it has, and needs n at most
+    head = weights.select(F.col("track_id").cast("bigint").alias("track_id")).orderBy("track_id").limit(3 * n + 1)
+    head = head.agg(F.sort_array(F.collect_list("track_id")).alias("head"))
+    rows = with_more(rows.crossJoin(F.broadcast(head)), "head")
+    kind = weights.schema["track_id"].dataType
+    out = rows.select(*key, F.posexplode("got").alias("rank", "candidate"))
+    return out.select(*key, F.col("candidate").cast(kind).alias("candidate"), (F.col("rank") + 1).alias("rank"))
 
 
 def ranking_metrics(scored: DataFrame, k: int = 5) -> DataFrame:

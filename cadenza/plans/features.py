@@ -142,7 +142,8 @@ def contexts_with_hard_negs(s: SparkSession, d: str) -> DataFrame:
 
 
 def random_negatives(s: SparkSession, d: str) -> DataFrame:
-    return t.random_negatives(_contexts(s, d), f.negative_weights(v.catalog(s, d), popularity(s, d)))
+    hard = t.hard_negatives(_contexts(s, d), f.top_neighbours(train_edges(s, d)))
+    return t.random_negatives(_contexts(s, d), f.negative_weights(v.catalog(s, d), popularity(s, d)), hard)
 
 
 def ranking_metrics(s: SparkSession, d: str) -> DataFrame:
