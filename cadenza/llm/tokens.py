@@ -8,11 +8,12 @@ that need certainty compare the words or use two independent hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1_000_000
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _WINDOW_ODD = U64(0xD6E8FEB86659FD93)
@@ -68,12 +69,17 @@ class Words:
         ends[cuts - 1] = inside[1:-1][cuts - 1]
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, bounds)
+        self._lower = lower
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        data = self.data
         forward, backward = _powers(_ODD, len(data) + 1)
-        codes = (_BYTE_CODE[LOWER] if lower else _BYTE_CODE)[data]
+        codes = (_BYTE_CODE[LOWER] if self._lower else _BYTE_CODE)[data]
         codes *= forward[: len(data)]
         total = np.zeros(len(data) + 1, U64)
         np.cumsum(codes, out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * backward[self.start] + (self.end - self.start).astype(U64))
+        return mix((total[self.end] - total[self.start]) * backward[self.start] + (self.end - self.start).astype(U64))
 
     @property
     def counts(self) -> np.ndarray:

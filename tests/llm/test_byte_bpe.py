@@ -40,3 +40,27 @@ def test_digests_and_small_dictionary(spark, monkeypatch):
         expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got), key=str) == sorted(expected, key=str)
     assert byte_bpe.digests(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_very_long_words_and_shared_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    long = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (1025, 3000, 30_000)] + ["a" * 5000, "ab" * 1500, "é" * 2000]
+    docs = list(enumerate([*long, *("seldom words wander over shared lines " + x for x in "abcdefgh")]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for most in (byte_bpe.SHARED, 3):
+        monkeypatch.setattr(byte_bpe, "SHARED", most)
+        got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()}
+        assert got == {i: (ENCODING.encode_ordinary(t), t.encode()) for i, t in docs}
+    assert 0 < byte_bpe.common_pieces(df, "text", 1000).count() < 1000
+
+
+def test_every_pair_is_found_and_no_other():
+    pairs = byte_bpe.merge_pairs(RANKS)
+    shift, slots = byte_bpe.displaced(pairs)
+    rng, seen = random.Random(2), 0
+    for left, right in [*pairs, *((rng.randrange(len(shift)), rng.randrange(len(shift))) for _ in range(50_000))]:
+        at = shift[left] + right
+        rank = slots[at] ^ (left << byte_bpe.ID_BITS) if at < len(slots) and slots[at] is not None else byte_bpe.NO_RANK
+        assert min(rank, byte_bpe.NO_RANK) == pairs.get((left, right), byte_bpe.NO_RANK)
+        seen += 1
+    assert seen == len(pairs) + 50_000
