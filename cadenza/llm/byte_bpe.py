@@ -23,7 +23,6 @@ import base64
 import hashlib
 import json
 import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.scratch import discard, materialize
-from cadenza.llm.tokens import U64, Words, chunks, list_array, span_hashes
+from cadenza.llm.tokens import U64, Words, chunks, list_array, released, span_hashes
 
 BLOCK_BYTES = 1_000_000
 DICTIONARY = 400_000
@@ -373,18 +372,6 @@ class _Units:
         return _ragged(self.first[at], self.sizes[at], self.values), self.sizes[at], self.raw.take(pa.array(at)), self.texts.take(pa.array(at))
 
 
-#: The units of the last broadcast that this Python worker has read: its tasks share them.
-_LAST: dict[str, _Units] = {}
-
-
-def _common_units(shared, table: pa.BinaryArray) -> _Units:
-    name, sizes, values = shared.value
-    if name not in _LAST:
-        _LAST.clear()
-        _LAST[name] = _Units(list_array(values, sizes, pa.int32()), table)
-    return _LAST[name]
-
-
 def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
     values, sizes, raw, texts = zip(*parts, strict=True)
     return np.concatenate(values), np.concatenate(sizes), pa.concat_arrays(raw), pa.concat_arrays(texts)
@@ -393,7 +380,7 @@ def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Ar
 def _unpack(names: list[str], digest: bool, pieces, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
-        common = None if shared is None else _common_units(shared, table)
+        common = None if shared is None else _Units(list_array(*reversed(shared.value), pa.int32()), table)
         n_shared = 0 if common is None else len(common.sizes)
         known: list[_Units] = []  # of each block since the last forgetting
         for batch in batches:
@@ -432,7 +419,7 @@ def _unpack(names: list[str], digest: bool, pieces, shared):
 
 def common_pieces(docs: DataFrame, text: str, most: int) -> DataFrame:
     """(piece): those that most tasks have, two at least, and not more than `most`: all that are in as many tasks or more."""
-    found = docs.select(F.col(text).alias("_text")).mapInArrow(_distinct, "piece binary")
+    found = docs.select(F.col(text).alias("_text")).mapInArrow(released(_distinct), "piece binary")
     counted = materialize(found.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pieces")
     step = F.floor(F.log2("n") * 8).cast("int")
     left, least = most, None
@@ -455,7 +442,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ad
     schema = f"_rest array<struct<{fields}>>, _counts array<int>, _refs array<int>, _words array<array<smallint>>, _forget boolean"
 
     def folded(rows: DataFrame, names: list[str], shape: str, hashes) -> DataFrame:
-        packed = rows.mapInArrow(_pack(pattern, len(names), hashes), shape)
+        packed = rows.mapInArrow(released(_pack(pattern, len(names), hashes)), shape)
         ids = _let(literal, lambda t: F.transform("_words", lambda w: fold_merges(w, t, whole)))
         return packed.select("_rest", "_counts", "_refs", ids.alias("_ids"), "_forget")
 
@@ -464,18 +451,18 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ad
     if share:
         common = common_pieces(docs, text, SHARED).select("piece", F.col("piece").cast("string").alias("_text"))
         shape = schema.replace(fields, "`piece`: binary")
-        coded = folded(common, ["piece"], shape, None).mapInArrow(_unpack(["piece"], False, pieces, None), "piece binary, _ids array<int>, _decoded binary")
+        coded = folded(common, ["piece"], shape, None).mapInArrow(released(_unpack(["piece"], False, pieces, None)), "piece binary, _ids array<int>, _decoded binary")
         got = coded.select("piece", "_ids").toArrow()
         if len(got):
             found = np.concatenate([span_hashes(data, bounds[:-1], bounds[1:]) for part in got.column(0).chunks for _, _, data, bounds in chunks(part)])
             order = np.argsort(found)
             ids = got.column(1).combine_chunks().take(pa.array(order))
             hashes = sc.broadcast(found[order])
-            units = sc.broadcast((uuid.uuid4().hex, np.asarray(ids.value_lengths(), np.int32), ids.flatten().to_numpy()))
+            units = sc.broadcast((np.asarray(ids.value_lengths(), np.int32), ids.flatten().to_numpy()))
         del got
     schema_out = "".join(f"`{c}` {types[c]}, " for c in rest) + kinds
     packed = folded(docs.select(*rest, F.col(text).alias("_text")), rest, schema, hashes)
-    return packed.mapInArrow(_unpack(rest, digest, pieces, units), schema_out).withColumnsRenamed({f"_{c}": c for c in added})
+    return packed.mapInArrow(released(_unpack(rest, digest, pieces, units)), schema_out).withColumnsRenamed({f"_{c}": c for c in added})
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.scratch import materialize
-from cadenza.llm.tokens import ALNUM, U64, Words, chunks, mix
+from cadenza.llm.tokens import ALNUM, U64, Words, chunks, mix, released
 
 WINDOW = 10
 #: Words of a text that one cursor searches.
@@ -176,7 +176,7 @@ def _searched(docs: DataFrame, text: str, rest: list[str], block: tuple[list[Sea
             hit = _scan(searchers, holders, batch.column(len(rest)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *hit.columns], names=[*rest, *hit.schema.names])
 
-    return docs.select(*rest, F.col(text).alias("_searched")).mapInArrow(scan, schema)
+    return docs.select(*rest, F.col(text).alias("_searched")).mapInArrow(released(scan), schema)
 
 
 def search(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.scratch import broadcast_if_small, materialize
-from cadenza.llm.tokens import NOT_SPACE, U64, Sums, chunks, list_array, mix, signed
+from cadenza.llm.tokens import NOT_SPACE, U64, Sums, chunks, list_array, mix, released, signed
 
 MIN_FUZZY = 10
 #: Bits of the four halves that a line may share.
@@ -184,7 +184,7 @@ def near_repeats(named: DataFrame, distinct: DataFrame) -> DataFrame:
     asked = halves.join(shared, "half").groupBy("h1", "doc", "line").agg(F.bit_or(F.expr("shiftleft(1, part)")).alias("mask"))
     asked = materialize(asked.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("h1", "line", "mask")).alias("lines")), "asked")
     rows = named.select("_doc", "_text").join(broadcast_if_small(asked, 200_000), "_doc")
-    variants = materialize(rows.mapInArrow(_variants, "key bigint, whole boolean, h1 bigint, doc bigint, line int"), "variants")
+    variants = materialize(rows.mapInArrow(released(_variants), "key bigint, whole boolean, h1 bigint, doc bigint, line int"), "variants")
     place = F.struct("doc", "line", "h1")
     first = variants.groupBy("key").agg(
         F.min(F.when(F.col("whole"), place)).alias("line_itself"), F.min(F.when(~F.col("whole"), place)).alias("shorter"), F.count(F.lit(1)).alias("n")
@@ -195,9 +195,9 @@ def near_repeats(named: DataFrame, distinct: DataFrame) -> DataFrame:
     keeper = F.when(F.col("whole") | F.col("line_itself").isNull(), F.col("shorter")).otherwise(F.col("line_itself"))
     pairs = met.select("h1", "doc", "line", keeper.alias("k")).where("k IS NOT NULL AND (k.doc < doc OR (k.doc = doc AND k.line < line))")
     pairs = materialize(pairs.select("h1", F.col("k.h1").alias("other")).where("h1 <> other").distinct(), "pairs")
-    texts = materialize(rows.mapInArrow(_line_texts, "h1 bigint, text string").dropDuplicates(["h1"]), "lines")
+    texts = materialize(rows.mapInArrow(released(_line_texts), "h1 bigint, text string").dropDuplicates(["h1"]), "lines")
     both = pairs.join(texts.withColumnRenamed("text", "x"), "h1").join(texts.select(F.col("h1").alias("other"), F.col("text").alias("y")), "other")
-    return both.select("h1", "x", "y").mapInArrow(_verified, "h1 bigint").distinct()
+    return both.select("h1", "x", "y").mapInArrow(released(_verified), "h1 bigint").distinct()
 
 
 def _apply(n_rest: int):
@@ -235,7 +235,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
     named = docs.select(*rest, F.col(doc_id).cast("bigint").alias("_doc"), F.col(text).alias("_text"))
     lines = named.where("_doc IS NOT NULL").select("_doc", "_text").mapInArrow(
-        _lines(min_fuzzy), "h1 bigint, h2 bigint, doc bigint, line int, halves array<bigint>"
+        released(_lines(min_fuzzy)), "h1 bigint, h2 bigint, doc bigint, line int, halves array<bigint>"
     )
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "halves")).alias("f"))
     distinct = materialize(distinct.select("h1", "h2", "f.*"), "lines")
@@ -247,7 +247,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in rest) + "_kept string, _n_lines bigint, _n_removed bigint"
     joined = named.join(stay, "_doc", "left").select(*rest, "_doc", "_text", "_stay")
-    out = joined.mapInArrow(_apply(len(rest)), schema)
+    out = joined.mapInArrow(released(_apply(len(rest))), schema)
     return out.withColumnsRenamed({"_kept": text, "_n_lines": "n_lines", "_n_removed": "n_removed"})
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.tokens import U64, Words, chunks, list_array, mix, signed, sliding_min
+from cadenza.llm.tokens import U64, Words, chunks, list_array, mix, released, signed, sliding_min
 
 WINDOW, ANCHOR = 13, 5
 
@@ -176,7 +176,7 @@ def remove_repeats(
     named = docs.select(*rest, F.col(doc_id).cast("bigint").alias("_doc"), F.col(text).alias("_text"))
     texts = named.select("_doc", "_text").where("_doc IS NOT NULL")
 
-    seeds = texts.mapInArrow(_seeds(window, anchor), "anchor bigint, salt bigint, doc bigint, shared boolean")
+    seeds = texts.mapInArrow(released(_seeds(window, anchor)), "anchor bigint, salt bigint, doc bigint, shared boolean")
     near = Window.partitionBy("anchor", "salt").orderBy("doc")
     other = lambda c: F.coalesce(c != F.col("doc"), F.lit(False))
     met = other(F.lag("doc").over(near)) | other(F.lead("doc").over(near))
@@ -191,14 +191,14 @@ def remove_repeats(
     joined = joined.withColumn("_copy", F.col("_whole").isNull() & F.col("_doc").isNotNull()).drop("_whole")
 
     # both readers of `joined` take all its columns and rows, so that the texts are shuffled once
-    keys = joined.mapInArrow(_keys(window, anchor), "anchor bigint, whole bigint, doc bigint")
+    keys = joined.mapInArrow(released(_keys(window, anchor)), "anchor bigint, whole bigint, doc bigint")
     earliest = keys.groupBy("anchor", "whole").agg(F.min("doc").alias("_doc"))
-    firsts = earliest.mapInArrow(_folded, "_doc bigint, key bigint").groupBy("_doc").agg(F.collect_list("key").alias("_firsts"))
+    firsts = earliest.mapInArrow(released(_folded), "_doc bigint, key bigint").groupBy("_doc").agg(F.collect_list("key").alias("_firsts"))
 
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in rest) + "_n_words bigint, _n_removed bigint, _removed_runs array<int>, _kept_sha256 string"
     whole = joined.join(firsts, "_doc", "left").select(*rest, "_doc", "_text", "_seeds", "_firsts", "_copy")
-    out = whole.mapInArrow(_cut(window, anchor, with_text), schema + ", _kept_text string" * with_text)
+    out = whole.mapInArrow(released(_cut(window, anchor, with_text)), schema + ", _kept_text string" * with_text)
     return out.withColumnsRenamed({f"_{c}": c for c in added})
 
 

@@ -7,7 +7,8 @@ that need certainty compare the words or use two independent hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -56,6 +57,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow: after a task's last batch its Python worker, which lives on, gives freed memory back."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _POWERS.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 class Words:
     """The words of consecutive texts: `start`, `end` (byte offsets into `data`), `hash`, and `first[i]:first[i+1]` per text."""
 
