@@ -6,14 +6,14 @@ text that has fewer. Documents with equal sets are one class, found by hash, and
 In each of `runs` repetitions a set chooses tokens: those whose hash for the run and level is below a bound that falls
 with the size of the set, so that similar sets choose the same ones. Sets that chose the same token share a bucket.
 A bucket of more than `limit` sets is split again by the tokens that its sets chose for the next level, up to `levels`
-times, so passages that many documents share do not make large buckets. A bucket that does not get smaller (its sets are
+times, so passages that many documents share do not make large buckets. A bucket that would not get smaller (its sets are
 alike) or is still large at the last level is compared in tiles of `limit` by `limit` sets: every pair meets in one tile,
 none is left out. A pair at the bound shares on average `branch[0]` tokens per run at the first level, and is missed
 with a probability of about exp(-runs * branch[0]) there (1.5e-8 as set below).
 
 Buckets are compared in two passes: sketches of 64 hash bins find sets with a plausible partner (a pair at the bound
 fails with a probability below 1e-6), and only these sets' tokens are fetched and compared exactly. A pair that meets in
-several buckets is counted in the least of them. Tasks send back sums and the least member linked to each set, not pairs.
+several buckets is counted in the least of them; to the others it brings no set into the second pass. Tasks send back sums and the least member linked to each set, not pairs.
 
 Result: one row per document with `class_id`, the least id of its connected component of links, and `n_links`, the
 number of different texts that it is linked with (texts with the same shingles as its own included, itself not).
@@ -25,6 +25,7 @@ and no links and takes no part; repeated rows of one id and text count as one te
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components
-from cadenza.llm.scratch import broadcast_if_small, materialize, n_partitions
-from cadenza.llm.tokens import U64, Words, chunks, list_array, mix, signed
+from cadenza.llm.scratch import broadcast_if_small, discard, materialize, n_partitions
+from cadenza.llm.tokens import U64, Words, chunks, list_array, mix, released, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
 RUNS, LEVELS, LIMIT = 12, 3, 1024
+#: Sets of a bucket whose sketches are compared in one tile with those of another block.
+SKETCHES = 4096
 BRANCH = (1.5, 2.0, 2.0)
 BINS = 64
-#: A bucket with a child of this share of its sets is not getting smaller.
-STUCK = 0.8
+#: A bucket is not split if this share of its sets chose a token of the next level that its first set chose: they are alike.
+STUCK = 0.5
 #: A sketch passes with this share of equal bins, and always if it has fewer filled bins than FEW_BINS.
 PASS, FEW_BINS = 0.5, 32
+#: A tile's number is its lesser block times TILE plus its greater one.
+TILE = 1 << 30
 #: Pairs that are looked at together.
 PAIRS = 1 << 17
 #: The run of a bucket is in its lowest bits.
@@ -84,13 +89,13 @@ def _choices(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, level: in
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """For each of BINS bins of hashes 16 bits of its least token, or 0 where it is empty."""
+    """For each of BINS bins of hashes 8 bits of its least token, or 0 where it is empty."""
     bins = (tokens >> U64(58)).astype(np.int64)
     first = np.searchsorted(bins, np.arange(BINS))
-    out = np.zeros(BINS, np.uint16)
+    out = np.zeros(BINS, np.uint8)
     has = first < len(tokens)
     has[has] = bins[first[has]] == np.flatnonzero(has)
-    out[has] = ((mix(tokens[first[has]], 55) >> U64(48)).astype(np.int64) % 65535 + 1).astype(np.uint16)
+    out[has] = ((mix(tokens[first[has]], 55) >> U64(48)).astype(np.int64) % 255 + 1).astype(np.uint8)
     return out
 
 
@@ -101,17 +106,16 @@ def _sets(size: int, similarity: float, runs: int, branch: tuple[float, ...]):
                 tokens, sizes = shingle_sets(data, bounds, size)
                 owner = np.repeat(np.arange(until - row), sizes)
                 first = np.concatenate([[0], np.cumsum(sizes)])
-                raw, buffer = data.tobytes(), tokens.tobytes()
-                ids, texts, sketches = [], [], []
+                buffer = tokens.tobytes()
+                ids, sketches = [], []
                 for t in range(until - row):
                     a, b = int(first[t]), int(first[t + 1])
                     ids.append(xxhash.xxh3_64_intdigest(buffer[8 * a : 8 * b]) if b > a else None)
-                    texts.append(xxhash.xxh3_64_intdigest(raw[bounds[t] : bounds[t + 1]]))
                     sketches.append(_sketch(tokens[a:b]).tobytes() if b > a else None)
                 columns = [
                     batch.column(0).slice(row, until - row),
                     pa.array([None if i is None else i - 2**63 for i in ids], pa.int64()),
-                    pa.array([t - 2**63 for t in texts], pa.int64()),
+                    batch.column(2).slice(row, until - row),
                     pa.array(sizes, pa.int32()),
                     pa.array(sketches, pa.binary()),
                 ]
@@ -124,45 +128,47 @@ def _sets(size: int, similarity: float, runs: int, branch: tuple[float, ...]):
 
 
 def _counted(rows: DataFrame, name: str) -> DataFrame:
-    """`rows` (path, ...) of buckets with two sets or more, with the number `n` of their sets."""
-    counts = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-counts")
-    return materialize(rows.join(counts, "path"), name)
+    """`rows` (path, id) of buckets with two sets or more, with the number `n` of their sets."""
+    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(rows.join(counts, "path").select("path", "id", "n"), name)
 
 
 def buckets(classes: DataFrame, levels: int, limit: int) -> DataFrame:
     """(path, id, n): the buckets to compare, after splitting those over `limit`."""
-    rows = classes.select(F.explode("c0").alias("path"), "id")
-    found = _counted(rows, "buckets")
-    leaves = [found.where(F.col("n") <= limit)]
+    found = _counted(classes.select(F.explode("c0").alias("path"), "id").distinct(), "buckets")
+    made, leaves = [found], [found.where(F.col("n") <= limit)]
     for level in range(1, levels):
         large = found.where(F.col("n") > limit)
         if large.isEmpty():
             break
         run = F.lit((1 << RUN_BITS) - 1)
-        chosen = classes.select("id", F.col(f"c{level}").alias("next"))
-        kids = large.join(chosen, "id").select(
-            "id", F.col("path").alias("parent"), F.col("n").alias("of"), F.explode(F.filter("next", lambda t: t.bitwiseAND(run) == F.col("path").bitwiseAND(run))).alias("t")
-        )
+        of_run = F.filter("next", lambda t: t.bitwiseAND(run) == F.col("path").bitwiseAND(run))
+        large = large.join(classes.select("id", F.col(f"c{level}").alias("next")), "id").select("path", "id", "n", of_run.alias("next"))
+        large = materialize(large, "large")
+        one = broadcast_if_small(large.groupBy("path").agg(F.min_by("next", "id").alias("one")))
+        alike = F.avg(F.arrays_overlap("next", "one").cast("int"))
+        stuck = large.join(one, "path").groupBy("path").agg(alike.alias("alike")).where(F.col("alike") >= STUCK).select("path")
+        stuck = materialize(stuck, "stuck")
+        few = broadcast_if_small(stuck)
+        leaves.append(large.join(few, "path", "left_semi").select("path", "id", "n"))
+        kids = large.join(few, "path", "left_anti").select("id", F.col("path").alias("parent"), F.explode("next").alias("t"))
         path = F.xxhash64("parent", "t").bitwiseAND(~((1 << RUN_BITS) - 1)).bitwiseOR(F.col("parent").bitwiseAND(run))
-        kids = materialize(kids.select("id", "parent", "of", path.alias("path")), "children")
-        sizes = kids.groupBy("parent", "of", "path").count().groupBy("parent", "of").agg(F.max("count").alias("most"))
-        stuck = broadcast_if_small(materialize(sizes.where(F.col("most") >= STUCK * F.col("of")).select("parent"), "stuck"))
-        leaves.append(large.join(stuck.withColumnRenamed("parent", "path"), "path", "left_semi"))
-        found = _counted(kids.join(stuck, "parent", "left_anti").select("path", "id"), f"buckets-{level}")
+        found = _counted(kids.select(path.alias("path"), "id").distinct(), f"buckets-{level}")
         leaves.append(found.where(F.col("n") <= limit))
+        made += [large, stuck, found]
     else:
         leaves.append(found.where(F.col("n") > limit))
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    out = materialize(reduce(DataFrame.unionByName, leaves), "leaves")
+    for table in made:
+        discard(table)
+    return out
 
 
 def _tiled(rows: DataFrame, limit: int) -> DataFrame:
     """`rows` with `block` and `tile`: the sets of a bucket over `limit` are dealt into blocks, and a tile has two blocks."""
-    blocks = F.ceil(F.col("n") / limit).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least("block", j) * 100_000 + F.greatest("block", j))
+    blocks = F.ceil(F.col("n") / limit).cast("bigint")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.least("block", j) * TILE + F.greatest("block", j))
     return rows.withColumn("tile", F.explode(pairs))
 
 
@@ -201,7 +207,7 @@ def _starts(path: np.ndarray, tile: np.ndarray) -> np.ndarray:
 
 def _meet(tile: np.ndarray, block: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether a pair belongs to its tile: both blocks are different in a tile of two."""
-    two = tile[i] // 100_000 != tile[i] % 100_000
+    two = tile[i] // TILE != tile[i] % TILE
     return ~two | (block[i] != block[j])
 
 
@@ -219,21 +225,42 @@ def _pair_chunks(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         row = until
 
 
+def _met_before(starts: np.ndarray, earlier: pa.ListArray) -> np.ndarray:
+    """For every row a bit for each of the 64 earlier buckets that most rows of its group have."""
+    out = np.zeros(len(earlier), U64)
+    counts = np.asarray(earlier.value_lengths(), np.int64)
+    if not counts.sum():
+        return out
+    row, value = np.repeat(np.arange(len(counts)), counts), earlier.flatten().to_numpy()
+    ends = np.searchsorted(row, starts)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        some, n = np.unique(value[a:b], return_counts=True)
+        some = np.sort(some[np.argsort(-n, kind="stable")[:64]])
+        at = np.searchsorted(some, value[a:b]).clip(max=max(len(some) - 1, 0))
+        hit = some[at] == value[a:b] if len(some) else np.zeros(0, bool)
+        np.bitwise_or.at(out, row[a:b][hit], U64(1) << at[hit].astype(U64))
+    return out
+
+
 def _plausible(similarity: float):
+    """(path, id) of the sets with a plausible partner in their bucket that they do not certainly share an earlier one with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
             path, tile, block, size = (batch.column(c).to_numpy() for c in ("path", "tile", "block", "size"))
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
             filled = (sketch > 0).sum(axis=1)
-            keep = np.zeros(len(batch), bool)
-            for i, j in _pair_chunks(_starts(path, tile)):
+            keep, starts = np.zeros(len(batch), bool), _starts(path, tile)
+            before = _met_before(starts, batch.column("earlier"))
+            for i, j in _pair_chunks(starts):
                 near = _meet(tile, block, i, j) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+                near &= (before[i] & before[j]) == 0
                 i, j = i[near], j[near]
                 a, b = sketch[i], sketch[j]
                 equal, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
                 good = (equal >= PASS * either) | (np.minimum(filled[i], filled[j]) < FEW_BINS)
                 keep[i[good]] = keep[j[good]] = True
-            kept = batch.select(["path", "tile", "block", "id", "doc"]).filter(pa.array(keep))
+            kept = batch.select(["path", "id"]).filter(pa.array(keep))
             if len(kept):
                 yield kept
 
@@ -294,7 +321,7 @@ def _links(similarity: float):
                 both = _common(sets)
                 linked = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
                 np.fill_diagonal(linked, False)
-                if tile[a] // 100_000 != tile[a] % 100_000:
+                if tile[a] // TILE != tile[a] % TILE:
                     linked &= block[a:b, None] != block[None, a:b]
                 if not linked.any():
                     continue
@@ -317,7 +344,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(n_partitions(rows.sparkSession), "path", "tile").sortWithinPartitions("path", "tile")
 
 
-def join_similar(
+def _similar(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -328,28 +355,36 @@ def join_similar(
     limit: int = LIMIT,
     branch: tuple[float, ...] = BRANCH,
 ) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row of `docs`."""
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    """(doc, text, class_id, n_links) for every row of `docs`, `text` being the text's hash."""
+    named = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     schema = "doc bigint, id bigint, text bigint, size int, sketch binary" + "".join(f", c{k} array<bigint>" for k in range(levels))
-    sets = materialize(named.mapInArrow(_sets(size, similarity, runs, branch[:levels]), schema), "sets")
-    whole = sets.where("doc IS NOT NULL AND id IS NOT NULL")
+    wide = materialize(named.mapInArrow(released(_sets(size, similarity, runs, branch[:levels])), schema), "sets")
+    whole = wide.where("doc IS NOT NULL AND id IS NOT NULL")
     fields = ["doc", "size", "sketch", *(f"c{k}" for k in range(levels))]
     classes = whole.groupBy("id").agg(F.min(F.struct(*fields)).alias("f")).select("id", "f.*")
     n_texts = whole.select("id", "text").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_texts"))
     classes = materialize(classes.join(n_texts, "id"), "classes")
-
-    leaves = materialize(buckets(classes, levels, limit), "leaves")
-    rows = leaves.join(classes.select("id", "doc", "size", "sketch"), "id")
-    near = _dealt(_tiled(rows, limit)).mapInArrow(_plausible(similarity), "path bigint, tile int, block int, id bigint, doc bigint")
-    near = materialize(near, "plausible")
-
-    asked = near.select("doc", "id").distinct()
-    tokens = named.join(broadcast_if_small(asked, 200_000), "doc").select("doc", "text", "id")
-    tokens = materialize(tokens.mapInArrow(_token_rows(size), "id bigint, tokens binary").dropDuplicates(["id"]), "tokens")
-    of_set = leaves.join(asked.select("id"), "id").groupBy("id").agg(F.collect_set("path").alias("leaves"))
-    known = tokens.join(of_set, "id").join(classes.select("id", "n_texts"), "id")
-    found = _dealt(near.join(known, "id")).mapInArrow(_links(similarity), "doc bigint, id bigint, links bigint, least bigint")
+    sets = materialize(wide.select("doc", "id", "text"), "set-ids")
+    discard(wide)
+
+    leaves = buckets(classes, levels, limit)
+    of_set = leaves.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("path", "n"))).alias("at"))
+    rows = of_set.join(classes.select("id", "size", "sketch"), "id").select("id", "size", "sketch", "at", F.explode("at").alias("own"))
+    earlier = F.transform(F.filter("at", lambda x: x["path"] < F.col("own.path")), lambda x: x["path"])
+    rows = rows.select("own.path", "own.n", "id", "size", "sketch", earlier.alias("earlier"))
+    near = _dealt(_tiled(rows, SKETCHES)).mapInArrow(released(_plausible(similarity)), "path bigint, id bigint")
+    near = materialize(near.distinct(), "plausible")
+
+    asked = near.select("id").distinct().join(classes.select("id", "doc"), "id")
+    tokens = named.drop("key").join(broadcast_if_small(asked, 200_000), "doc").select("doc", "text", "id")
+    tokens = materialize(tokens.mapInArrow(released(_token_rows(size)), "id bigint, tokens binary").dropDuplicates(["id"]), "tokens")
+    paths = of_set.select("id", F.transform("at", lambda x: x["path"]).alias("leaves"))
+    known = tokens.join(paths, "id").join(classes.select("id", "doc", "n_texts"), "id")
+    met = near.join(near.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path")
+    found = _dealt(_tiled(met.join(known, "id"), limit)).mapInArrow(released(_links(similarity)), "doc bigint, id bigint, links bigint, least bigint")
     found = materialize(found, "links")
+    for table in (leaves, near, tokens):
+        discard(table)
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("doc").alias("u"), F.col("least").alias("v")))
@@ -360,13 +395,23 @@ def join_similar(
     )
     verdicts = materialize(verdicts, "verdicts")
     alone = F.col("doc").isNull() | F.col("id").isNull()
-    out = sets.select("doc", "id").where(~alone).join(verdicts, "id").select("doc", "class_id", "n_links")
-    rest = sets.where(alone).select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return out.unionByName(rest).withColumnRenamed("doc", doc_id)
+    out = sets.where(~alone).join(verdicts, "id").select("doc", "text", "class_id", "n_links")
+    rest = sets.where(alone).select("doc", "text", F.col("doc").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return out.unionByName(rest)
+
+
+def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
+    """(doc_id, class_id, n_links) for every row of `docs`; `options` are those of the method, as named above."""
+    return _similar(docs, doc_id, text, **options).select(F.col("doc").alias(doc_id), "class_id", "n_links")
 
 
 def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
-    """The rows of `docs` without those of another document's class: the one of least id stays."""
-    found = join_similar(docs, doc_id, text, **options)
-    gone = materialize(found.where(F.col("class_id") != F.col(doc_id)).select(doc_id).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone, 200_000), doc_id, "left_anti").select(*docs.columns)
+    """The rows of `docs` without those of another document's class: the one of least id stays.
+
+    A row goes by its own text: other rows of the same id stay if no earlier document holds a near copy of theirs.
+    """
+    found = _similar(docs, doc_id, text, **options)
+    gone = found.where(F.col("class_id") != F.col("doc")).select(F.col("doc").alias("_doc"), F.col("text").alias("_text"))
+    gone = broadcast_if_small(materialize(gone.distinct(), "near-copies"), 200_000)
+    same = (docs[doc_id].cast("bigint") == gone["_doc"]) & (F.xxhash64(docs[text]) == gone["_text"])
+    return docs.join(gone, same, "left_anti")

@@ -66,3 +66,17 @@ def test_one_of_each_group_stays(spark):
     expected = sorted((d for d, c, _ in brute(docs) if d == c), key=str)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == expected
     assert j.join_similar(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, b), (6, a), (6, b), (None, b), (7, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in j.keep_one_each(docs).collect()), key=str)
+    assert got == sorted([(1, b), (6, a), (None, b), (7, None)], key=str)
+
+
+def test_large_buckets_of_near_copies_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(j, "SKETCHES", 40)
+    docs = corpus(5, 150)
+    got = j.join_similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), limit=16).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(docs)
