@@ -12,21 +12,26 @@ from cadenza.functions.scalars import squared_distance
 LIKED = ("positive", "neutral")
 
 
-def split_sessions(sessions: DataFrame, key: str = "session_id", train: float = 0.75, val: float = 0.125, seed: str = "") -> DataFrame:
-    """(key, part): a shuffle by MD5, cut into floor(n * share) train and val rows, the rest test.
+def hash_ranks(rows: DataFrame, key: str, seed: str = "") -> DataFrame:
+    """(key, rank, n): the distinct keys numbered from 0 in the order of their MD5, and their number.
 
     The rank of a key is its rank among the keys of its hash prefix plus the number of keys with smaller prefixes, so
     no task ranks all keys.
     """
-    hashed = sessions.select(key).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")))
+    hashed = rows.select(key).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")))
     hashed = hashed.withColumn("prefix", F.substring("h", 1, 3))
     before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     sizes = hashed.groupBy("prefix").agg(F.count(F.lit(1)).alias("c"))  # at most 4096 rows
     sizes = sizes.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
     ranked = hashed.withColumn("rn", F.row_number().over(Window.partitionBy("prefix").orderBy("h", key)))
-    rank = F.col("base") + F.col("rn") - 1
-    part = F.when(rank < F.floor(F.col("n") * train), "train").when(rank < F.floor(F.col("n") * train) + F.floor(F.col("n") * val), "val").otherwise("test")
-    return ranked.join(F.broadcast(sizes), "prefix").select(key, part.alias("part"))
+    return ranked.join(F.broadcast(sizes), "prefix").select(key, (F.col("base") + F.col("rn") - 1).alias("rank"), "n")
+
+
+def split_sessions(sessions: DataFrame, key: str = "session_id", train: float = 0.75, val: float = 0.125, seed: str = "") -> DataFrame:
+    """(key, part): a shuffle by MD5, cut into floor(n * share) train and val rows, the rest test."""
+    n, rank = F.col("n"), F.col("rank")
+    part = F.when(rank < F.floor(n * train), "train").when(rank < F.floor(n * train) + F.floor(n * val), "val").otherwise("test")
+    return hash_ranks(sessions, key, seed).select(key, part.alias("part"))
 
 
 def popularity(plays: DataFrame) -> DataFrame:
@@ -79,10 +84,10 @@ def graph_stats(edges: DataFrame, n_tracks: Column) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("nnz"), F.sum("weight").alias("total_weight")).withColumn("density", F.col("nnz") / (n_tracks * n_tracks))
 
 
-def top_neighbours(edges: DataFrame, k: int = 3) -> DataFrame:
-    """The k heaviest other ends of every src; ties by dst."""
+def top_neighbours(edges: DataFrame, k: int = 3, loops: bool = False) -> DataFrame:
+    """The k heaviest ends of every src, itself only with `loops`; ties by dst."""
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return edges.where("src <> dst").withColumn("rank", rank).where(F.col("rank") <= k)
+    return (edges if loops else edges.where("src <> dst")).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def negative_weights(vocabulary: DataFrame, counts: DataFrame, power: float = 0.75) -> DataFrame:

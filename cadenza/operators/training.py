@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import label_code, label_target, unit_of
+from cadenza.operators.features import top_neighbours
 
 LENGTH = 20
 
@@ -21,7 +22,7 @@ def prefixes(tracks: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def contexts(tracks: DataFrame, validation: bool = False) -> DataFrame:
-    """(session_id, user_id, t, anchor, y, weight): what follows each prefix.
+    """(session_id, user_id, t, last, anchor, y, weight): the last track of each prefix and what follows it.
 
     Training: t = 0 .. n - 3 with the play after it as anchor, in sessions of 3 or more. Validation: the last play only,
     in sessions of 2 or more. Anchors with an unknown label are left out.
@@ -32,19 +33,24 @@ def contexts(tracks: DataFrame, validation: bool = False) -> DataFrame:
         "session_id",
         "user_id",
         (F.row_number().over(order) - 1).alias("t"),
+        F.col("track_id").alias("last"),
         F.lead("track_id").over(order).alias("anchor"),
         F.lead("label").over(order).alias("anchor_label"),
         F.count(F.lit(1)).over(session).alias("n"),
     )
     chosen = (F.col("n") >= 2) & (F.col("t") == F.col("n") - 2) if validation else (F.col("n") >= 3) & (F.col("t") <= F.col("n") - 3)
     y, weight = label_target(F.col("anchor_label"))
-    return rows.where(chosen & (F.col("anchor_label") != "unknown")).select("session_id", "user_id", "t", "anchor", y.alias("y"), weight.alias("weight"))
+    return rows.where(chosen & (F.col("anchor_label") != "unknown")).select("session_id", "user_id", "t", "last", "anchor", y.alias("y"), weight.alias("weight"))
 
 
-def hard_negatives(found: DataFrame, neighbours: DataFrame, k: int = 3) -> DataFrame:
-    """(session_id, t, candidate, rank): the k heaviest neighbours of the anchor."""
-    top = neighbours.where(F.col("rank") <= k).select(F.col("src").alias("anchor"), F.col("dst").alias("candidate"), "rank")
-    return found.join(top, "anchor").select("session_id", "t", "candidate", "rank")
+def hard_negatives(found: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """(session_id, t, candidate, rank): the k heaviest neighbours of the prefix's last track, without the anchor."""
+    near = top_neighbours(edges, k + 1, loops=True)  # of these the anchor is one at most
+    near = near.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst"))).alias("near"))
+    rows = found.join(near, found["last"] == near["src"])
+    left = F.slice(F.filter("near", lambda x: x["dst"] != F.col("anchor")), 1, k)
+    rows = rows.select("session_id", "t", F.posexplode(left).alias("rank", "x"))
+    return rows.select("session_id", "t", F.col("x.dst").alias("candidate"), (F.col("rank") + 1).alias("rank"))
 
 
 def _spans(weights: DataFrame, bands: int, width: int = 4096) -> DataFrame:

@@ -21,7 +21,7 @@ def train_edges(s: SparkSession, d: str) -> DataFrame:
     return f.transitions(v.session_tracks(s, d), v.catalog(s, d), train)
 
 
-def _taste(s: SparkSession, d: str) -> DataFrame:
+def taste_rows_of(s: SparkSession, d: str) -> DataFrame:
     return f.taste_rows(v.loved_tracks(s, d), f.last_positives(v.session_tracks(s, d)), v.embeddings(s, d))
 
 
@@ -31,7 +31,7 @@ def _contexts(s: SparkSession, d: str, validation: bool = False) -> DataFrame:
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
     found = _contexts(s, d)
-    hard = t.hard_negatives(found, f.top_neighbours(train_edges(s, d)))
+    hard = t.hard_negatives(found, train_edges(s, d))
     rows = found.select("session_id", "t", F.col("anchor").alias("candidate")).unionByName(hard.select("session_id", "t", "candidate")).distinct()
     rows = rows.join(found, ["session_id", "t"])
     positive = F.col("candidate") == F.col("anchor")
@@ -110,15 +110,15 @@ def last_n_positives(s: SparkSession, d: str) -> DataFrame:
 
 
 def user_mean_centroid(s: SparkSession, d: str) -> DataFrame:
-    return f.mean_centroids(_taste(s, d), v.embeddings(s, d)).withColumn("value", F.round("value", 6))
+    return f.mean_centroids(taste_rows_of(s, d), v.embeddings(s, d)).withColumn("value", F.round("value", 6))
 
 
 def user_centroids_kmeans(s: SparkSession, d: str) -> DataFrame:
-    return f.kmeans_centroids(_taste(s, d), v.embeddings(s, d), bounds=(6, 12))
+    return f.kmeans_centroids(taste_rows_of(s, d), v.embeddings(s, d), bounds=(6, 12))
 
 
 def k_distribution(s: SparkSession, d: str) -> DataFrame:
-    sizes = _taste(s, d).groupBy("user_id").agg(F.sum("copies").alias("n")).where("n >= 2")
+    sizes = taste_rows_of(s, d).groupBy("user_id").agg(F.sum("copies").alias("n")).where("n >= 2")
     k = F.when(F.col("n") < 6, 1).when(F.col("n") <= 12, 2).otherwise(3)
     return sizes.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n_users"))
 
@@ -138,11 +138,11 @@ def prefix_frames(s: SparkSession, d: str) -> DataFrame:
 
 
 def contexts_with_hard_negs(s: SparkSession, d: str) -> DataFrame:
-    return t.hard_negatives(_contexts(s, d), f.top_neighbours(train_edges(s, d)))
+    return t.hard_negatives(_contexts(s, d), train_edges(s, d))
 
 
 def random_negatives(s: SparkSession, d: str) -> DataFrame:
-    hard = t.hard_negatives(_contexts(s, d), f.top_neighbours(train_edges(s, d)))
+    hard = t.hard_negatives(_contexts(s, d), train_edges(s, d))
     return t.random_negatives(_contexts(s, d), f.negative_weights(v.catalog(s, d), popularity(s, d)), hard)
 
 
@@ -178,7 +178,7 @@ QUERIES = {
     "neighbors_top3": (neighbors_top3, sql("neighbours", "SELECT src, dst, weight, rank::INTEGER AS rank FROM neighbours")),
     "neg_sample_weights": (neg_sample_weights, sql("pop cat", "SELECT track_id, w / sum(w) OVER () AS weight FROM (SELECT cat.track_id, coalesce(track_count, 1) ** 0.75 AS w FROM cat LEFT JOIN pop USING (track_id))")),
     "last_n_positives": (last_n_positives, sql("positives", "SELECT user_id, track_id, rank::INTEGER AS rank FROM positives WHERE rank <= 3")),
-    "taste_rows": (_taste, sql("taste", "SELECT * FROM taste")),
+    "taste_rows": (taste_rows_of, sql("taste", "SELECT * FROM taste")),
     "user_mean_centroid": (user_mean_centroid, sql("taste", """SELECT user_id, size, dim, round(s / size, 6) AS value FROM (SELECT user_id, dim, sum(x::DOUBLE * copies) AS s, sum(copies)::BIGINT AS size
       FROM (SELECT user_id, copies, unnest(embedding) AS x, unnest(range(len(embedding)))::INTEGER AS dim FROM taste JOIN emb USING (track_id)) GROUP BY 1, 2) WHERE size >= 2""")),
     "user_centroids_kmeans": (user_centroids_kmeans, None),
@@ -191,9 +191,9 @@ QUERIES = {
       array_to_string(list_concat(list_transform(range(20 - len(p)), lambda i: 0), p), ',') AS prefix, array_to_string(list_concat(list_transform(range(20 - len(p)), lambda i: 3), l), ',') AS prefix_labels
       FROM (SELECT session_id, position, list(track_id) OVER w AS p, list(CASE label WHEN 'skip' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 ELSE 3 END) OVER w AS l
       FROM st WINDOW w AS (PARTITION BY session_id ORDER BY position ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")),
-    "contexts_train": (_contexts, sql("ctx", "SELECT session_id, user_id, t::INTEGER AS t, anchor, y, weight FROM ctx WHERE n >= 3 AND t <= n - 3")),
-    "contexts_val": (lambda s, d: _contexts(s, d, True), sql("ctx", "SELECT session_id, user_id, t::INTEGER AS t, anchor, y, weight FROM ctx WHERE n >= 2 AND t = n - 2")),
-    "contexts_with_hard_negs": (contexts_with_hard_negs, sql("ctx neighbours", "SELECT session_id, t::INTEGER AS t, dst AS candidate, rank::INTEGER AS rank FROM ctx JOIN neighbours ON src = anchor WHERE n >= 3 AND t <= n - 3")),
+    "contexts_train": (lambda s, d: _contexts(s, d).drop("last"), sql("ctx", "SELECT session_id, user_id, t::INTEGER AS t, anchor, y, weight FROM ctx WHERE n >= 3 AND t <= n - 3")),
+    "contexts_val": (lambda s, d: _contexts(s, d, True).drop("last"), sql("ctx", "SELECT session_id, user_id, t::INTEGER AS t, anchor, y, weight FROM ctx WHERE n >= 2 AND t = n - 2")),
+    "contexts_with_hard_negs": (contexts_with_hard_negs, sql("hard", "SELECT session_id, t::INTEGER AS t, candidate, rank::INTEGER AS rank FROM hard")),
     "random_negatives": (random_negatives, None),
     "ranking_metrics": (ranking_metrics, sql("scored", """SELECT avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hr, avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1.0::DOUBLE) ELSE 0 END) AS ndcg, avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE / r ELSE 0 END) AS mrr, count(*) AS n_contexts
       FROM (SELECT context, sum((score > p)::INT) + 1 AS r FROM (SELECT *, max(CASE WHEN is_positive THEN score END) OVER (PARTITION BY context) AS p FROM scored) GROUP BY context)""")),

@@ -37,28 +37,39 @@ VIEWS = {
     "positives": "SELECT user_id, track_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session_id DESC, position DESC) AS rank FROM st WHERE label = 'positive') WHERE rank <= 300",
     "taste": """SELECT user_id, track_id, sum(c)::BIGINT AS copies FROM (SELECT user_id, track_id, 3 AS c FROM loved UNION ALL SELECT user_id, track_id, 1 FROM positives)
       WHERE track_id IN (SELECT track_id FROM emb) GROUP BY 1, 2""",
-    "ctx": """SELECT session_id, user_id, t, anchor, CASE anchor_label WHEN 'positive' THEN 1.0 WHEN 'neutral' THEN 0.5 ELSE 0.0 END::DOUBLE AS y,
-      CASE anchor_label WHEN 'neutral' THEN 0.3 ELSE 1.0 END::DOUBLE AS weight, n FROM (SELECT session_id, user_id, row_number() OVER w - 1 AS t, lead(track_id) OVER w AS anchor,
+    "ctx": """SELECT session_id, user_id, t, last, anchor, CASE anchor_label WHEN 'positive' THEN 1.0 WHEN 'neutral' THEN 0.5 ELSE 0.0 END::DOUBLE AS y,
+      CASE anchor_label WHEN 'neutral' THEN 0.3 ELSE 1.0 END::DOUBLE AS weight, n FROM (SELECT session_id, user_id, row_number() OVER w - 1 AS t, track_id AS last, lead(track_id) OVER w AS anchor,
       lead(label) OVER w AS anchor_label, count(*) OVER (PARTITION BY session_id) AS n FROM st WINDOW w AS (PARTITION BY session_id ORDER BY position)) WHERE anchor_label <> 'unknown'""",
+    "hard": """SELECT session_id, t, candidate, rank FROM (SELECT session_id, t, dst AS candidate, row_number() OVER (PARTITION BY session_id, t ORDER BY e.weight DESC, dst) AS rank
+      FROM ctx JOIN edges e ON src = last WHERE dst <> anchor AND n >= 3 AND t <= n - 3) WHERE rank <= 3""",
     "scored": """SELECT c.session_id || ':' || c.t AS context, x.candidate, x.candidate = c.anchor AS is_positive,
       CASE WHEN x.candidate = c.anchor THEN c.y ELSE 0.0 END AS y, CASE WHEN x.candidate = c.anchor THEN c.weight ELSE 1.0 END AS weight,
       ('0x' || substr(md5(c.session_id || ':' || c.t || ':' || x.candidate), 1, 13))::BIGINT / (2.0::DOUBLE ** 52) * 4 - 2 AS score
-      FROM ctx c JOIN (SELECT session_id, t, anchor AS candidate FROM ctx UNION SELECT session_id, t, dst FROM ctx JOIN neighbours ON src = anchor) x
+      FROM ctx c JOIN (SELECT session_id, t, anchor AS candidate FROM ctx UNION SELECT session_id, t, candidate FROM hard) x
       ON x.session_id = c.session_id AND x.t = c.t WHERE c.n >= 3 AND c.t <= c.n - 3""",
     "recent": "SELECT session_id, track_id, position FROM st",
+    "both_edges": "SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT src, dst, weight FROM pl_edges) GROUP BY 1, 2",
     "cooc": """SELECT session_id, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, track_id) AS r FROM (
-      SELECT session_id, dst AS track_id, sum(exp(-0.3 * age) * weight) AS score FROM (SELECT session_id, track_id AS src, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) - 1 AS age FROM recent)
-      JOIN edges USING (src) WHERE age < 10 GROUP BY 1, 2)) WHERE r <= 100""",
-    "filled": """SELECT session_id, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, track_id) AS r FROM (
-      SELECT s.session_id, p.track_id, p.pop_score AS score FROM (SELECT DISTINCT session_id FROM cooc) s, pop p ANTI JOIN cooc c ON c.session_id = s.session_id AND c.track_id = p.track_id)) WHERE r <= 20""",
-    "merged": "SELECT session_id, track_id, max(score) AS score, count(*) AS n_branches FROM (SELECT * FROM cooc UNION ALL SELECT * FROM filled) GROUP BY 1, 2",
+      SELECT session_id, dst AS track_id, round(sum(exp(-0.3 * age) * weight), 6) AS score FROM (SELECT session_id, track_id AS src, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) - 1 AS age FROM recent)
+      JOIN both_edges USING (src) WHERE age < 10 GROUP BY 1, 2)) WHERE r <= 100""",
+    "means": """SELECT user_id, list(s / size ORDER BY dim) AS c FROM (SELECT user_id, dim, sum(x::DOUBLE * copies) AS s, sum(copies) AS size
+      FROM (SELECT user_id, copies, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM taste JOIN emb USING (track_id)) GROUP BY 1, 2) WHERE size >= 2 GROUP BY 1""",
+    "pref": """SELECT user_id, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, track_id) AS r FROM (
+      SELECT user_id, track_id, round(list_dot_product(embedding::DOUBLE[], c), 6) AS score FROM means, emb)) WHERE r <= 80""",
+    "found": """SELECT session_id, track_id, max(score) AS score, count(*) AS n_branches FROM (SELECT session_id, track_id, score FROM cooc
+      UNION ALL SELECT session_id, track_id, score FROM (SELECT DISTINCT session_id, user_id FROM st) JOIN pref USING (user_id)) GROUP BY 1, 2""",
+    "head": "SELECT track_id, pop_score FROM pop ORDER BY pop_score DESC, track_id LIMIT 250",
+    "filled": """SELECT session_id, track_id, score FROM (SELECT s.session_id, h.track_id, h.pop_score AS score, s.n, row_number() OVER (PARTITION BY s.session_id ORDER BY h.pop_score DESC, h.track_id) AS r
+      FROM (SELECT session_id, count(track_id) AS n FROM (SELECT DISTINCT session_id FROM recent) LEFT JOIN found USING (session_id) GROUP BY 1) s, head h
+      ANTI JOIN found f ON f.session_id = s.session_id AND f.track_id = h.track_id) WHERE r <= greatest(20, 50 - n)""",
+    "merged": "SELECT session_id, track_id, score, n_branches FROM found UNION ALL SELECT session_id, track_id, score, 1 FROM filled",
     "ranked": """SELECT m.session_id, m.track_id, p.artist, m.score AS ranker_score FROM merged m JOIN playable p USING (track_id)""",
     "excluded": "SELECT DISTINCT session_id, track_id FROM recent",
-    "penal": """SELECT r.*, r.ranker_score - 0.18::DOUBLE * (row_number() OVER (PARTITION BY session_id, artist ORDER BY ranker_score DESC, track_id) - 1) AS policy_score
-      FROM ranked r ANTI JOIN excluded e ON e.session_id = r.session_id AND e.track_id = r.track_id""",
-    "queue": """SELECT session_id, track_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY again, r) AS place FROM (
-      SELECT *, row_number() OVER (PARTITION BY session_id, lower(trim(artist)) ORDER BY r) > 1 AS again FROM (
-      SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY policy_score DESC, track_id) AS r FROM penal))) WHERE place <= 18""",
+    "penal": """SELECT session_id, track_id, artist, ranker_score, spared, ranker_score - CASE WHEN spared THEN 0 ELSE 0.18::DOUBLE END * (row_number() OVER (PARTITION BY session_id, artist ORDER BY ranker_score DESC, track_id) - 1) AS policy_score
+      FROM (SELECT r.*, e.track_id IS NOT NULL AS gone, bool_and(e.track_id IS NOT NULL) OVER (PARTITION BY r.session_id) AS spared
+      FROM ranked r LEFT JOIN excluded e ON e.session_id = r.session_id AND e.track_id = r.track_id) WHERE NOT gone OR spared""",
+    "queue": """SELECT session_id, track_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY again, policy_score DESC, track_id) AS place FROM (
+      SELECT *, NOT spared AND row_number() OVER (PARTITION BY session_id, lower(trim(artist)) ORDER BY policy_score DESC, track_id) > 1 AS again FROM penal)) WHERE place <= 18""",
     "delta": """SELECT session_int_id AS session_id, user_int_id AS user_id, position, track_id, playratio,
       CASE WHEN playratio > 0.8 THEN 'positive' WHEN playratio > 0.2 THEN 'neutral' ELSE 'skip' END AS label
       FROM (SELECT *, row_number() OVER (PARTITION BY session_int_id ORDER BY created_at, event_id) - 1 AS position FROM plays WHERE playratio IS NOT NULL)
@@ -74,12 +85,16 @@ VIEWS = {
 }
 NEEDS = {
     "playable": ["cat"], "pop": ["st"], "edges": ["st", "split", "cat"], "pl_once": ["pt"], "pl_edges": ["pl_once"], "neighbours": ["edges"], "positives": ["st"],
-    "taste": ["loved", "positives", "emb"], "ctx": ["st"], "scored": ["ctx", "neighbours"], "recent": ["st"], "cooc": ["recent", "edges"], "filled": ["cooc", "pop"],
-    "merged": ["cooc", "filled"], "ranked": ["merged", "playable"], "excluded": ["recent"], "penal": ["ranked", "excluded"], "queue": ["penal"], "delta": ["plays"],
+    "taste": ["loved", "positives", "emb"], "ctx": ["st"], "hard": ["ctx", "edges"], "scored": ["ctx", "hard"], "recent": ["st"], "both_edges": ["edges", "pl_edges"], "cooc": ["recent", "both_edges"],
+    "means": ["taste", "emb"], "pref": ["means"], "found": ["cooc", "pref", "st"], "head": ["pop"], "filled": ["recent", "found", "head"], "merged": ["found", "filled"], "ranked": ["merged", "playable"], "excluded": ["recent"], "penal": ["ranked", "excluded"], "queue": ["penal"], "delta": ["plays"],
     "roll": ["rm"], "batch": ["cat"],
 }
 
 
+#: Views that are read several times and cost much.
+OFTEN = {"edges", "pl_edges", "found", "merged", "penal", "queue", "taste", "pref", "cooc"}
+
+
 def sql(views: str, body: str) -> str:
     """`body` after the named views and all that they need."""
     chosen: list[str] = []
@@ -92,4 +107,5 @@ def sql(views: str, body: str) -> str:
 
     for name in views.split():
         add(name)
-    return "WITH " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in chosen) + f"\n{body}"
+    kind = lambda name: "MATERIALIZED " if name in OFTEN else ""
+    return "WITH " + ",\n".join(f"{name} AS {kind(name)}({VIEWS[name]})" for name in chosen) + f"\n{body}"

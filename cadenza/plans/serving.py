@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import recall as r
-from cadenza.plans.features import popularity, train_edges
+from cadenza.operators.features import mean_centroids
+from cadenza.plans.features import cooc_playlist, popularity, taste_rows_of, train_edges
 from cadenza.plans.oracle_views import sql
 from cadenza.sources import views as v
 
@@ -19,23 +20,35 @@ def _recent(s: SparkSession, d: str) -> DataFrame:
 
 
 def recall_cooc(s: SparkSession, d: str) -> DataFrame:
-    return r.session_cooccurrence(_recent(s, d), train_edges(s, d))
+    """Over the session and the playlist graph; an edge of both counts with the sum of its weights."""
+    graphs = train_edges(s, d).unionByName(cooc_playlist(s, d))
+    return r.session_cooccurrence(_recent(s, d), graphs)
+
+
+def _centroids(s: SparkSession, d: str) -> DataFrame:
+    """The weighted mean vector of every user with two rows of taste or more, as their one centroid."""
+    values = mean_centroids(taste_rows_of(s, d), v.embeddings(s, d))
+    rows = values.groupBy("user_id").agg(F.first("size").alias("cluster_size"), F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("x"))
+    return rows.select("user_id", F.lit(0).alias("centroid_idx"), F.col("x.value").alias("centroid"), "cluster_size")
 
 
 def recall_pref_topk(s: SparkSession, d: str) -> DataFrame:
-    """Of five users with the vectors of tracks 1 to 5 and 11 to 15 as centroids of sizes 3 and 1."""
-    vectors = v.embeddings(s, d)
-    picks = s.range(1, 6).select(F.col("id").alias("user_id"), F.posexplode(F.array(F.col("id"), F.col("id") + 10)).alias("centroid_idx", "track_id"))
-    centroids = picks.join(vectors, "track_id").select("user_id", "centroid_idx", F.col("embedding").alias("centroid"), F.when(F.col("centroid_idx") == 0, 3).otherwise(1).alias("cluster_size"))
-    return r.preference_topk(centroids, vectors).withColumn("score", F.round("score", 4))
+    """Of all users' mean vectors, against all vectors."""
+    return r.preference_topk(_centroids(s, d), v.embeddings(s, d))
 
 
-def recall_pop_fill(s: SparkSession, d: str) -> DataFrame:
-    return r.fill_popular(_recent(s, d), recall_cooc(s, d), popularity(s, d))
+def _found(s: SparkSession, d: str) -> DataFrame:
+    return r.merge_branches(recall_cooc(s, d), r.preferred(v.session_tracks(s, d), recall_pref_topk(s, d)))
 
 
 def recall_merged(s: SparkSession, d: str) -> DataFrame:
-    return r.merge_branches(recall_cooc(s, d), recall_pop_fill(s, d))
+    return r.with_popular(_recent(s, d), _found(s, d), popularity(s, d))
+
+
+def recall_pop_fill(s: SparkSession, d: str) -> DataFrame:
+    """What popularity alone adds: for sessions without other tracks, those that make up the least number."""
+    none = _recent(s, d).select("session_id", "track_id", F.lit(0.0).alias("score"), F.lit(1).cast("bigint").alias("n_branches")).where("false")
+    return r.with_popular(_recent(s, d), none, popularity(s, d)).drop("n_branches")
 
 
 def _fixture(s: SparkSession, d: str) -> DataFrame:
@@ -60,8 +73,8 @@ def _ranked(s: SparkSession, d: str) -> DataFrame:
 
 
 def policy_penalty(s: SparkSession, d: str) -> DataFrame:
-    left = _ranked(s, d).join(_recent(s, d).select("session_id", "track_id").distinct(), ["session_id", "track_id"], "left_anti")
-    return r.penalized(left, ["session_id"]).select("session_id", "track_id", "policy_score")
+    left = r.without(_ranked(s, d), _recent(s, d), ["session_id"]).where("NOT _spared")
+    return r.penalized(left, ["session_id"]).select("session_id", "track_id", F.round("policy_score", 6).alias("policy_score"))
 
 
 def artist_diversity(s: SparkSession, d: str) -> DataFrame:
@@ -69,7 +82,7 @@ def artist_diversity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _queue(s: SparkSession, d: str) -> DataFrame:
-    ranked = r.apply_policy(_ranked(s, d), _recent(s, d), ["session_id"]).select("session_id", "track_id", "place").where("place <= 12")
+    ranked = r.apply_policy(_ranked(s, d), _recent(s, d), ["session_id"]).select("session_id", "track_id", "place")
     played = _recent(s, d).select("session_id", "track_id")
     shown = ranked.where("place % 3 = 0").select("session_id", "track_id")
     return r.composed_queue(ranked, v.catalog(s, d).where(v.playable()), played.unionByName(shown))
@@ -84,7 +97,7 @@ def queue_rotate(s: SparkSession, d: str) -> DataFrame:
 
 
 def safe_catalog_fallback(s: SparkSession, d: str) -> DataFrame:
-    ranks = popularity(s, d).select("track_id", F.col("track_count").alias("rank"))
+    ranks = popularity(s, d).select("track_id", (-F.col("track_count")).alias("rank"))
     return r.safe_fallback(v.catalog(s, d).where(v.playable()), ranks)
 
 
@@ -92,12 +105,17 @@ def playable_catalog(s: SparkSession, d: str) -> DataFrame:
     return v.catalog(s, d).where(v.playable()).select("track_id", "title", "artist", "nav_id")
 
 
-QUEUE = """, top AS (SELECT session_id, track_id, place FROM queue WHERE place <= 12),
-  gone AS (SELECT session_id, track_id FROM excluded UNION SELECT session_id, track_id FROM top WHERE place % 3 = 0),
-  tiers AS (SELECT session_id, track_id, 1 AS tier, place FROM top ANTI JOIN gone USING (session_id, track_id)
-    UNION ALL SELECT session_id, track_id, 2, row_number() OVER (PARTITION BY session_id ORDER BY h) FROM (
-      SELECT s.session_id, p.track_id, p.h FROM (SELECT DISTINCT session_id FROM top) s, (SELECT track_id, row_number() OVER (ORDER BY md5(track_id::VARCHAR), track_id) AS h FROM playable) p) x ANTI JOIN (SELECT session_id, track_id FROM gone UNION SELECT session_id, track_id FROM top) y USING (session_id, track_id)
-    UNION ALL SELECT session_id, track_id, 3, place FROM top SEMI JOIN gone USING (session_id, track_id)),
+QUEUE = """, gone AS (SELECT session_id, track_id FROM excluded UNION SELECT session_id, track_id FROM queue WHERE place % 3 = 0),
+  taken AS (SELECT session_id, track_id FROM gone UNION SELECT session_id, track_id FROM queue),
+  ring AS (SELECT track_id, row_number() OVER (ORDER BY md5(track_id::VARCHAR), track_id) - 1 AS rank FROM playable),
+  firsts AS (SELECT session_id, track_id, place FROM queue ANTI JOIN gone USING (session_id, track_id)),
+  lacking AS (SELECT q.session_id, 18 - coalesce(f.k, 0) AS need, t.k AS taken, ('0x' || substr(md5(q.session_id::VARCHAR), 1, 13))::BIGINT AS start, (SELECT count(*) FROM ring) AS n
+    FROM (SELECT DISTINCT session_id FROM queue) q LEFT JOIN (SELECT session_id, count(*) AS k FROM firsts GROUP BY 1) f USING (session_id)
+    JOIN (SELECT session_id, count(*) AS k FROM taken GROUP BY 1) t USING (session_id)),
+  looked AS (SELECT session_id, need, start, n, unnest(range(0, least(n, taken + need))) AS place FROM lacking WHERE need > 0),
+  tiers AS (SELECT session_id, track_id, 1 AS tier, place FROM firsts
+    UNION ALL SELECT l.session_id, r.track_id, 2, l.place FROM looked l JOIN ring r ON r.rank = (l.start + l.place) % l.n ANTI JOIN taken t ON t.session_id = l.session_id AND t.track_id = r.track_id
+    UNION ALL SELECT session_id, track_id, 3, place FROM queue SEMI JOIN gone USING (session_id, track_id)),
   composed AS (SELECT session_id, track_id, tier, place FROM (SELECT session_id, track_id, tier, row_number() OVER (PARTITION BY session_id ORDER BY tier, place) AS place FROM tiers) WHERE place <= 18)
 """
 
@@ -108,20 +126,19 @@ SOURCES = """SELECT track_id, (CASE WHEN track_id % 2 = 0 THEN (track_id % 7) /
 
 QUERIES = {
     "recall_cooc": (recall_cooc, sql("cooc", "SELECT * FROM cooc")),
-    "recall_pref_topk": (recall_pref_topk, sql("emb", """SELECT user_id, centroid_idx, track_id, round(score, 4) AS score FROM (SELECT q.user_id, q.centroid_idx, q.k, e.track_id,
-      list_dot_product(e.embedding::DOUBLE[], q.c) AS score, row_number() OVER (PARTITION BY q.user_id, q.centroid_idx ORDER BY list_dot_product(e.embedding::DOUBLE[], q.c) DESC, e.track_id) AS r
-      FROM emb e, (SELECT u AS user_id, i AS centroid_idx, CASE i WHEN 0 THEN 60 ELSE 20 END AS k, embedding::DOUBLE[] AS c FROM range(1, 6) t(u), (VALUES (0), (1)) x(i) JOIN emb ON track_id = u + 10 * i) q) WHERE r <= k""")),
-    "recall_pop_fill": (recall_pop_fill, sql("filled", "SELECT * FROM filled")),
+    "recall_pref_topk": (recall_pref_topk, sql("pref", "SELECT user_id, 0 AS centroid_idx, track_id, score FROM pref")),
+    "recall_pop_fill": (recall_pop_fill, sql("recent head", """SELECT session_id, track_id, pop_score AS score FROM (SELECT DISTINCT session_id FROM recent),
+      (SELECT *, row_number() OVER (ORDER BY pop_score DESC, track_id) AS r FROM head) WHERE r <= 50""")),
     "recall_merged": (recall_merged, sql("merged", "SELECT * FROM merged")),
     "fixture_recall_score": (fixture_recall_score, sql("playable", f"SELECT * FROM ({SOURCES}) WHERE sources <> ''")),
     "fixture_rank": (fixture_rank, sql("playable", f"""SELECT track_id, score, score * 0.72::DOUBLE + CASE WHEN sources LIKE '%cooc%' THEN 1.35 ELSE 0 END + CASE WHEN sources LIKE '%centroid%' THEN 0.85 ELSE 0 END
       + CASE track_id WHEN 6 THEN 0.4 WHEN 10 THEN -0.2 ELSE 0 END AS ranker_score FROM ({SOURCES}) WHERE sources <> ''""")),
-    "policy_penalty": (policy_penalty, sql("penal", "SELECT session_id, track_id, policy_score FROM penal")),
+    "policy_penalty": (policy_penalty, sql("penal", "SELECT session_id, track_id, round(policy_score, 6) AS policy_score FROM penal WHERE NOT spared")),
     "artist_diversity": (artist_diversity, sql("queue", "SELECT q.session_id, q.track_id, round(p.policy_score, 6) AS policy_score, q.place::INTEGER AS place FROM queue q JOIN penal p USING (session_id, track_id)")),
     "queue_compose": (queue_compose, sql("queue excluded playable", "").rstrip() + QUEUE + "SELECT session_id, track_id, tier::INTEGER AS tier, place::INTEGER AS place FROM composed"),
     "queue_rotate": (queue_rotate, sql("queue excluded playable", "").rstrip() + QUEUE + """SELECT session_id, track_id, ((place - 1 - off + n) % n + 1)::INTEGER AS place FROM (
       SELECT *, CASE WHEN (session_id % 5) % n = 0 AND n > 1 THEN 1 ELSE (session_id % 5) % n END AS off FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM composed))"""),
-    "safe_catalog_fallback": (safe_catalog_fallback, sql("playable pop", """SELECT track_id, artist, title, place::INTEGER AS place FROM (SELECT p.track_id, artist, title, row_number() OVER (ORDER BY track_count NULLS LAST, lower(artist), lower(title), p.track_id) AS place
+    "safe_catalog_fallback": (safe_catalog_fallback, sql("playable pop", """SELECT track_id, artist, title, place::INTEGER AS place FROM (SELECT p.track_id, artist, title, row_number() OVER (ORDER BY track_count DESC NULLS LAST, CASE WHEN track_count IS NULL THEN lower(artist) END, CASE WHEN track_count IS NULL THEN lower(title) END, p.track_id) AS place
       FROM playable p LEFT JOIN pop r USING (track_id)) WHERE place <= 18""")),
     "playable_catalog": (playable_catalog, sql("playable", "SELECT track_id, title, artist, nav_id FROM playable")),
 }
