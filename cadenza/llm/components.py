@@ -36,7 +36,7 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(vertex, component): the smallest vertex that each vertex is connected with.
 
     `edges` has the columns u and v of one orderable type. Rows with a null end and loops are ignored; vertices
@@ -46,9 +46,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "edges")
     before = _fingerprint(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:  # every round that changes an edge points it at a smaller vertex, so this ends
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "large")

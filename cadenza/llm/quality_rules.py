@@ -7,7 +7,8 @@ and hosts whose shrunk rate of any rule is over `max_rate` are rejected; the ver
 Defined cases: a null text has no words (and fails the word minimum); a null host is no host, its documents
 are judged by their own rules only; repeated rows are counted and returned as often as they occur; an empty
 table gives an empty result. Other columns of the input pass through `judge`; a measure replaces an input
-column of the same name.
+column of the same name, and columns named as a rule's flag (`fails_...`) are left out. `keep_good` returns all
+columns as they were.
 """
 
 from __future__ import annotations
@@ -141,9 +142,11 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = 0.5, **rules: float) -> DataFrame:
     """The rows of `docs` that pass their own rules and whose host is not rejected, with the same columns."""
-    columns = docs.columns
-    measured = materialize(measure(docs, text).withColumns(flags(**rules)), "quality-rows")
+    clashing = {c: f"_input_{c}" for c in docs.columns if c.lower() in {*MEASURES, *RULES} and c not in (host, text)}
+    measured = measure(docs.withColumnsRenamed(clashing), text).withColumns(flags(**rules))
+    measured = materialize(measured, "quality-rows")
     bad = host_verdicts(measured, host, max_rate).where("host_rejected").select("_host")
     bad = broadcast_if_small(bad)
     passed = measured.where(~F.col("fails_base"))
-    return passed.join(bad, passed[host] == bad["_host"], "left_anti").select(*columns)
+    kept = passed.join(bad, passed[host] == bad["_host"], "left_anti")
+    return kept.select(*[F.col(clashing.get(c, c)).alias(c) for c in docs.columns])

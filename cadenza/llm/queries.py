@@ -39,7 +39,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    found = language_id.identify(docs, ~F.col("held_out"))
+    found = language_id.identify(docs, ~F.col("held_out") & F.col("doc_id").isNotNull())  # a null id has no remainder
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 

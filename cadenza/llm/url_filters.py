@@ -7,7 +7,8 @@ allowed, else block if any is blocked, else allow.
 
 Defined cases: a url that is null or has no "://" has an empty host and path, fits no rule and, if null, has no
 aliases; repeated rows are each judged; null html has no links; fragments do not distinguish aliases. Relative
-targets are resolved against their page: "//host/x", "/x" and "x" forms. Empty table: empty result.
+targets are resolved against their page: "//host/x", "/x" and "x" forms. Empty table: empty result. The result's host,
+path, rule, verdict and component replace input columns of these names; all others but html pass through.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def judge(
         F.when(F.max(F.col("action") == "allow"), "allow").when(F.max(F.col("action") == "block"), "block").alias("_group")
     )
     known = members.join(verdicts, "component").select(F.col("vertex").alias("_key"), "component", "_group")
-    judged = with_host_path(pages.drop(html), url).withColumn("_own", own_rule(rules))
+    judged = with_host_path(pages.drop(html, "component"), url).withColumn("_own", own_rule(rules))
     judged = judged.withColumn("_key", alias_key(F.col(url))).join(known, "_key", "left")
     return judged.withColumns(
         {"rule": F.col("_own.rule"), "verdict": F.coalesce(F.col("_own.action"), F.col("_group"), F.lit("allow"))}

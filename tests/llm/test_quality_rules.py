@@ -45,3 +45,10 @@ def test_hosts_of_failures_are_rejected_and_empty_table(spark):
     assert good_rows.columns == df.columns
     assert {r.doc_id for r in good_rows.collect()} == kept
     assert qr.judge(df.limit(0)).count() == qr.keep_good(df.limit(0)).count() == 0
+
+
+def test_kept_rows_have_their_own_columns(spark):
+    text = " ".join(f"word{k}" for k in range(90))
+    docs = spark.createDataFrame([(1, "h", text, 7, "x"), (2, "h", "short", 8, "y")], "doc_id long, source string, text string, n_words int, fails_base string")
+    got = qr.keep_good(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "h", text, 7, "x")]

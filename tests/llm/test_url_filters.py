@@ -72,3 +72,9 @@ def test_components_match_union_find(spark):
             parent[b] = a
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_columns_named_as_the_result_are_replaced(spark):
+    pages = spark.createDataFrame([(1, "http://www.net/es/x", "<p>", "mine", "my rule")], "page_id long, url string, html string, component string, rule string")
+    got = url_filters.judge(pages).select("page_id", "component", "rule", "verdict").collect()
+    assert [tuple(r) for r in got] == [(1, None, "net/es/", "block")]
