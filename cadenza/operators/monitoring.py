@@ -35,9 +35,21 @@ def first_mode(rows: DataFrame, value: str, order: list[str], key: list[str]) ->
     return counts.select(*key, value, ratio(F.col("c"), total).alias("share"), rank.alias("_r")).where("_r = 1").drop("_r")
 
 
+def _filled(column: str, otherwise: str) -> Column:
+    return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(otherwise))
+
+
 def request_rollup(requests: DataFrame, key: list[str], least: int = 20) -> DataFrame:
-    """Rates, latencies and counts of requests by group."""
-    error, fallback = F.coalesce("pipeline_error", F.lit(False)), F.coalesce("fallback_state", F.lit("healthy")) != "healthy"
+    """Rates, latencies and counts of requests by group.
+
+    A request failed if its pipeline did or it has an error code, and fell back if its level is not none or its state not
+    healthy; null and empty ones are none and healthy. `error_code` and `fallback_level` need not be there.
+    """
+    error, fallback = F.coalesce("pipeline_error", F.lit(False)), _filled("fallback_state", "healthy") != "healthy"
+    if "error_code" in requests.columns:
+        error |= _filled("error_code", "") != ""
+    if "fallback_level" in requests.columns:
+        fallback |= _filled("fallback_level", "none") != "none"
     n = F.col("request_count")
     sums = requests.groupBy(*key).agg(
         F.count(F.lit(1)).alias("request_count"),
