@@ -17,11 +17,11 @@ WITH d AS (
 ), m AS (
   SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+    len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov USING (rid)
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS f1, n_symbols > 0.3 * word_chars AS f2,
-    n_dup_lines > 0.5 * n_words AS f3, word_chars < 2.0 * n_words OR word_chars > 15.0 * n_words AS f4
+    n_dup_lines > 0.5 * n_lines AS f3, word_chars < 2.0 * n_words OR word_chars > 15.0 * n_words AS f4
   FROM m
 ), h AS (
   SELECT source, count(*)::DOUBLE AS n, sum(f1::INT)::DOUBLE AS c1, sum(f2::INT)::DOUBLE AS c2, sum(f3::INT)::DOUBLE AS c3, sum(f4::INT)::DOUBLE AS c4
@@ -44,15 +44,19 @@ OP2 = r"""
 WITH RECURSIVE page AS (
   SELECT row_number() OVER () AS rid, page_id, url, html FROM pages
 ), tag AS (
-  SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS a,
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS b
-  FROM page WHERE url IS NOT NULL AND html IS NOT NULL
+  SELECT url, regexp_extract_all(t, '(?is)<link\b[^>]*\brel\s*=\s*(?:canonical\b|"[^">]*\bcanonical\b|''[^''>]*\bcanonical\b)[^>]*>', 0) AS links,
+    regexp_extract_all(t, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS metas
+  FROM (SELECT url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', ' ', 'g') AS t FROM page WHERE url IS NOT NULL AND html IS NOT NULL)
+), a_tag AS (
+  SELECT url, unnest(links) AS a FROM tag
+), b_tag AS (
+  SELECT url, unnest(metas) AS b FROM tag
 ), target AS (
   SELECT url, trim(regexp_extract(a, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))', 1)
     || regexp_extract(a, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))', 2)
-    || regexp_extract(a, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))', 3)) AS t FROM tag
+    || regexp_extract(a, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))', 3)) AS t FROM a_tag
   UNION ALL
-  SELECT url, trim(regexp_extract(b, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)) FROM tag
+  SELECT url, trim(regexp_extract(b, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)) FROM b_tag
 ), link AS (
   SELECT url AS u, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN t
     WHEN starts_with(t, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1) || ':' || t

@@ -40,7 +40,7 @@ def _covered(starts: Column, size: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
-    """`docs` with the five counts of MEASURES (long) for the whole text of every row."""
+    """`docs` with the five counts of MEASURES (long) and `_n_lines` for the whole text of every row."""
     whole = F.coalesce(F.col(text), F.lit(""))
     bare = F.btrim(whole, F.lit(SPACE))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP))
@@ -74,6 +74,7 @@ def measure(docs: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
                 "n_words": F.size("_words").cast("bigint"),
                 "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
                 "n_symbols": (F.length(whole) - F.length(plain)).cast("bigint"),
+                "_n_lines": F.size("_lines"),
                 "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
                 "n_repeat_words": _covered(starts, window),
             }
@@ -89,12 +90,12 @@ def flags(
     max_dup_lines: float = 0.5,
     mean_length: tuple[float, float] = (2.0, 15.0),
 ) -> dict[str, Column]:
-    """The document rules over MEASURES. `fails_base` alone rejects a document; the others count for its host."""
+    """The document rules over MEASURES and `_n_lines`. `fails_base` alone rejects a document; the others count for its host."""
     n, length = F.col("n_words"), F.col("word_chars")
     return {
         "fails_base": (n < min_words) | (100 * F.col("n_repeat_words") > F.lit(100 * max_repeat) * n),
         "fails_symbols": F.col("n_symbols") > F.lit(max_symbols) * length,
-        "fails_lines": F.col("n_dup_lines") > F.lit(max_dup_lines) * n,
+        "fails_lines": F.col("n_dup_lines") > F.lit(max_dup_lines) * F.col("_n_lines"),
         "fails_length": (length < F.lit(mean_length[0]) * n) | (length > F.lit(mean_length[1]) * n),
     }
 
@@ -136,7 +137,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
         joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
         .withColumn("base_failed", F.col("fails_base"))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-        .drop(*RULES)
+        .drop(*RULES, "_n_lines")
     )
 
 

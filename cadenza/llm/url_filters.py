@@ -6,9 +6,10 @@ an alias without a rule of its own takes over the decision of its component: all
 allowed, else block if any is blocked, else allow.
 
 Defined cases: a url that is null or has no "://" has an empty host and path, fits no rule and, if null, has no
-aliases; repeated rows are each judged; null html has no links; fragments do not distinguish aliases. Relative
-targets are resolved against their page: "//host/x", "/x" and "x" forms. Empty table: empty result. The result's host,
-path, rule, verdict and component replace input columns of these names; all others but html pass through.
+aliases; repeated rows are each judged; null html has no links; every canonical link and every refresh of a page counts,
+but none in a comment or script; fragments do not distinguish aliases. Relative targets are resolved
+against their page: "//host/x", "/x" and "x" forms. Empty table: empty result. The result's host, path, rule, verdict and
+component replace input columns of these names; all others but html pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ RULES = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*(?:canonical\b|\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b)[^>]*>"
 META_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)"
@@ -81,16 +83,14 @@ def alias_key(url: Column) -> Column:
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(u, v): alias keys of pages and of the canonical or refresh targets that their html names."""
-    tags = {
-        "canonical": F.regexp_extract(F.col(html), LINK_TAG, 0),
-        "refresh": F.regexp_extract(F.col(html), META_TAG, 0),
-    }
-    found = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|http-equiv")).select(
-        F.col(url).alias("_url"), *[t.alias(k) for k, t in tags.items()]
+    marked = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|http-equiv"))
+    found = marked.select(F.col(url).alias("_url"), F.regexp_replace(F.col(html), NO_MARKUP, " ").alias("_html"))
+    canonical = F.transform(
+        F.regexp_extract_all("_html", F.lit(LINK_TAG), 0), lambda tag: F.concat(*[F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)])
     )
-    href = F.concat(*[F.regexp_extract("canonical", HREF, i) for i in (1, 2, 3)])
-    targets = F.array(F.trim(href), F.trim(F.regexp_extract("refresh", REFRESH_URL, 1)))
-    found = found.select("_url", F.explode(targets).alias("_to")).where("_to <> ''")
+    refresh = F.transform(F.regexp_extract_all("_html", F.lit(META_TAG), 0), lambda tag: F.regexp_extract(tag, REFRESH_URL, 1))
+    found = found.select("_url", F.explode(F.concat(canonical, refresh)).alias("_to"))
+    found = found.select("_url", F.trim("_to").alias("_to")).where("_to <> ''")
     found = found.select("_url", F.replace(F.col("_to"), F.lit("&amp;"), F.lit("&")).alias("_to"))
     return found.select(alias_key(F.col("_url")).alias("u"), alias_key(_absolute(F.col("_to"), F.col("_url"))).alias("v"))
 

@@ -52,3 +52,12 @@ def test_kept_rows_have_their_own_columns(spark):
     docs = spark.createDataFrame([(1, "h", text, 7, "x"), (2, "h", "short", 8, "y")], "doc_id long, source string, text string, n_words int, fails_base string")
     got = qr.keep_good(docs)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "h", text, 7, "x")]
+
+
+def test_repeated_lines_are_counted_against_the_lines(spark):
+    line = " ".join(f"word{k}" for k in range(60))
+    few = "\n".join([f"{k} {line}" for k in range(8)] + [f"0 {line}"] * 2)  # 2 of 10 lines
+    many = "\n".join([f"{k} {line}" for k in range(4)] + [f"0 {line}"] * 6)  # 6 of 10 lines
+    docs = spark.createDataFrame([(1, few), (2, many), (3, None)], "doc_id long, text string")
+    got = qr.measure(docs).withColumns(qr.flags()).select("doc_id", "fails_lines").collect()
+    assert {tuple(r) for r in got} == {(1, False), (2, True), (3, False)}

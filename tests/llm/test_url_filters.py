@@ -78,3 +78,19 @@ def test_columns_named_as_the_result_are_replaced(spark):
     pages = spark.createDataFrame([(1, "http://www.net/es/x", "<p>", "mine", "my rule")], "page_id long, url string, html string, component string, rule string")
     got = url_filters.judge(pages).select("page_id", "component", "rule", "verdict").collect()
     assert [tuple(r) for r in got] == [(1, None, "net/es/", "block")]
+
+
+def test_every_tag_counts_but_not_in_comments_and_scripts(spark):
+    html = link("https://one.org/") + "<link rel='nofollow canonical' href='https://two.org/'><link rel=canonical>"
+    html += '<meta http-equiv=refresh content="5;url=https://three.org/">' * 2
+    hidden = f"<!-- {link('https://four.org/')} --><script>{link('https://five.org/')}</script>"
+    pages = spark.createDataFrame([(1, "https://p.org/", html + hidden), (2, "https://q.org/", hidden)], SCHEMA)
+    got = {(r.u, r.v) for r in url_filters.links(pages).collect()}
+    assert got == {("https://p.org/", f"https://{x}.org/") for x in ("one", "two", "three")}
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    hub = spark.range(1, 60_001).selectExpr("0L AS u", "id AS v")
+    chain = spark.range(100_000, 103_000).selectExpr("id AS u", "id + 1 AS v")
+    got = components(hub.unionByName(chain)).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {(0, 60_001), (100_000, 3_001)}
