@@ -6,8 +6,9 @@ a table over blocks of two words: the shift says how far the search may jump bec
 further right. Where the shift is 0, the bucket of the block gives the patterns that end so, and these are
 compared word by word with the text. Cursors of many text segments advance together in NumPy.
 
-The tables of a block of patterns are sent to the tasks; blocks have at most `block_patterns` patterns, so what is
-broadcast is bounded, and a larger benchmark is searched in several passes whose hits are united per document.
+The tables of a block of patterns are sent to the tasks; blocks have some `block_patterns` patterns at most, so what is
+broadcast is bounded, and a larger benchmark is searched in several passes, one block after the other, whose hits are
+written and then united per document.
 
 Defined cases: null texts and items have no words; repeated items with the same id count once, an item with a
 null id marks its hits but is not counted as an item; repeated documents are each judged, empty tables give empty
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,12 +156,15 @@ def _scan(searchers: list[Searcher], holders: list[list[str]], texts: pa.Array)
 
 
 def _blocks(benchmark: DataFrame, text: str, item_id: str, window: int, block_patterns: int) -> Iterator[tuple[list[Searcher], list[list[str]]]]:
-    """Tables and item ids of one block of the benchmark after the other; the driver holds one block's texts at a time."""
+    """Tables and item ids of one block of the benchmark after the other; the driver holds one block's texts at a time.
+
+    Rows go to blocks by id and text together, so rows of one id, or of none, are not all in one block.
+    """
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // (4 * block_patterns)))  # a pattern starts at a word; words have some 4 characters with the gap
+    n_blocks = max(1, -(-size // (2 * block_patterns)))  # a pattern starts at a word, which with its gap has 2 characters or more
     for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).collect()
         found = patterns_of([(r.item, r.text) for r in block], window)
         yield _searchers([(p, i) for i, p in enumerate(found)]), [sorted(v) for v in found.values()]
 
@@ -185,22 +190,23 @@ def search(
     text: str = "text",
     item_id: str = "item_id",
     window: int = WINDOW,
-    block_patterns: int = 100_000,
+    block_patterns: int = 200_000,
 ) -> DataFrame:
     """`docs` without `text`, with n_words, hit_runs (starts and ends, counted in words), items (sorted ids), n_hit,
     n_items, items_sha256 and contaminated. These names replace input columns of the same name."""
     added = ("n_words", "hit_runs", "items", "n_hit", "n_items", "items_sha256", "contaminated")
-    blocks = list(_blocks(benchmark, text if text in benchmark.columns else "text", item_id, window, block_patterns))
+    blocks = _blocks(benchmark, text if text in benchmark.columns else "text", item_id, window, block_patterns)
     rest = [c for c in docs.columns if c != text and c not in added]
-    if len(blocks) == 1:
-        found = _searched(docs, text, rest, blocks[0])
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        found = _searched(docs, text, rest, block)
     else:
         docs = materialize(docs.select(*rest, text).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        hits = _searched(docs, text, ["_row"], blocks[0])
-        for block in blocks[1:]:
-            hits = hits.unionByName(_searched(docs, text, ["_row"], block).where(F.size("_hit_runs") > 0))
+        hits = materialize(_searched(docs, text, ["_row"], block), "hits")
+        for block in chain([following], blocks):
+            hits = hits.unionByName(materialize(_searched(docs, text, ["_row"], block).where(F.size("_hit_runs") > 0), "hits"))
         hits = hits.groupBy("_row", "_n_words").agg(
-            F.udf(_united, "array<int>")(F.flatten(F.collect_list("_hit_runs"))).alias("_hit_runs"),
+            F.udf(_united, "array<int>", useArrow=True)(F.flatten(F.collect_list("_hit_runs"))).alias("_hit_runs"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
         )
         found = docs.select("_row", *rest).join(hits, "_row").drop("_row")
@@ -228,7 +234,7 @@ def _united(runs: list[int]) -> list[int]:
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_patterns: int = 100_000
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_patterns: int = 200_000
 ) -> DataFrame:
     """The rows of `docs` in which no pattern of the benchmark occurs, with the same columns."""
     columns = docs.columns

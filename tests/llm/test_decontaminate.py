@@ -59,3 +59,14 @@ def test_drop_keeps_clean_rows_and_clashing_columns(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, t in docs if not brute(t, items)[1]), key=str)
     assert d.search(df.limit(0), bench).count() == 0
     assert d.search(df, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_items_without_an_id_go_to_several_blocks(spark):
+    rng = random.Random(8)
+    items = [(None, " ".join(f"w{rng.randrange(10_000)}" for _ in range(12))) for _ in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(d._blocks(bench, "text", "item_id", d.WINDOW, 500))
+    assert len(blocks) > 1 and all(len(holders) < 120 for _, holders in blocks)
+    docs = [(k, f"before {t} after") for k, (_, t) in enumerate(items)] + [(99, "clean")]
+    got = d.search(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_patterns=500).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in got} == {(k, 12, 0) for k in range(60)} | {(99, 0, 0)}
