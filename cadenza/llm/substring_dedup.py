@@ -5,8 +5,8 @@ Seeds. Of every `window` consecutive words one anchor is chosen, the shingle of
 document. Within a chunk of texts, equal anchors are reduced to one row before the shuffle, and anchors known to be
 shared are spread by document, so no anchor's rows grow with the documents that hold it.
 
-Extension. Around every seed the windows that chose the anchor, to its left and right, are keyed by all their words
-(two independent 64-bit hashes); the earliest document of each key is an aggregate with map-side partial results.
+Extension. Around every seed the windows that chose the anchor, to its left and right, are keyed by the anchor's 64-bit
+hash and one of all their words (equal hashes are taken for equal words; both build on the words' own hashes); the earliest document of each key is an aggregate with map-side partial results.
 Overlapping matched windows join to maximal repeats, and the words they cover are removed. Documents whose whole text
 an earlier document has are repeats from end to end and send no windows.
 
