@@ -157,3 +157,10 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
     keys = [c for c in points.columns if c != "vector"]
     best = near.groupBy(*keys).agg(F.min(F.struct("distance", "centroid_idx")).alias("b"))
     return best.select(*keys, F.col("b.centroid_idx").alias("centroid_idx"), F.col("b.distance").alias("distance"))
+
+
+def vector_or_zero(rows: DataFrame, vectors: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """`rows` with `vector`, a zero vector where `vectors` (key, embedding) has none, and `known`."""
+    zero = F.array_repeat(F.lit(0.0), dimensions)
+    found = rows.join(vectors.select(key, F.col("embedding").cast("array<double>").alias("vector")), key, "left")
+    return found.withColumn("known", F.col("vector").isNotNull()).withColumn("vector", F.coalesce("vector", zero))

@@ -73,6 +73,43 @@ def request_rollup(requests: DataFrame, key: list[str], least: int = 20) -> Data
     )
 
 
+def joint_rollup(requests: DataFrame, plays: DataFrame, feedback: DataFrame, name: str, start: str, end: str, least: int = 20) -> DataFrame:
+    """One row for a window over requests (with artist and track_ids), plays and feedback; no rows in it give zeros."""
+    requests = in_window(requests, start, end).withColumn("window_name", F.lit(name))
+    plays, feedback = in_window(plays, start, end), in_window(feedback, start, end)
+    artists = first_mode(requests.where("artist <> ''"), "artist", ["created_at", "metric_id"], ["window_name"])
+    models = first_mode(requests.where("model_version <> ''"), "model_version", ["created_at", "metric_id"], ["window_name"])
+    repeats = requests.groupBy("window_name").agg(
+        F.count(F.when(F.size("track_ids") > F.size(F.array_distinct("track_ids")), 1)).alias("repeat_violation_count")
+    )
+    finalized = F.coalesce(F.col("event_type").isin("skip", "complete"), F.lit(False)) | F.col("playratio").isNotNull()
+    complete = (F.col("event_type") == "complete") | (F.col("playratio") >= 0.8)
+    played = plays.agg(
+        F.count(F.when(finalized, 1)).alias("finalized_playback_count"),
+        F.count(F.when(finalized & (F.col("event_type") == "skip"), 1)).alias("_skips"),
+        F.count(F.when(finalized & complete, 1)).alias("_completes"),
+        F.count(F.when(F.startswith("event_type", F.lit("stream_failure")), 1)).alias("stream_failure_count"),
+        F.count(F.lit(1)).alias("_plays"),
+    )
+    said = feedback.agg(F.count(F.lit(1)).alias("feedback_count"), F.count(F.when(F.col("feedback_type") == "dislike", 1)).alias("_dislikes"))
+    one = played.crossJoin(said).withColumn("window_name", F.lit(name))  # one row each
+    rows = one.join(request_rollup(requests, ["window_name"], least), "window_name", "left")
+    rows = rows.join(repeats, "window_name", "left")
+    rows = rows.join(models.select("window_name", "model_version"), "window_name", "left")
+    rows = rows.join(artists.select("window_name", F.col("share").alias("top_artist_share")), "window_name", "left")
+    counts = ("request_count", "catalog_failure_count", "repeat_violation_count")
+    rates = ("error_rate", "fallback_rate", "avg_returned_count", "p50_latency_ms", "p95_latency_ms", "top_artist_share")
+    rows = rows.fillna(0, list(counts)).fillna(0.0, list(rates)).fillna("insufficient", ["sample_status"])
+    shares = {
+        "completion_rate": ratio(F.col("_completes"), F.col("finalized_playback_count")),
+        "skip_rate": ratio(F.col("_skips"), F.col("finalized_playback_count")),
+        "dislike_rate": ratio(F.col("_dislikes"), F.greatest("request_count", F.lit(1))),
+        "stream_failure_rate": ratio(F.col("stream_failure_count"), F.greatest("_plays", F.lit(1))),
+    }
+    extra = ("model_version", "sample_status", "finalized_playback_count", "feedback_count", "stream_failure_count")
+    return rows.withColumns(shares).select("window_name", *counts, *rates, *extra, *shares)
+
+
 def playback_rollup(plays: DataFrame, key: list[str]) -> DataFrame:
     """Completion and skip rates of finalized plays and the share of stream failures by group."""
     kind, share = F.col("event_type"), F.coalesce("playratio", F.lit(0.0))

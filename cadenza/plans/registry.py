@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.plans import features, operations, serving
+from cadenza.plans import features, files, operations, serving
 
-GROUPS = (features, serving, operations)
+GROUPS = (features, serving, operations, files)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

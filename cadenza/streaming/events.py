@@ -42,7 +42,7 @@ def write_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def _folder(spark: SparkSession, sf_dir: str) -> str:
+def folder(spark: SparkSession, sf_dir: str) -> str:
     shared = spark.conf.get(SHARED, None) or f"/tmp/cadenza-{spark.sparkContext.applicationId}"
     return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
@@ -50,7 +50,7 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
 def stream_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different (track, user, event type), kept for the whole span of the data."""
     events = read_events(spark, sf_dir).withColumn("track_id", F.get_json_object("props", "$.k").cast("bigint"))
-    folder = _folder(spark, sf_dir)
+    folder = folder(spark, sf_dir)
     kept = deduplicated(events, ["track_id", "user_id", "event_type"], "60 days").select("track_id", "user_id", "event_type")
     return write_once(kept, f"{folder}/out", f"{folder}/state")
 
