@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import export as x
 from cadenza.operators import features as f
 from cadenza.operators import monitoring as m
+from cadenza.operators import recall as rec
 from cadenza.operators import sinks as k
 from cadenza.plans import features as feature_plans
 from cadenza.plans.oracle_views import sql
@@ -163,6 +164,14 @@ def centroid_or_zero(s: SparkSession, d: str) -> DataFrame:
     return f.vector_or_zero(v.table(s, d, "customer").select(F.col("c_custkey").alias("user_id")), known, "user_id", DIMENSIONS)
 
 
+def unseen_tracks(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of a session that were neither played nor recommended lately nor disliked by its user."""
+    plays = v.plays(s, d)
+    candidates = plays.select("session_int_id", "user_int_id", "track_id").distinct()
+    disliked = plays.where("event_type = 'skip'").select("user_int_id", "track_id")
+    return rec.excluding(candidates, [(e.recent_tracks(plays, 5), ["session_int_id"]), (e.recommended_tracks(plays, 5), ["session_int_id"]), (disliked, ["user_int_id"])])
+
+
 ZEROS = f"list_resize([]::DOUBLE[], {DIMENSIONS}, 0.0::DOUBLE)"
 GAPS = ", ".join(f"CASE WHEN p_partkey % {i + 2} = 0 THEN '{n}' END" for i, n in enumerate(BUNDLE_FILES))
 P95 = "list_sort(list(total_latency_ms))[round_even(0.95::DOUBLE * (count(*) - 1), 0)::BIGINT + 1]"
@@ -223,6 +232,17 @@ SELECT track_id, title FROM (
   )
 ) WHERE r = 1
 """
+UNSEEN = """
+SELECT DISTINCT session_int_id, user_int_id, track_id FROM plays p
+WHERE NOT EXISTS (SELECT 1 FROM plays x WHERE x.event_type = 'skip' AND x.user_int_id = p.user_int_id AND x.track_id = p.track_id)
+  AND NOT EXISTS (
+    SELECT 1 FROM (
+      SELECT session_int_id, track_id, row_number() OVER (PARTITION BY session_int_id ORDER BY last DESC) AS newest,
+        row_number() OVER (PARTITION BY session_int_id ORDER BY first DESC) AS added
+      FROM (SELECT session_int_id, track_id, max((created_at, event_id)) AS last, min((created_at, event_id)) AS first FROM plays GROUP BY 1, 2)
+    ) y WHERE (newest <= 5 OR added <= 5) AND y.session_int_id = p.session_int_id AND y.track_id = p.track_id
+  )
+"""
 
 QUERIES = {
     "popularity_csv": (popularity_csv, sql("pop", "SELECT track_id, track_count FROM pop")),
@@ -285,4 +305,5 @@ QUERIES = {
               WHERE created_at + INTERVAL 14 DAY > TIMESTAMP '1996-06-01' AND NOT pipeline_error""",
         ),
     ),
+    "unseen_tracks": (unseen_tracks, sql("plays", UNSEEN)),
 }
