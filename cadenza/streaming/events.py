@@ -50,9 +50,9 @@ def folder(spark: SparkSession, sf_dir: str) -> str:
 def stream_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different (track, user, event type), kept for the whole span of the data."""
     events = read_events(spark, sf_dir).withColumn("track_id", F.get_json_object("props", "$.k").cast("bigint"))
-    folder = folder(spark, sf_dir)
+    own = folder(spark, sf_dir)
     kept = deduplicated(events, ["track_id", "user_id", "event_type"], "60 days").select("track_id", "user_id", "event_type")
-    return write_once(kept, f"{folder}/out", f"{folder}/state")
+    return write_once(kept, f"{own}/out", f"{own}/state")
 
 
 def stream_hourly_query(spark: SparkSession, sf_dir: str) -> DataFrame:
