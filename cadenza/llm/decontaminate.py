@@ -6,7 +6,7 @@ a table over blocks of two words: the shift says how far the search may jump bec
 further right. Where the shift is 0, the bucket of the block gives the patterns that end so, and these are
 compared word by word with the text. Cursors of many text segments advance together in NumPy.
 
-The tables of a block of patterns are sent to the tasks; blocks have some `block_patterns` patterns at most, so what is
+The tables of a block of patterns are sent to the tasks; blocks have `block_patterns` patterns at most on average, so what is
 broadcast is bounded, and a larger benchmark is searched in several passes, one block after the other, whose hits are
 written and then united per document.
 
