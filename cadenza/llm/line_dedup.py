@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.scratch import broadcast_if_small, materialize
-from cadenza.llm.tokens import NOT_SPACE, U64, Sums, chunks, list_array, mix, released, signed
+from cadenza.llm.tokens import NOT_SPACE, U64, Sums, chunks, list_array, mix, released, signed, slices
 
 MIN_FUZZY = 10
 #: Bits of the four halves that a line may share.
@@ -104,7 +104,7 @@ def _lines(min_fuzzy: int):
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, whole, h1, doc, line) of the variants of the lines asked for, in (doc, text, lines: h1, line, mask)."""
-    for batch in batches:
+    for batch in slices(batches, 1):
         ids = batch.column(0).to_pylist()
         texts, asked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for doc, text, wanted in zip(ids, texts, asked, strict=True):
@@ -158,7 +158,7 @@ def within_one_edit(x: str, y: str) -> bool:
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         h1, out = [], []
         for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             asked = {w["h1"] for w in wanted}
@@ -204,7 +204,7 @@ def _apply(n_rest: int):
     """Columns of (rest, doc, text, kept hashes) to rest, text, n_lines and n_removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, n_rest + 1):
             out, n_lines, n_removed = [], [], []
             for doc, text, kept in zip(*(batch.column(n_rest + i).to_pylist() for i in range(3)), strict=True):
                 lines, count, gone, stay = (text or "").split("\n"), 0, 0, set(kept or ())

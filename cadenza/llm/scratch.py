@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,14 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches have at most `most_bytes` (or one row): 10,000 long texts in one batch, held
+    several times over by an executor and its Python worker, cost more memory than all else in a task."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES))
+    if now > most_bytes:
+        spark.conf.set(BATCH_BYTES, f"{most_bytes}b")
+
+
 def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:
     """`df` marked for a broadcast if it has at most `most` rows (counted), else `df` for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -137,6 +137,13 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = until
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in runs of about a megabyte of texts in `column`, for work with Python strings."""
+    for batch in batches:
+        for row, until, _, _ in chunks(batch.column(column)):
+            yield batch.slice(row, until - row)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the bytes of every span."""
     forward, backward = _powers(_ODD, len(data) + 1)

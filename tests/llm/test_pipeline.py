@@ -6,6 +6,7 @@ import tiktoken
 
 import corpus_pipeline
 from cadenza.llm import byte_bpe
+from cadenza.llm.scratch import BATCH_BYTES, bound_batches
 
 
 def words(rng, n):
@@ -45,3 +46,12 @@ def test_empty_tables_and_columns_of_the_stages(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert sorted(out.columns) == sorted(docs.columns)
         assert out.count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    before = spark.conf.get(BATCH_BYTES)
+    for value, want in (("64m", f"{4 << 20}b"), ("8m", f"{4 << 20}b"), ("1m", "1m")):
+        spark.conf.set(BATCH_BYTES, value)
+        bound_batches(spark)
+        assert spark.conf.get(BATCH_BYTES) == want
+    spark.conf.set(BATCH_BYTES, before)
