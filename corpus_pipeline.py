@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from cadenza.llm.scratch import materialize
+from cadenza.llm.scratch import bound_batches, materialize
 
 #: Chosen paths and merges cannot be written in SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -18,26 +18,31 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host is not rejected."""
+    bound_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one."""
+    bound_batches(spark)
     return line_dedup.keep_first_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bound_batches(spark)
     return ngram_join.keep_one_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark passage occurs."""
+    bound_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and the SHA-256 of the bytes decoded from these."""
+    bound_batches(spark)
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN)
 
