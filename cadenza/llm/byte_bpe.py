@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.scratch import discard, materialize
+from cadenza.llm.scratch import discard, materialize, tidy
 from cadenza.llm.tokens import U64, Words, chunks, list_array, released, span_hashes
 
 BLOCK_BYTES = 1_000_000
@@ -460,6 +460,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ad
             hashes = sc.broadcast(found[order])
             units = sc.broadcast((np.asarray(ids.value_lengths(), np.int32), ids.flatten().to_numpy()))
         del got
+    tidy()
     schema_out = "".join(f"`{c}` {types[c]}, " for c in rest) + kinds
     packed = folded(docs.select(*rest, F.col(text).alias("_text")), rest, schema, hashes)
     return packed.mapInArrow(released(_unpack(rest, digest, pieces, units)), schema_out).withColumnsRenamed({f"_{c}": c for c in added})

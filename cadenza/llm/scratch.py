@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.tokens import give_back
+
 _OWN: dict[str, str] = {}
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -23,11 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def tidy() -> None:
+    """What the driver built for a plan that has run (tables, columns and the JVM objects they hold) is let go."""
+    gc.collect()
+    give_back()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back: lineage ends there, executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy()
     return spark.read.schema(df.schema).parquet(path)
 
 

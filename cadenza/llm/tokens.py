@@ -57,16 +57,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def give_back() -> None:
+    """Memory that this process freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """`run` for mapInArrow: after a task's last batch its Python worker, which lives on, gives freed memory back."""
 
     def task(batches: Iterator) -> Iterator:
         yield from run(batches)
         _POWERS.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return task
 
