@@ -55,9 +55,9 @@ PAIRS = 1 << 17
 RUN_BITS = 4
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes, sorted within each text and without repeats; number of them per text)."""
-    words = Words(data, bounds)
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes, sorted within each text and without repeats; number of them per text); `lower`: A-Z count as a-z."""
+    words = Words(data, bounds, lower=lower)
     parts = [words.windows(size, 31)]
     text = words.text_of_word()
     tokens, owner = parts[0][0][parts[0][1]], text[: len(parts[0][1])][parts[0][1]]

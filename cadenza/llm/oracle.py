@@ -146,10 +146,35 @@ FROM d LEFT JOIN c USING (rid) LEFT JOIN kept USING (rid)
 """
 
 
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), both_ AS (
+  SELECT a.rid AS u, b.rid AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid
+), arc AS (
+  SELECT u, v FROM both_ JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * k >= 85 * (x.n + y.n - k)
+), reach AS (
+  SELECT u, v FROM arc UNION SELECT r.u, arc.v FROM reach r JOIN arc ON arc.u = r.v
+), least_ AS (
+  SELECT reach.u AS rid, min(d.doc_id) AS doc_id FROM reach JOIN d ON d.rid = reach.v GROUP BY reach.u
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, least_.doc_id) AS component_id,
+  coalesce(d.doc_id = least(d.doc_id, least_.doc_id), true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN least_ USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": OP4,
         "op9_decontaminate": OP9,
         "op2_url_filters": OP2,
         "op10_quality_rules": OP10,
+        "op11_minhash_dedup": OP11,
     }

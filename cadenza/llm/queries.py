@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, ngram_join, packing, quality_rules, substring_dedup, url_filters
+from cadenza.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, minhash_dedup, ngram_join, packing, quality_rules, substring_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -85,4 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_rules": op10_quality_rules,
+        "op11_minhash_dedup": op11_minhash_dedup,
     }
