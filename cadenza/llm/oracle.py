@@ -170,6 +170,42 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN least_ USING (rid)
 """
 
 
+OP13 = r"""
+WITH id AS (
+  SELECT conv, CASE WHEN conv % 5 < 0 THEN conv % 5 + 5 ELSE conv % 5 END AS rest, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(
+      list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc
+  FROM (SELECT DISTINCT conv_id AS conv FROM conversations WHERE conv_id IS NOT NULL)
+), turn AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv, list(t ORDER BY i) AS ts FROM turn GROUP BY conv
+), built AS (
+  SELECT id.conv, CASE WHEN rest = 0 THEN own.ts ELSE coalesce(base.ts[1:xor(crc, 4294967295) % 9], []) || own.ts[xor(crc, 4294967295) % 9 + 1:] END AS ts
+  FROM id JOIN own ON own.conv = id.conv LEFT JOIN own base ON base.conv = id.conv - rest
+), prefix AS (
+  SELECT conv, d, ts[1:d] AS path, d = len(ts) AS ended FROM (SELECT conv, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)
+), node AS (
+  SELECT path, d, min(conv) AS conv_id, count(*) AS n, CASE WHEN d > 0 THEN strlen(path[d].text) ELSE 0 END AS bytes,
+    coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (WHERE ended), '') AS ids
+  FROM prefix GROUP BY path, d
+), numbered AS (
+  SELECT *, row_number() OVER () AS id FROM node
+), kids AS (
+  SELECT up.id, count(*) AS n FROM numbered up JOIN numbered k ON k.d = up.d + 1 AND k.path[1:up.d] = up.path GROUP BY up.id
+), above AS (
+  SELECT id, path[1:unnest(range(0, d + 1))] AS path FROM numbered
+), under AS (
+  SELECT up.id, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((k.n - 1) * k.bytes)::BIGINT AS saved
+  FROM above JOIN numbered up ON up.path = above.path JOIN numbered k ON k.id = above.id LEFT JOIN kids ON kids.id = k.id GROUP BY up.id
+)
+SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, under.n_leaves,
+  under.saved AS saved_tokens, sha256(x.ids) AS ends_sha256
+FROM numbered x JOIN under USING (id) LEFT JOIN kids USING (id) LEFT JOIN numbered up ON up.d = x.d - 1 AND up.path = x.path[1:up.d]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": OP4,
@@ -177,4 +213,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filters": OP2,
         "op10_quality_rules": OP10,
         "op11_minhash_dedup": OP11,
+        "op13_prefix_trie": OP13,
     }
