@@ -206,6 +206,46 @@ FROM numbered x JOIN under USING (id) LEFT JOIN kids USING (id) LEFT JOIN number
 """
 
 
+OP12 = r"""
+WITH RECURSIVE run AS (
+  SELECT doc, run, count(*) AS k, coalesce(doc::VARCHAR, '') || ':' || run AS s FROM (
+    SELECT doc_id AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents WHERE text IS NOT NULL
+  ) WHERE length(run) > 6 GROUP BY doc, run
+), crc AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(s, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS h
+  FROM run
+), word AS (
+  SELECT w AS word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run) + 2)::INT) ELSE run END AS w, k FROM crc
+  ) WHERE length(w) >= 7 GROUP BY w HAVING sum(k) >= 2
+), cut AS (
+  SELECT word, n, p, left(word, p::INT) || '*' || substr(word, (p + 2)::INT) AS same, left(word, p::INT) || substr(word, (p + 2)::INT) AS less
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS p FROM word)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.same = b.same AND a.word <> b.word
+  UNION SELECT cut.less, cut.word, cut.n FROM cut JOIN word ON word.word = cut.less
+  UNION SELECT cut.word, word.word, word.n FROM cut JOIN word ON word.word = cut.less
+), most AS (
+  SELECT word, count(*) AS n_near, max(n) AS best FROM near GROUP BY word
+), first_ AS (
+  SELECT near.word, min(other) AS form, max(near.n) AS form_n FROM near JOIN most ON most.word = near.word AND near.n = most.best GROUP BY near.word
+), form AS (
+  SELECT word.word, first_.form, first_.form_n FROM word JOIN first_ USING (word) WHERE first_.form_n >= 10 * word.n
+), way AS (
+  SELECT word, word AS root, 0 AS steps FROM word
+  UNION ALL SELECT way.word, form.form, steps + 1 FROM way JOIN form ON form.word = way.root
+), root AS (
+  SELECT word, max_by(root, steps) AS root FROM way GROUP BY word
+)
+SELECT word.word, form.form, root.root, word.n, coalesce(most.n_near, 0)::BIGINT AS n_near, form.form_n
+FROM word JOIN root USING (word) LEFT JOIN most USING (word) LEFT JOIN form USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": OP4,
@@ -213,5 +253,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filters": OP2,
         "op10_quality_rules": OP10,
         "op11_minhash_dedup": OP11,
+        "op12_spelling": OP12,
         "op13_prefix_trie": OP13,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, minhash_dedup, ngram_join, packing, prefix_trie, quality_rules, substring_dedup, url_filters
+from cadenza.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, minhash_dedup, ngram_join, packing, prefix_trie, quality_rules, spelling, substring_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -94,5 +98,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_rules": op10_quality_rules,
         "op11_minhash_dedup": op11_minhash_dedup,
+        "op12_spelling": op12_spelling,
         "op13_prefix_trie": op13_prefix_trie,
     }
