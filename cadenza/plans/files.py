@@ -26,13 +26,13 @@ PER_DOCUMENT = 1000
 
 
 def popularity_csv(s: SparkSession, d: str) -> DataFrame:
-    path = f"{e.folder(s, d)}/popularity"
+    path = f"{e.folder(s)}/popularity"
     k.write_csv(f.popularity(v.session_tracks(s, d)).select("track_id", "track_count", "pop_score"), path)
     return r.csv_columns(s, path, "track_id bigint, track_count bigint, pop_score double", ["track_id", "track_count"])
 
 
 def manifest_csv(s: SparkSession, d: str) -> DataFrame:
-    path = f"{e.folder(s, d)}/manifest"
+    path = f"{e.folder(s)}/manifest"
     rows = v.catalog(s, d).select(
         F.when(F.col("track_id") % 3 == 0, F.concat(F.lit("t"), "track_id")).alias("song_id"),
         F.when(F.col("track_id") % 5 > 0, F.concat(F.lit("a.b/f"), "track_id", F.lit(".tar.mp3"))).alias("filename"),
@@ -45,7 +45,7 @@ def manifest_csv(s: SparkSession, d: str) -> DataFrame:
 
 
 def tracks_json(s: SparkSession, d: str) -> DataFrame:
-    path = f"{e.folder(s, d)}/tracks"
+    path = f"{e.folder(s)}/tracks"
     some = v.catalog(s, d).groupBy("artist", F.floor(F.col("track_id") / PER_DOCUMENT).alias("part"))
     k.write_json(some.agg(F.collect_list(F.struct("track_id", "title")).alias("tracks")).select("artist", "tracks"), path)
     rows = s.read.schema("artist string, tracks array<struct<track_id:bigint,title:string>>").json(path)
@@ -53,7 +53,7 @@ def tracks_json(s: SparkSession, d: str) -> DataFrame:
 
 
 def track_index_map(s: SparkSession, d: str) -> DataFrame:
-    path = f"{e.folder(s, d)}/track-to-row"
+    path = f"{e.folder(s)}/track-to-row"
     some = v.catalog(s, d).groupBy(F.floor(F.col("track_id") / PER_DOCUMENT).alias("part"))
     maps = some.agg(F.map_from_entries(F.collect_list(F.struct(F.col("track_id").cast("string"), F.col("duration_sec")))).alias("m"))
     maps.select(F.to_json("m")).write.text(path)
@@ -62,7 +62,7 @@ def track_index_map(s: SparkSession, d: str) -> DataFrame:
 
 def versioned_export(s: SparkSession, d: str) -> DataFrame:
     """Two windows exported, the first of them twice, and the checkpoints that remain."""
-    root, plays = f"{e.folder(s, d)}/export", v.plays(s, d)
+    root, plays = f"{e.folder(s)}/export", v.plays(s, d)
     for version, last, cutoff in (("v1", LAST, CUTOFF), ("v1", LAST, CUTOFF), ("v2", CUTOFF, NEXT_CUTOFF)):
         rows = x.delta(plays, last, cutoff)
         outputs = {"session_tracks": rows, "session_meta": x.session_meta(rows), "users": v.users(s, d), "love": v.loved_tracks(s, d)}
@@ -72,7 +72,7 @@ def versioned_export(s: SparkSession, d: str) -> DataFrame:
 
 def export_listing(s: SparkSession, d: str) -> DataFrame:
     """Which folder holds the manifest that was written last."""
-    root = f"{e.folder(s, d)}/bundles"
+    root = f"{e.folder(s)}/bundles"
     for version in ("2024a", "2024b"):
         k.write_csv(s.range(0, 1, 1, 1), f"{root}/{version}/data")
     files = r.listing(s, root, (".csv",)).withColumn("path", F.regexp_replace("path", r"/data/[^/]*\z", "/manifest.json"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.plans import features, files, operations, serving
+from cadenza.plans import features, files, operations, serving, streams
 
-GROUPS = (features, serving, operations, files)
+GROUPS = (features, serving, operations, files, streams)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,16 @@ Each has a batch form, and the streams run with `availableNow`, a checkpoint fol
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +46,36 @@ def write_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def folder(spark: SparkSession, sf_dir: str) -> str:
-    shared = spark.conf.get(SHARED, None) or f"/tmp/cadenza-{spark.sparkContext.applicationId}"
-    return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`; a temporary one only where driver and executors are one process."""
+    named = spark.conf.get(SHARED, None)
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{SHARED} must name a folder that all executors share")
+    return f"/tmp/cadenza-{spark.sparkContext.applicationId}"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder for the files and the state of a stream."""
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that begin inside keep their state in RocksDB, as processors with timers need; the setting before comes back after."""
+    before = spark.conf.get(PROVIDER[0], None)
+    spark.conf.set(*PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
 
 
 def stream_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different (track, user, event type), kept for the whole span of the data."""
     events = read_events(spark, sf_dir).withColumn("track_id", F.get_json_object("props", "$.k").cast("bigint"))
-    own = folder(spark, sf_dir)
+    own = folder(spark)
     kept = deduplicated(events, ["track_id", "user_id", "event_type"], "60 days").select("track_id", "user_id", "event_type")
     return write_once(kept, f"{own}/out", f"{own}/state")
 
