@@ -78,10 +78,13 @@ def test_lists_move_to_front_have_caps_and_end(fed):
         [(1, 8, at(2), "played", [13]), (3, 9, at(20), "played", [1])],
         [(2, 10, at(20.1), "recommended", [6])],
     ]
-    rows = fed(schema, batches, lambda x: st.track_lists(x, recent=3, recommended=4))
-    read = lambda now: {r.session_id: (r.recent, r.recommended) for r in st.latest_lists(rows, str(now)).collect()}
-    assert read(at(2.5)) == {1: ([13, 12, 10], [4, 2, 1, 3]), 2: ([], [6]), 3: ([1], [])}
-    assert read(at(21)) == {1: ([13, 12, 10], []), 2: ([], [6]), 3: ([1], [])}
+    operator = lambda x: st.track_lists(x, recent=3, recommended=4)
+    read = lambda rows, now: {r.session_id: (r.recent, r.recommended) for r in st.latest_lists(rows, str(now)).collect()}
+    before = fed(schema, batches[:2], operator)
+    assert read(before, at(2)) == {1: ([12, 10, 11], [4, 2, 1, 3]), 2: ([], [5])}
+    assert read(before, at(14.5)) == {1: ([12, 10, 11], [4, 2, 1, 3]), 2: ([], [])}
+    rows = fed(schema, batches, operator)
+    assert read(rows, at(21)) == {1: ([13, 12, 10], []), 2: ([], [6]), 3: ([1], [])}
     assert rows.where("session_id = 2 AND size(recommended) = 0").count() <= 1
 
 
