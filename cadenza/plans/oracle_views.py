@@ -68,7 +68,7 @@ VIEWS = {
     "penal": """SELECT session_id, track_id, artist, ranker_score, spared, ranker_score - CASE WHEN spared THEN 0 ELSE 0.18::DOUBLE END * (row_number() OVER (PARTITION BY session_id, artist ORDER BY ranker_score DESC, track_id) - 1) AS policy_score
       FROM (SELECT r.*, e.track_id IS NOT NULL AS gone, bool_and(e.track_id IS NOT NULL) OVER (PARTITION BY r.session_id) AS spared
       FROM ranked r LEFT JOIN excluded e ON e.session_id = r.session_id AND e.track_id = r.track_id) WHERE NOT gone OR spared""",
-    "queue": """SELECT session_id, track_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY again, policy_score DESC, track_id) AS place FROM (
+    "queue": """SELECT session_id, track_id, policy_score, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY again, policy_score DESC, track_id) AS place FROM (
       SELECT *, NOT spared AND row_number() OVER (PARTITION BY session_id, lower(trim(artist)) ORDER BY policy_score DESC, track_id) > 1 AS again FROM penal)) WHERE place <= 18""",
     "delta": """SELECT session_int_id AS session_id, user_int_id AS user_id, position, track_id, playratio,
       CASE WHEN playratio > 0.8 THEN 'positive' WHEN playratio > 0.2 THEN 'neutral' ELSE 'skip' END AS label

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import graph as g
 from cadenza.operators import recall as r
 from cadenza.operators.features import mean_centroids
 from cadenza.plans.features import cooc_playlist, popularity, taste_rows_of, train_edges
 from cadenza.plans.oracle_views import sql
 from cadenza.sources import views as v
+from cadenza.sources.shared import new_folder, stored
 
 FIXTURE_WEIGHTS = {"popularity": 1.0, "cooc_session": 1.0, "cooc_playlist": 0.7, "user_centroid": 1.0}
 
@@ -19,10 +21,24 @@ def _recent(s: SparkSession, d: str) -> DataFrame:
     return v.session_tracks(s, d).select("session_id", "track_id", "position")
 
 
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    """The session and the playlist graph, stored as one; an edge of both counts with the sum of its weights."""
+    path = new_folder(s, "graph")
+    g.store_graph(train_edges(s, d).unionByName(cooc_playlist(s, d)), path)
+    return g.read_graph(s, path)
+
+
+def _near(s: SparkSession, d: str) -> DataFrame:
+    return g.session_cooccurrence(_recent(s, d), _graph(s, d))
+
+
 def recall_cooc(s: SparkSession, d: str) -> DataFrame:
-    """Over the session and the playlist graph; an edge of both counts with the sum of its weights."""
-    graphs = train_edges(s, d).unionByName(cooc_playlist(s, d))
-    return r.session_cooccurrence(_recent(s, d), graphs)
+    return g.listed(_near(s, d), "session_id")
+
+
+def cooc_graph(s: SparkSession, d: str) -> DataFrame:
+    """The edges as they are read back from the stored graph."""
+    return g.edges_of(_graph(s, d))
 
 
 def _centroids(s: SparkSession, d: str) -> DataFrame:
@@ -37,12 +53,8 @@ def recall_pref_topk(s: SparkSession, d: str) -> DataFrame:
     return r.preference_topk(_centroids(s, d), v.embeddings(s, d))
 
 
-def _found(s: SparkSession, d: str) -> DataFrame:
-    return r.merge_branches(recall_cooc(s, d), r.preferred(v.session_tracks(s, d), recall_pref_topk(s, d)))
-
-
 def recall_merged(s: SparkSession, d: str) -> DataFrame:
-    return r.with_popular(_recent(s, d), _found(s, d), popularity(s, d))
+    return r.candidates(v.session_tracks(s, d), _near(s, d), r.user_lists(recall_pref_topk(s, d)), popularity(s, d))
 
 
 def recall_pop_fill(s: SparkSession, d: str) -> DataFrame:
@@ -82,7 +94,7 @@ def artist_diversity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _queue(s: SparkSession, d: str) -> DataFrame:
-    ranked = r.apply_policy(_ranked(s, d), _recent(s, d), ["session_id"]).select("session_id", "track_id", "place")
+    ranked = stored(r.apply_policy(_ranked(s, d), _recent(s, d), ["session_id"]).select("session_id", "track_id", "place"), "ranked")
     played = _recent(s, d).select("session_id", "track_id")
     shown = ranked.where("place % 3 = 0").select("session_id", "track_id")
     return r.composed_queue(ranked, v.catalog(s, d).where(v.playable()), played.unionByName(shown))
@@ -105,18 +117,35 @@ def playable_catalog(s: SparkSession, d: str) -> DataFrame:
     return v.catalog(s, d).where(v.playable()).select("track_id", "title", "artist", "nav_id")
 
 
-QUEUE = """, gone AS (SELECT session_id, track_id FROM excluded UNION SELECT session_id, track_id FROM queue WHERE place % 3 = 0),
-  taken AS (SELECT session_id, track_id FROM gone UNION SELECT session_id, track_id FROM queue),
-  ring AS (SELECT track_id, row_number() OVER (ORDER BY md5(track_id::VARCHAR), track_id) - 1 AS rank FROM playable),
-  firsts AS (SELECT session_id, track_id, place FROM queue ANTI JOIN gone USING (session_id, track_id)),
-  lacking AS (SELECT q.session_id, 18 - coalesce(f.k, 0) AS need, t.k AS taken, ('0x' || substr(md5(q.session_id::VARCHAR), 1, 13))::BIGINT AS start, (SELECT count(*) FROM ring) AS n
+QUEUE = """, gone AS (
+    SELECT session_id, track_id FROM excluded UNION SELECT session_id, track_id FROM queue WHERE place % 3 = 0
+  ), taken AS (
+    SELECT session_id, track_id FROM gone UNION SELECT session_id, track_id FROM queue
+  ), ring AS (
+    SELECT track_id, row_number() OVER (ORDER BY md5(track_id::VARCHAR), track_id) - 1 AS rank FROM playable
+  ), prime AS (
+    SELECT n, (SELECT min(x) FROM range(greatest(n, 2), greatest(n, 2) + 301) t(x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 32000) u(y) WHERE y * y <= x AND x % y = 0)) AS p
+    FROM (SELECT count(*) AS n FROM ring)
+  ), firsts AS (
+    SELECT session_id, track_id, place FROM queue ANTI JOIN gone USING (session_id, track_id)
+  ), lacking AS (
+    SELECT q.session_id, 18 - coalesce(f.k, 0) AS need, t.k AS taken, n, p, ('0x' || substr(md5(q.session_id::VARCHAR), 1, 13))::BIGINT % p AS start,
+      ('0x' || substr(md5(q.session_id || ':step'), 1, 13))::BIGINT % (p - 1) + 1 AS step
     FROM (SELECT DISTINCT session_id FROM queue) q LEFT JOIN (SELECT session_id, count(*) AS k FROM firsts GROUP BY 1) f USING (session_id)
-    JOIN (SELECT session_id, count(*) AS k FROM taken GROUP BY 1) t USING (session_id)),
-  looked AS (SELECT session_id, need, start, n, unnest(range(0, least(n, taken + need))) AS place FROM lacking WHERE need > 0),
-  tiers AS (SELECT session_id, track_id, 1 AS tier, place FROM firsts
-    UNION ALL SELECT l.session_id, r.track_id, 2, l.place FROM looked l JOIN ring r ON r.rank = (l.start + l.place) % l.n ANTI JOIN taken t ON t.session_id = l.session_id AND t.track_id = r.track_id
-    UNION ALL SELECT session_id, track_id, 3, place FROM queue SEMI JOIN gone USING (session_id, track_id)),
-  composed AS (SELECT session_id, track_id, tier, place FROM (SELECT session_id, track_id, tier, row_number() OVER (PARTITION BY session_id ORDER BY tier, place) AS place FROM tiers) WHERE place <= 18)
+    JOIN (SELECT session_id, count(*) AS k FROM taken GROUP BY 1) t USING (session_id), prime
+  ), looked AS (
+    SELECT session_id, start, step, p, unnest(range(0, least(p, taken + need + p - n))) AS place FROM lacking WHERE need > 0
+  ), tiers AS (
+    SELECT session_id, track_id, 1 AS tier, place FROM firsts
+    UNION ALL
+    SELECT l.session_id, r.track_id, 2, l.place FROM looked l JOIN ring r ON r.rank = (l.start + l.step * l.place) % l.p
+    ANTI JOIN taken t ON t.session_id = l.session_id AND t.track_id = r.track_id
+    UNION ALL
+    SELECT session_id, track_id, 3, place FROM queue SEMI JOIN gone USING (session_id, track_id)
+  ), composed AS (
+    SELECT session_id, track_id, tier, place FROM (SELECT session_id, track_id, tier, row_number() OVER (PARTITION BY session_id ORDER BY tier, place) AS place FROM tiers)
+    WHERE place <= 18
+  )
 """
 
 SOURCES = """SELECT track_id, (CASE WHEN track_id % 2 = 0 THEN (track_id % 7) / 7.0::DOUBLE ELSE 0 END + CASE WHEN track_id % 3 = 0 THEN (track_id % 11) / 11.0::DOUBLE ELSE 0 END
@@ -126,6 +155,7 @@ SOURCES = """SELECT track_id, (CASE WHEN track_id % 2 = 0 THEN (track_id % 7) /
 
 QUERIES = {
     "recall_cooc": (recall_cooc, sql("cooc", "SELECT * FROM cooc")),
+    "cooc_graph": (cooc_graph, sql("both_edges", "SELECT src, dst, weight FROM both_edges")),
     "recall_pref_topk": (recall_pref_topk, sql("pref", "SELECT user_id, 0 AS centroid_idx, track_id, score FROM pref")),
     "recall_pop_fill": (recall_pop_fill, sql("recent head", """SELECT session_id, track_id, pop_score AS score FROM (SELECT DISTINCT session_id FROM recent),
       (SELECT *, row_number() OVER (ORDER BY pop_score DESC, track_id) AS r FROM head) WHERE r <= 50""")),
@@ -134,7 +164,7 @@ QUERIES = {
     "fixture_rank": (fixture_rank, sql("playable", f"""SELECT track_id, score, score * 0.72::DOUBLE + CASE WHEN sources LIKE '%cooc%' THEN 1.35 ELSE 0 END + CASE WHEN sources LIKE '%centroid%' THEN 0.85 ELSE 0 END
       + CASE track_id WHEN 6 THEN 0.4 WHEN 10 THEN -0.2 ELSE 0 END AS ranker_score FROM ({SOURCES}) WHERE sources <> ''""")),
     "policy_penalty": (policy_penalty, sql("penal", "SELECT session_id, track_id, round(policy_score, 6) AS policy_score FROM penal WHERE NOT spared")),
-    "artist_diversity": (artist_diversity, sql("queue", "SELECT q.session_id, q.track_id, round(p.policy_score, 6) AS policy_score, q.place::INTEGER AS place FROM queue q JOIN penal p USING (session_id, track_id)")),
+    "artist_diversity": (artist_diversity, sql("queue", "SELECT session_id, track_id, round(policy_score, 6) AS policy_score, place::INTEGER AS place FROM queue")),
     "queue_compose": (queue_compose, sql("queue excluded playable", "").rstrip() + QUEUE + "SELECT session_id, track_id, tier::INTEGER AS tier, place::INTEGER AS place FROM composed"),
     "queue_rotate": (queue_rotate, sql("queue excluded playable", "").rstrip() + QUEUE + """SELECT session_id, track_id, ((place - 1 - off + n) % n + 1)::INTEGER AS place FROM (
       SELECT *, CASE WHEN (session_id % 5) % n = 0 AND n > 1 THEN 1 ELSE (session_id % 5) % n END AS off FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM composed))"""),

@@ -5,7 +5,6 @@ Each has a batch form, and the streams run with `availableNow`, a checkpoint fol
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,7 +12,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SHARED = "spark.checkpoint.dir"
+from cadenza.sources.shared import new_folder
+
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -46,19 +46,9 @@ def write_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in `spark.checkpoint.dir`; a temporary one only where driver and executors are one process."""
-    named = spark.conf.get(SHARED, None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError(f"{SHARED} must name a folder that all executors share")
-    return f"/tmp/cadenza-{spark.sparkContext.applicationId}"
-
-
 def folder(spark: SparkSession) -> str:
     """A new folder for the files and the state of a stream."""
-    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    return new_folder(spark, "streams")
 
 
 @contextmanager
