@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import squared_distance
+from cadenza.sources.shared import stored
 
 LIKED = ("positive", "neutral")
 
@@ -112,43 +111,87 @@ def taste_rows(loved: DataFrame, positives: DataFrame, embeddings: DataFrame, lo
     return rows.join(embeddings.select("track_id"), "track_id", "left_semi").groupBy("user_id", "track_id").agg(F.sum("copies").alias("copies"))
 
 
+def weighted_means(rows: DataFrame, keys: list[str], dimensions: int, vector: str = "vector", weight: str = "copies") -> DataFrame:
+    """(keys…, size, mean): the sum of the weights and the weighted mean vector; one row for each key and task is shuffled."""
+    sums = [F.sum(F.col(vector)[i].cast("double") * F.col(weight)).alias(f"_{i}") for i in range(dimensions)]
+    found = rows.groupBy(*keys).agg(F.sum(weight).cast("bigint").alias("size"), *sums)
+    return found.select(*keys, "size", F.array(*[F.col(f"_{i}") / F.col("size") for i in range(dimensions)]).alias("mean"))
+
+
+def dimensions_of(embeddings: DataFrame) -> int:
+    """The length of the vectors, from one of them; 0 without any."""
+    row = embeddings.select(F.size("embedding")).first()
+    return row[0] if row else 0
+
+
 def mean_centroids(taste: DataFrame, embeddings: DataFrame, least: int = 2) -> DataFrame:
     """(user_id, size, dim, value): the weighted mean vector of users with `least` rows or more, one row per dimension."""
-    parts = taste.join(embeddings, "track_id").select("user_id", "copies", F.posexplode("embedding").alias("dim", "x"))
-    sums = parts.groupBy("user_id", "dim").agg(F.sum(F.col("x").cast("double") * F.col("copies")).alias("s"), F.sum("copies").alias("size"))
-    return sums.where(F.col("size") >= least).select("user_id", "size", "dim", (F.col("s") / F.col("size")).alias("value"))
+    means = weighted_means(taste.join(embeddings, "track_id"), ["user_id"], dimensions_of(embeddings), "embedding")
+    return means.where(F.col("size") >= least).select("user_id", "size", F.posexplode("mean").alias("dim", "value"))
 
 
-def clusters_for(size: int, bounds: tuple[int, int]) -> int:
-    return 1 if size < bounds[0] else 2 if size <= bounds[1] else 3
+def _nearest(vector: Column, centroids: Column) -> Column:
+    """(distance, idx) of the nearest of an array of vectors; the first of equally near ones."""
+    return F.array_min(F.transform(centroids, lambda c, i: F.struct(squared_distance(vector, c).alias("distance"), i.alias("idx"))))
 
 
-def kmeans_centroids(taste: DataFrame, embeddings: DataFrame, bounds: tuple[int, int] = (100, 300), seed: int = 42, starts: int = 10) -> DataFrame:
-    """(user_id, centroid_idx, centroid, cluster_size): K-means of each user's rows, K by their number.
+def kmeans_centroids(taste: DataFrame, embeddings: DataFrame, bounds: tuple[int, int] = (100, 300), rounds: int = 20) -> DataFrame:
+    """(user_id, centroid_idx, centroid, cluster_size): K-means of each user's weighted rows, all users at once.
 
-    A user's rows are bounded by the cap on positives and the loved tracks.
+    K is 1 below the first of `bounds` rows, 2 up to the second, else 3; users of one row have none. The first seed is the track of least MD5, each further
+    one the track farthest from those before it (none if all lie on these; ties: the smaller id). A round assigns every
+    track to the nearest centroid and takes the weighted means, both as joins and aggregates by user and cluster; an empty cluster keeps its
+    centroid. It ends when no centroid changes, after `rounds` rounds at most. Clusters without a track at the end are left out.
     """
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.repeat(np.stack(rows["embedding"]).astype(float), rows["copies"], axis=0)
-        k, rng, best = min(clusters_for(len(x), bounds), len(np.unique(x, axis=0))), np.random.default_rng(seed), None
-        for _ in range(starts if k > 1 else 1):
-            c = np.unique(x, axis=0)
-            c = c[rng.choice(len(c), k, replace=False)]
-            for _ in range(50):
-                near = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-                new = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
-                if np.allclose(new, c):
-                    break
-                c = new
-            inertia = ((x - c[near]) ** 2).sum()
-            if best is None or inertia < best[0]:
-                best = inertia, c, np.bincount(near, minlength=k)
-        return pd.DataFrame({"user_id": rows["user_id"].iloc[0], "centroid_idx": range(k), "centroid": list(best[1]), "cluster_size": best[2]})
-
-    rows = taste.join(embeddings, "track_id").select("user_id", "copies", "embedding")
-    several = rows.join(taste.groupBy("user_id").agg(F.sum("copies").alias("n")).where("n >= 2"), "user_id", "left_semi")
-    return several.groupBy("user_id").applyInPandas(fit, "user_id bigint, centroid_idx int, centroid array<double>, cluster_size bigint")
+    n = dimensions_of(embeddings)
+    sizes = taste.join(embeddings.select("track_id"), "track_id").groupBy("user_id").agg(F.sum("copies").alias("n")).where("n >= 2")
+    k = F.when(F.col("n") < bounds[0], 1).when(F.col("n") <= bounds[1], 2).otherwise(3)
+    points = taste.join(sizes.select("user_id", k.alias("k")), "user_id").join(embeddings, "track_id")
+    points = stored(points.select("user_id", "track_id", "copies", "k", F.col("embedding").cast("array<double>").alias("vector")), "points")
+    single = weighted_means(points.where("k = 1"), ["user_id"], n).select("user_id", F.lit(0).alias("centroid_idx"), F.col("mean").alias("centroid"), F.col("size").alias("cluster_size"))
+
+    several = points.where("k > 1")
+    now = several.groupBy("user_id").agg(F.array(F.min_by("vector", F.struct(F.md5(F.col("track_id").cast("string").cast("binary")), "track_id"))).alias("centroids"))
+    for count in (2, 3):
+        far = several.where(F.col("k") >= count).join(now, "user_id").withColumn("d", _nearest(F.col("vector"), F.col("centroids"))["distance"])
+        far = far.groupBy("user_id").agg(F.max_by(F.struct("vector", "d"), F.struct("d", -F.col("track_id"))).alias("far")).where("far.d > 0")
+        now = now.join(far, "user_id", "left").select("user_id", F.when(F.col("far").isNull(), F.col("centroids")).otherwise(F.concat("centroids", F.array("far.vector"))).alias("centroids"))
+    now = stored(now, "centroids")
+    assigned = lambda: several.join(now, "user_id").withColumn("idx", _nearest(F.col("vector"), F.col("centroids"))["idx"])
+    for _ in range(rounds):
+        means = weighted_means(assigned(), ["user_id", "idx"], n).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "mean"))).alias("means"))
+        new = now.join(means, "user_id").select("user_id", "centroids", F.transform("centroids", lambda c, i: F.coalesce(F.try_element_at("means", i), c)).alias("new"))
+        new = stored(new, "centroids")
+        moved = not new.where("centroids <> new").isEmpty()
+        now = new.select("user_id", F.col("new").alias("centroids"))
+        if not moved:
+            break
+    at = assigned().groupBy("user_id", F.col("idx").alias("centroid_idx")).agg(F.sum("copies").cast("bigint").alias("cluster_size"))
+    several = at.join(now, "user_id").select("user_id", "centroid_idx", F.get("centroids", F.col("centroid_idx")).alias("centroid"), "cluster_size")
+    return single.unionByName(several)
+
+
+def session_means(tracks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(user_id, session_id, vector): every session with the mean vector of its embedded tracks, null if it has none."""
+    known = tracks.join(embeddings, "track_id").withColumn("copies", F.lit(1))
+    means = weighted_means(known, ["session_id"], dimensions_of(embeddings), "embedding").select("session_id", F.col("mean").alias("vector"))
+    return tracks.select("user_id", "session_id").distinct().join(means, "session_id", "left").select("user_id", "session_id", "vector")
+
+
+def long_term(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """`points` (user_id, key…, vector) with centroid_idx, distance and u_long, the vector of the user's long-term taste.
+
+    The nearest centroid; that of number 0 without a distance where the point has no vector; all null for a user without any.
+    """
+    every = centroids.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("centroid_idx", "centroid"))).alias("c"))
+    near = F.array_min(F.transform("c", lambda c: F.struct(squared_distance(F.col("vector"), c["centroid"]).alias("d"), c["centroid_idx"].alias("i"), c["centroid"].alias("v"))))
+    found = points.join(every, "user_id", "left").withColumn("n", F.when(F.col("vector").isNotNull(), near)).withColumn("first", F.get("c", F.lit(0)))
+    return found.select(
+        *points.columns,
+        F.coalesce("n.i", "first.centroid_idx").alias("centroid_idx"),
+        F.sqrt("n.d").alias("distance"),
+        F.coalesce("n.v", "first.centroid").alias("u_long"),
+    )
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:

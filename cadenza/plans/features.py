@@ -45,16 +45,13 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _fixed_centroids(s: SparkSession, d: str) -> DataFrame:
-    """Two centroids for every user, for queries that need given ones: the vectors of tracks user % 7 and user % 11."""
-    who = v.session_tracks(s, d).select("user_id").distinct()
-    pick = who.select("user_id", F.posexplode(F.array(F.col("user_id") % 7, F.col("user_id") % 11)).alias("centroid_idx", "track_id"))
-    return pick.join(v.embeddings(s, d), "track_id").select("user_id", "centroid_idx", F.col("embedding").alias("centroid"))
+def centroids(s: SparkSession, d: str) -> DataFrame:
+    """K-means centroids of all users; the bounds on K are lower than the defaults, which the sample tables do not reach."""
+    return f.kmeans_centroids(taste_rows_of(s, d), v.embeddings(s, d), bounds=(6, 12))
 
 
-def _last_points(s: SparkSession, d: str) -> DataFrame:
-    liked = v.session_tracks(s, d).where("label <> 'skip'").join(v.embeddings(s, d), "track_id")
-    return liked.groupBy("user_id", "session_id").agg(F.max_by("embedding", "position").alias("vector"))
+def _long_term(s: SparkSession, d: str) -> DataFrame:
+    return f.long_term(f.session_means(v.session_tracks(s, d), v.embeddings(s, d)), centroids(s, d))
 
 
 def label_distribution(s: SparkSession, d: str) -> DataFrame:
@@ -114,7 +111,7 @@ def user_mean_centroid(s: SparkSession, d: str) -> DataFrame:
 
 
 def user_centroids_kmeans(s: SparkSession, d: str) -> DataFrame:
-    return f.kmeans_centroids(taste_rows_of(s, d), v.embeddings(s, d), bounds=(6, 12))
+    return centroids(s, d).select("user_id", "centroid_idx", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"), "cluster_size")
 
 
 def k_distribution(s: SparkSession, d: str) -> DataFrame:
@@ -124,12 +121,15 @@ def k_distribution(s: SparkSession, d: str) -> DataFrame:
 
 
 def u_long_nearest(s: SparkSession, d: str) -> DataFrame:
-    return f.nearest_centroid(_last_points(s, d), _fixed_centroids(s, d)).withColumn("distance", F.round("distance", 4))
+    """Every session's centroid: the nearest to the mean of its tracks, the first without known tracks, none for cold users."""
+    return _long_term(s, d).select("user_id", "session_id", "centroid_idx", F.round("distance", 4).alias("distance"))
 
 
 def cosine_features(s: SparkSession, d: str) -> DataFrame:
-    both = _last_points(s, d).join(_fixed_centroids(s, d).where("centroid_idx = 0"), "user_id")
-    return both.select("user_id", "session_id", F.round(cosine(F.col("vector"), F.col("centroid")), 4).alias("cosine"))
+    """Cosine of every session's mean vector with its long-term taste; 0 where one of them is missing."""
+    both = _long_term(s, d)
+    value = F.coalesce(cosine(F.col("vector"), F.col("u_long")), F.lit(0.0))
+    return both.select("user_id", "session_id", F.round(value, 4).alias("cosine"))
 
 
 def prefix_frames(s: SparkSession, d: str) -> DataFrame:
@@ -154,13 +154,26 @@ def losses_bce_bpr(s: SparkSession, d: str) -> DataFrame:
     return t.losses(_scored(s, d))
 
 
-FIXED = """fixed AS (SELECT user_id, centroid_idx, embedding AS centroid FROM (SELECT user_id, 0 AS centroid_idx, user_id % 7 AS track_id FROM (SELECT DISTINCT user_id FROM st)
-  UNION ALL SELECT user_id, 1, user_id % 11 FROM (SELECT DISTINCT user_id FROM st)) JOIN emb USING (track_id)),
-  points AS (SELECT user_id, session_id, max_by(embedding, position) AS vector FROM st JOIN emb USING (track_id) WHERE label <> 'skip' GROUP BY 1, 2)"""
+U_LONG = """, mean AS (
+    SELECT session_id, list(s / n ORDER BY dim) AS vector
+    FROM (SELECT session_id, dim, sum(x::DOUBLE) AS s, count(*) AS n FROM (
+      SELECT session_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM st JOIN emb USING (track_id)) GROUP BY 1, 2) GROUP BY 1
+  ), point AS (
+    SELECT DISTINCT st.user_id, st.session_id, vector FROM st LEFT JOIN mean USING (session_id)
+  ), far AS (
+    SELECT p.user_id, p.session_id, p.vector, k.centroid_idx, k.centroid,
+      list_sum(list_transform(range(1, len(vector) + 1), lambda i: (vector[i] - centroid[i]) ** 2)) AS d
+    FROM point p LEFT JOIN kmeans k USING (user_id)
+  ), u_long AS (
+    SELECT user_id, session_id, arg_min(centroid_idx, (coalesce(d, 0), centroid_idx)) AS centroid_idx, sqrt(min(d)) AS distance, any_value(vector) AS vector,
+      arg_min(centroid, (coalesce(d, 0), centroid_idx)) AS centroid
+    FROM far GROUP BY 1, 2
+  )
+"""
 
 
-def _fixed(body: str) -> str:
-    return sql("st emb", "").rstrip() + ",\n" + FIXED + "\n" + body
+def _u_long(body: str) -> str:
+    return sql("st emb kmeans", "").rstrip() + U_LONG + body
 
 
 QUERIES = {
@@ -181,12 +194,12 @@ QUERIES = {
     "taste_rows": (taste_rows_of, sql("taste", "SELECT * FROM taste")),
     "user_mean_centroid": (user_mean_centroid, sql("taste", """SELECT user_id, size, dim, round(s / size, 6) AS value FROM (SELECT user_id, dim, sum(x::DOUBLE * copies) AS s, sum(copies)::BIGINT AS size
       FROM (SELECT user_id, copies, unnest(embedding) AS x, unnest(range(len(embedding)))::INTEGER AS dim FROM taste JOIN emb USING (track_id)) GROUP BY 1, 2) WHERE size >= 2""")),
-    "user_centroids_kmeans": (user_centroids_kmeans, None),
+    "user_centroids_kmeans": (user_centroids_kmeans, sql("kmeans", """SELECT user_id, centroid_idx::INTEGER AS centroid_idx,
+      list_transform(centroid, lambda x: round(x, 5)) AS centroid, cluster_size FROM kmeans""")),
     "k_distribution": (k_distribution, sql("taste", "SELECT CASE WHEN n < 6 THEN 1 WHEN n <= 12 THEN 2 ELSE 3 END AS k, count(*) AS n_users FROM (SELECT user_id, sum(copies) AS n FROM taste GROUP BY 1) WHERE n >= 2 GROUP BY 1")),
-    "u_long_nearest": (u_long_nearest, _fixed("""SELECT user_id, session_id, arg_min(centroid_idx, (d, centroid_idx)) AS centroid_idx, round(min(d), 4) AS distance FROM (
-      SELECT user_id, session_id, centroid_idx, sqrt(list_sum(list_transform(range(1, len(vector) + 1), lambda i: (vector[i]::DOUBLE - centroid[i]) ** 2))) AS d FROM points JOIN fixed USING (user_id)) GROUP BY 1, 2""")),
-    "cosine_features": (cosine_features, _fixed("""SELECT user_id, session_id, round(list_dot_product(vector::DOUBLE[], centroid::DOUBLE[]) / greatest(sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[]))
-      * sqrt(list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[])), 1e-8), 4) AS cosine FROM points JOIN fixed USING (user_id) WHERE centroid_idx = 0""")),
+    "u_long_nearest": (u_long_nearest, _u_long("SELECT user_id, session_id, centroid_idx, round(distance, 4) AS distance FROM u_long")),
+    "cosine_features": (cosine_features, _u_long("""SELECT user_id, session_id, coalesce(round(list_dot_product(vector, centroid)
+      / greatest(sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(centroid, centroid)), 1e-8), 4), 0) AS cosine FROM u_long""")),
     "prefix_frames": (prefix_frames, sql("st", """SELECT session_id, position::INTEGER AS position, len(p)::INTEGER AS prefix_len,
       array_to_string(list_concat(list_transform(range(20 - len(p)), lambda i: 0), p), ',') AS prefix, array_to_string(list_concat(list_transform(range(20 - len(p)), lambda i: 3), l), ',') AS prefix_labels
       FROM (SELECT session_id, position, list(track_id) OVER w AS p, list(CASE label WHEN 'skip' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 ELSE 3 END) OVER w AS l

@@ -1,5 +1,8 @@
 """The canonical views in DuckDB SQL."""
 
+DISTANCE = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) ** 2))"
+#: The number, from 1, of the vector in cs that is nearest to v.
+NEAREST = f"list_min(list_transform(range(1, len(cs) + 1), lambda j: ({DISTANCE.replace('c[', 'cs[j][')}, j)))[2]"
 VIEWS = {
     "plays": """SELECT event_id, (3000000 + user_id * 10 + floor((day(ts) - 1) / 3))::BIGINT AS session_int_id, user_id AS user_int_id,
       (props->>'$.k')::BIGINT AS track_id, CASE WHEN event_type <> 'signup' THEN least(value / 100, 1.0) END AS playratio,
@@ -52,10 +55,26 @@ VIEWS = {
     "cooc": """SELECT session_id, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, track_id) AS r FROM (
       SELECT session_id, dst AS track_id, round(sum(exp(-0.3 * age) * weight), 6) AS score FROM (SELECT session_id, track_id AS src, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) - 1 AS age FROM recent)
       JOIN both_edges USING (src) WHERE age < 10 GROUP BY 1, 2)) WHERE r <= 100""",
-    "means": """SELECT user_id, list(s / size ORDER BY dim) AS c FROM (SELECT user_id, dim, sum(x::DOUBLE * copies) AS s, sum(copies) AS size
-      FROM (SELECT user_id, copies, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM taste JOIN emb USING (track_id)) GROUP BY 1, 2) WHERE size >= 2 GROUP BY 1""",
+    "points": """SELECT user_id, track_id, copies, embedding::DOUBLE[] AS v, CASE WHEN n < 6 THEN 1 WHEN n <= 12 THEN 2 ELSE 3 END AS k
+      FROM (SELECT *, sum(copies) OVER (PARTITION BY user_id) AS n FROM taste JOIN emb USING (track_id)) WHERE n >= 2""",
+    "seed_1": "SELECT user_id, [arg_min(v, (md5(track_id::VARCHAR), track_id))] AS cs FROM points WHERE k > 1 GROUP BY 1",
+    "seed_2": f"""SELECT s.user_id, CASE WHEN max(d) > 0 THEN list_append(any_value(cs), arg_max(v, (d, -track_id))) ELSE any_value(cs) END AS cs
+      FROM (SELECT *, list_min(list_transform(cs, lambda c: {DISTANCE})) AS d FROM points JOIN seed_1 USING (user_id)) s GROUP BY 1""",
+    "seed_3": f"""SELECT s.user_id, CASE WHEN any_value(k) > 2 AND max(d) > 0 THEN list_append(any_value(cs), arg_max(v, (d, -track_id))) ELSE any_value(cs) END AS cs
+      FROM (SELECT *, list_min(list_transform(cs, lambda c: {DISTANCE})) AS d FROM points JOIN seed_2 USING (user_id)) s GROUP BY 1""",
+    "lloyd": f"""SELECT 0 AS step, user_id, cs FROM seed_3 UNION ALL
+      SELECT step + 1, user_id, list_transform(range(1, len(any_value(cs)) + 1), lambda j: coalesce(map_extract(map_from_entries(list((i, m))), j)[1], any_value(cs)[j])) AS cs
+      FROM (SELECT step, user_id, i, any_value(cs) AS cs, list_transform(range(1, len(any_value(v)) + 1), lambda x: list_sum(list_transform(list((v, copies)), lambda p: p[1][x] * p[2])) / sum(copies)) AS m
+        FROM (SELECT step, p.user_id, cs, v, copies, {NEAREST} AS i FROM lloyd JOIN points p USING (user_id) WHERE step < 20) GROUP BY step, user_id, i) GROUP BY step, user_id""",
+    "kmeans": f"""SELECT user_id, i - 1 AS centroid_idx, any_value(cs)[i] AS centroid, sum(copies)::BIGINT AS cluster_size
+      FROM (SELECT p.user_id, cs, copies, {NEAREST} AS i FROM lloyd JOIN points p USING (user_id) WHERE step = 20) GROUP BY user_id, i
+      UNION ALL SELECT user_id, 0, list(s / n ORDER BY dim), any_value(n)::BIGINT FROM (SELECT user_id, dim, sum(x * copies) AS s, sum(copies) AS n
+        FROM (SELECT user_id, copies, unnest(v) AS x, unnest(range(len(v))) AS dim FROM points WHERE k = 1) GROUP BY 1, 2) GROUP BY 1""",
+    "pref_k": """SELECT user_id, centroid_idx, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, centroid_idx ORDER BY score DESC, track_id) AS r FROM (
+      SELECT user_id, centroid_idx, k, track_id, round(list_dot_product(embedding::DOUBLE[], centroid), 6) AS score
+      FROM (SELECT *, greatest(1, floor(80 * cluster_size / sum(cluster_size) OVER (PARTITION BY user_id))) AS k FROM kmeans), emb)) WHERE r <= k""",
     "pref": """SELECT user_id, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, track_id) AS r FROM (
-      SELECT user_id, track_id, round(list_dot_product(embedding::DOUBLE[], c), 6) AS score FROM means, emb)) WHERE r <= 80""",
+      SELECT user_id, track_id, max(score) AS score FROM pref_k GROUP BY 1, 2)) WHERE r <= 80""",
     "found": """SELECT session_id, track_id, max(score) AS score, count(*) AS n_branches FROM (SELECT session_id, track_id, score FROM cooc
       UNION ALL SELECT session_id, track_id, score FROM (SELECT DISTINCT session_id, user_id FROM st) JOIN pref USING (user_id)) GROUP BY 1, 2""",
     "head": "SELECT track_id, pop_score FROM pop ORDER BY pop_score DESC, track_id LIMIT 250",
@@ -86,13 +105,13 @@ VIEWS = {
 NEEDS = {
     "playable": ["cat"], "pop": ["st"], "edges": ["st", "split", "cat"], "pl_once": ["pt"], "pl_edges": ["pl_once"], "neighbours": ["edges"], "positives": ["st"],
     "taste": ["loved", "positives", "emb"], "ctx": ["st"], "hard": ["ctx", "edges"], "scored": ["ctx", "hard"], "recent": ["st"], "both_edges": ["edges", "pl_edges"], "cooc": ["recent", "both_edges"],
-    "means": ["taste", "emb"], "pref": ["means"], "found": ["cooc", "pref", "st"], "head": ["pop"], "filled": ["recent", "found", "head"], "merged": ["found", "filled"], "ranked": ["merged", "playable"], "excluded": ["recent"], "penal": ["ranked", "excluded"], "queue": ["penal"], "delta": ["plays"],
+    "points": ["taste", "emb"], "seed_1": ["points"], "seed_2": ["seed_1"], "seed_3": ["seed_2"], "lloyd": ["seed_3"], "kmeans": ["lloyd"], "pref_k": ["kmeans", "emb"], "pref": ["pref_k"], "found": ["cooc", "pref", "st"], "head": ["pop"], "filled": ["recent", "found", "head"], "merged": ["found", "filled"], "ranked": ["merged", "playable"], "excluded": ["recent"], "penal": ["ranked", "excluded"], "queue": ["penal"], "delta": ["plays"],
     "roll": ["rm"], "batch": ["cat"],
 }
 
 
 #: Views that are read several times and cost much.
-OFTEN = {"edges", "pl_edges", "found", "merged", "penal", "queue", "taste", "pref", "cooc"}
+OFTEN = {"points", "seed_3", "kmeans", "edges", "pl_edges", "found", "merged", "penal", "queue", "taste", "pref", "cooc"}
 
 
 def sql(views: str, body: str) -> str:
@@ -108,4 +127,4 @@ def sql(views: str, body: str) -> str:
     for name in views.split():
         add(name)
     kind = lambda name: "MATERIALIZED " if name in OFTEN else ""
-    return "WITH " + ",\n".join(f"{name} AS {kind(name)}({VIEWS[name]})" for name in chosen) + f"\n{body}"
+    return ("WITH RECURSIVE " if "lloyd" in chosen else "WITH ") + ",\n".join(f"{name} AS {kind(name)}({VIEWS[name]})" for name in chosen) + f"\n{body}"

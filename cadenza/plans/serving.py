@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import graph as g
 from cadenza.operators import recall as r
-from cadenza.operators.features import mean_centroids
-from cadenza.plans.features import cooc_playlist, popularity, taste_rows_of, train_edges
+from cadenza.plans.features import centroids, cooc_playlist, popularity, train_edges
 from cadenza.plans.oracle_views import sql
 from cadenza.sources import views as v
 from cadenza.sources.shared import new_folder, stored
@@ -41,16 +40,9 @@ def cooc_graph(s: SparkSession, d: str) -> DataFrame:
     return g.edges_of(_graph(s, d))
 
 
-def _centroids(s: SparkSession, d: str) -> DataFrame:
-    """The weighted mean vector of every user with two rows of taste or more, as their one centroid."""
-    values = mean_centroids(taste_rows_of(s, d), v.embeddings(s, d))
-    rows = values.groupBy("user_id").agg(F.first("size").alias("cluster_size"), F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("x"))
-    return rows.select("user_id", F.lit(0).alias("centroid_idx"), F.col("x.value").alias("centroid"), "cluster_size")
-
-
 def recall_pref_topk(s: SparkSession, d: str) -> DataFrame:
-    """Of all users' mean vectors, against all vectors."""
-    return r.preference_topk(_centroids(s, d), v.embeddings(s, d))
+    """Of all users' K-means centroids, each its share of 80 tracks, against all vectors."""
+    return r.preference_topk(centroids(s, d), v.embeddings(s, d))
 
 
 def recall_merged(s: SparkSession, d: str) -> DataFrame:
@@ -156,7 +148,7 @@ SOURCES = """SELECT track_id, (CASE WHEN track_id % 2 = 0 THEN (track_id % 7) /
 QUERIES = {
     "recall_cooc": (recall_cooc, sql("cooc", "SELECT * FROM cooc")),
     "cooc_graph": (cooc_graph, sql("both_edges", "SELECT src, dst, weight FROM both_edges")),
-    "recall_pref_topk": (recall_pref_topk, sql("pref", "SELECT user_id, 0 AS centroid_idx, track_id, score FROM pref")),
+    "recall_pref_topk": (recall_pref_topk, sql("pref_k", "SELECT user_id, centroid_idx::INTEGER AS centroid_idx, track_id, score FROM pref_k")),
     "recall_pop_fill": (recall_pop_fill, sql("recent head", """SELECT session_id, track_id, pop_score AS score FROM (SELECT DISTINCT session_id FROM recent),
       (SELECT *, row_number() OVER (ORDER BY pop_score DESC, track_id) AS r FROM head) WHERE r <= 50""")),
     "recall_merged": (recall_merged, sql("merged", "SELECT * FROM merged")),
