@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.scratch import discard, materialize, tidy
+from cadenza.llm.scratch import discard, materialize, short_plans, tidy
 from cadenza.llm.tokens import U64, Words, chunks, list_array, released, span_hashes
 
 BLOCK_BYTES = 1_000_000
@@ -452,7 +452,8 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ad
         common = common_pieces(docs, text, SHARED).select("piece", F.col("piece").cast("string").alias("_text"))
         shape = schema.replace(fields, "`piece`: binary")
         coded = folded(common, ["piece"], shape, None).mapInArrow(released(_unpack(["piece"], False, pieces, None)), "piece binary, _ids array<int>, _decoded binary")
-        got = coded.select("piece", "_ids").toArrow()
+        with short_plans(docs.sparkSession):
+            got = coded.select("piece", "_ids").toArrow()
         if len(got):
             found = np.concatenate([span_hashes(data, bounds[:-1], bounds[1:]) for part in got.column(0).chunks for _, _, data, bounds in chunks(part)])
             order = np.argsort(found)
@@ -463,7 +464,15 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, ad
     tidy()
     schema_out = "".join(f"`{c}` {types[c]}, " for c in rest) + kinds
     packed = folded(docs.select(*rest, F.col(text).alias("_text")), rest, schema, hashes)
-    return packed.mapInArrow(released(_unpack(rest, digest, pieces, units)), schema_out).withColumnsRenamed({f"_{c}": c for c in added})
+    out = packed.mapInArrow(released(_unpack(rest, digest, pieces, units)), schema_out).withColumnsRenamed({f"_{c}": c for c in added})
+    if not digest:
+        return out
+    with short_plans(docs.sparkSession):  # digests are short, so they are written here, and nothing is left in driver or executors
+        out = materialize(out, "digests")
+    for sent in (pieces, hashes, units):
+        if sent is not None:
+            sent.destroy()
+    return out
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:

@@ -23,13 +23,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.scratch import materialize
 from cadenza.llm.tokens import ALNUM, U64, Words, chunks, mix, released
 
 WINDOW = 10
+#: Number of a row while several blocks are searched; no input column has this name.
+ROW = "_cadenza_decontaminate_row"
 #: Words of a text that one cursor searches.
 SEGMENT = 512
 
@@ -169,9 +172,8 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str, window: int, block_pa
         yield _searchers([(p, i) for i, p in enumerate(found)]), [sorted(v) for v in found.values()]
 
 
-def _searched(docs: DataFrame, text: str, rest: list[str], block: tuple[list[Searcher], list[list[str]]]) -> DataFrame:
-    """The columns `rest` of `docs`, with _n_words, _hit_runs and _items for the patterns of one block."""
-    tables = docs.sparkSession.sparkContext.broadcast(block)
+def _searched(docs: DataFrame, text: str, rest: list[str], tables: Broadcast) -> DataFrame:
+    """The columns `rest` of `docs`, with _n_words, _hit_runs and _items for the patterns of one block (in `tables`)."""
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", _n_words bigint, _hit_runs array<int>, _items array<string>"
 
@@ -199,17 +201,17 @@ def search(
     rest = [c for c in docs.columns if c != text and c not in added]
     block, following = next(blocks), next(blocks, None)
     if following is None:
-        found = _searched(docs, text, rest, block)
+        found = _searched(docs, text, rest, docs.sparkSession.sparkContext.broadcast(block))
     else:
-        docs = materialize(docs.select(*rest, text).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        hits = materialize(_searched(docs, text, ["_row"], block), "hits")
-        for block in chain([following], blocks):
-            hits = hits.unionByName(materialize(_searched(docs, text, ["_row"], block).where(F.size("_hit_runs") > 0), "hits"))
-        hits = hits.groupBy("_row", "_n_words").agg(
-            F.udf(_united, "array<int>", useArrow=True)(F.flatten(F.collect_list("_hit_runs"))).alias("_hit_runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
+        docs = _numbered(docs.select(*rest, text))
+        hits = None
+        for block in chain([block, following], blocks):
+            some = _hits_of(docs, text, block, every=hits is None)
+            hits = some if hits is None else hits.unionByName(some)
+        hits = hits.groupBy(ROW, "_n_words").agg(
+            _united(F.flatten(F.collect_list("_hit_runs"))).alias("_hit_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")
         )
-        found = docs.select("_row", *rest).join(hits, "_row").drop("_row")
+        found = docs.select(ROW, *rest).join(hits, ROW).drop(ROW)
     found = found.withColumnsRenamed({"_n_words": "n_words", "_hit_runs": "hit_runs", "_items": "items"})
     return found.withColumns(
         {
@@ -222,22 +224,47 @@ def search(
     )
 
 
-def _united(runs: list[int]) -> list[int]:
-    """Runs of a few documents hit in several blocks of patterns, made disjoint."""
-    out: list[int] = []
-    for a, b in sorted(zip(runs[::2], runs[1::2], strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs`, written with a number (ROW) for every row."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _hits_of(docs: DataFrame, text: str, block: tuple[list[Searcher], list[list[str]]], every: bool) -> DataFrame:
+    """What the patterns of one block hit, written, so that the block's tables can go: all rows of `docs`, or only those hit."""
+    tables = docs.sparkSession.sparkContext.broadcast(block)
+    found = _searched(docs, text, [ROW], tables)
+    found = materialize(found if every else found.where(F.size("_hit_runs") > 0), "hits")
+    tables.destroy()
+    return found
+
+
+def _united(runs: Column) -> Column:
+    """Runs (starts and ends in turn) of one document from several blocks of patterns, made disjoint."""
+    pairs = F.transform(F.filter(F.transform(runs, lambda x, i: F.struct(i.alias("i"), x.alias("a"))), lambda x: x["i"] % 2 == 0), lambda x: F.struct(x["a"].alias("a"), F.get(runs, x["i"] + 1).alias("b")))
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(last, x["b"])))
+        return F.when((F.size(out) > 0) & (x["a"] <= last), longer).otherwise(F.concat(out, F.array(x["a"], x["b"])))
+
+    return F.aggregate(F.array_sort(pairs), F.array().cast("array<int>"), add)
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_patterns: int = 200_000
 ) -> DataFrame:
-    """The rows of `docs` in which no pattern of the benchmark occurs, with the same columns."""
+    """The rows of `docs` in which no pattern of the benchmark occurs, with the same columns.
+
+    Several blocks are searched one after the other; the numbers of the rows that each hits are written in between.
+    """
     columns = docs.columns
-    for block in _blocks(benchmark, text, item_id, window, block_patterns):
-        docs = _searched(docs, text, columns, block).where(F.size("_hit_runs") == 0).select(*columns)
-    return docs
+    blocks = _blocks(benchmark, text, item_id, window, block_patterns)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _searched(docs, text, columns, docs.sparkSession.sparkContext.broadcast(block)).where(F.size("_hit_runs") == 0).select(*columns)
+    docs = _numbered(docs)
+    hits = None
+    for block in chain([block, following], blocks):
+        some = _hits_of(docs, text, block, every=False).select(ROW)
+        hits = some if hits is None else hits.unionByName(some)
+    return docs.join(hits.distinct(), ROW, "left_anti").select(*columns)

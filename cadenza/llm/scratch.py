@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +19,12 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; only where that is unset (tests) a temporary folder of our own."""
+    """The cluster's `spark.checkpoint.dir`; where that is unset, as in tests, a temporary folder if driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cadenza-scratch-")
@@ -64,6 +69,19 @@ def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
         spark.conf.set(BATCH_BYTES, f"{most_bytes}b")
 
 
+@contextmanager
+def short_plans(spark: SparkSession, most: int = 100_000) -> Iterator[None]:
+    """Inside, the plans that Spark describes for its listeners are cut at `most` characters: it keeps those of a thousand
+    queries in the driver, and a literal table of megabytes is in each of them several times."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:
     """`df` marked for a broadcast if it has at most `most` rows (counted), else `df` for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

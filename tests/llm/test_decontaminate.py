@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from cadenza.llm import decontaminate as d
 
 WORD = set("0123456789abcdefghijklmnopqrstuvwxyz")
@@ -61,6 +63,19 @@ def test_drop_keeps_clean_rows_and_clashing_columns(spark):
     assert d.search(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_drop_with_several_blocks(spark):
+    docs, items, df, bench = tables(spark)
+    kept = d.drop_contaminated(df.selectExpr("*", "1 AS _row", "'x' AS items"), bench, block_patterns=20)
+    assert kept.columns == ["doc_id", "text", "_row", "items"]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, t in docs if not brute(t, items)[1]), key=str)
+
+
+def test_runs_of_several_blocks_are_united(spark):
+    rows = [([0, 3, 2, 5, 9, 10],), ([5, 7, 0, 5],), ([],), ([4, 9, 5, 6, 9, 12, 20, 21],)]
+    got = spark.createDataFrame(rows, "runs array<int>").select(d._united(F.col("runs")).alias("r")).collect()
+    assert [r.r for r in got] == [[0, 5, 9, 10], [0, 7], [], [4, 12, 20, 21]]
+
+
 def test_items_without_an_id_go_to_several_blocks(spark):
     rng = random.Random(8)
     items = [(None, " ".join(f"w{rng.randrange(10_000)}" for _ in range(12))) for _ in range(60)]
