@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from cadenza.llm.scratch import bound_batches, materialize
+from cadenza.llm.scratch import bound_batches, discard, materialize
 
 #: Chosen paths and merges cannot be written in SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -58,7 +58,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each one's result is written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            discard(before)  # the table of a stage that the next has read
+        before = docs
+    return docs
