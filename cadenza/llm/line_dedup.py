@@ -2,7 +2,7 @@ r"""Removal of lines that repeat an earlier line, up to one edit: a deletion-nei
 
 A line is a \n-split part of a text with a character other than space and the controls 09 to 0D; other lines are kept
 as they are. A line goes if an equal line, or one within one insertion, deletion or substitution of a character, occurs
-earlier: in a document of smaller id, or above it in the same document. Lines of fewer than `min_fuzzy` characters are
+earlier: in a document of smaller id, or above it in the same document. Lines of fewer than `min_fuzzy` characters (none unless asked for) are
 compared for equality only. Judged on the input: a line that goes itself still removes later ones.
 
 1. Distinct lines with their first place: an aggregate by two 64-bit hashes, with map-side partial results.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.scratch import broadcast_if_small, materialize
 from cadenza.llm.tokens import NOT_SPACE, U64, Sums, chunks, list_array, mix, released, signed, slices
 
-MIN_FUZZY = 10
+MIN_FUZZY = 0
 #: Bits of the four halves that a line may share.
 FIRST, LAST, FIRST_OF_SHORTER, LAST_OF_SHORTER = 1, 2, 4, 8
 
