@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import squared_distance
-from cadenza.sources.shared import stored
+from cadenza.sources.shared import numbered, stored
 
 LIKED = ("positive", "neutral")
 
@@ -40,8 +40,8 @@ def popularity(plays: DataFrame) -> DataFrame:
 
 def first_seen_index(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """(key, row_idx): distinct keys numbered from 0 by their first ordinal."""
-    first = rows.groupBy(key).agg(F.min(ordinal).alias("first"))
-    return first.select(key, (F.row_number().over(Window.orderBy("first", key)) - 1).cast("bigint").alias("row_idx"))
+    first = rows.groupBy(key).agg(F.min(ordinal).alias("_first"))
+    return numbered(first, ["_first", key], "row_idx").select(key, F.col("row_idx").cast("bigint"))
 
 
 def transitions(tracks: DataFrame, vocabulary: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:

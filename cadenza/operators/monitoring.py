@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import ratio
+from cadenza.sources.shared import stored
 
 
 def in_window(rows: DataFrame, start: str, end: str, column: str = "created_at") -> DataFrame:
@@ -14,17 +17,47 @@ def in_window(rows: DataFrame, start: str, end: str, column: str = "created_at")
     return rows.where(when.isNull() | when.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
-def nearest_rank(rows: DataFrame, value: str, percents: dict[str, int], key: list[str]) -> DataFrame:
-    """(key…, one column per percentile): the value at half-even(p / 100 * (n - 1)) of each group's sorted values.
+#: Groups up to which their bounds go to all tasks; beyond it rows and bounds meet by a shuffle.
+FEW_GROUPS = 50_000
+
 
-    Values are counted first, so a group's rows are not gathered: the rank of a value is a running sum over the
-    group's distinct values.
+def values_at(rows: DataFrame, value: str, places: dict[str, Callable[[Column], Column]], key: list[str], passes: int = 3, buckets: int = 1024) -> DataFrame:
+    """(key…, one column per place): the values at these places, from 0, of each group's sorted values; nulls are left out.
+
+    `places` are given the group's number of values. A pass counts the values between the bounds in `buckets` parts of
+    equal width and takes the least and greatest value of the part that holds the place as new bounds. Each pass is an aggregate with partial results in every
+    task; what is left after the passes, one value or a few close ones, is sorted. No group's values come together.
     """
-    counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*key).orderBy(value)
-    counts = counts.withColumn("last", F.sum("c").over(upto) - 1).withColumn("n", F.sum("c").over(Window.partitionBy(*key)))
-    at = {name: F.bround(F.lit(p / 100.0) * (F.col("n") - 1)) for name, p in percents.items()}
-    return counts.groupBy(*key).agg(*[F.min(F.when(F.col("last") >= place, F.col(value))).alias(name) for name, place in at.items()])
+    x = F.col(value).cast("double")
+    narrow = rows.where(x.isNotNull()).select(*key, x.alias("_x")).withColumn("_all", F.lit(1))
+    key = [*key, "_all"]
+    ends = stored(narrow.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")), "ends")
+    few = ends.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("bigint").alias("k")) for name, place in places.items()]))
+    state = ends.select(*key, "_lo", "_hi", wanted.alias("w")).select(*key, "_lo", "_hi", F.col("w.name").alias("_name"), F.col("w.k").alias("_k"))
+    group = [*key, "_name"]
+    inside = lambda: narrow.join(F.broadcast(state) if few else state, key).where("_x BETWEEN _lo AND _hi")
+    for _ in range(passes):
+        width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        part = F.least(F.coalesce(F.floor((F.col("_x") - F.col("_lo")) / width * buckets), F.lit(0)), F.lit(buckets - 1))
+        counts = inside().groupBy(*group, "_k", part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_part"))
+        found = counts.withColumn("_upto", upto).where("_upto > _k AND _upto - _c <= _k")
+        state = found.select(*group, "_lo", "_hi", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k"))
+    counts = inside().groupBy(*group, "_k", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group).orderBy("_x"))).where("_upto > _k AND _upto - _c <= _k")
+    return counts.groupBy(*key).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in places]).drop("_all")
+
+
+def nearest_rank(rows: DataFrame, value: str, percents: dict[str, int], key: list[str]) -> DataFrame:
+    """(key…, one column per percentile): the value at half-even(p / 100 * (n - 1)) of each group's sorted values."""
+    return values_at(rows, value, {name: lambda n, p=p: F.bround(F.lit(p / 100.0) * (n - 1)) for name, p in percents.items()}, key)
+
+
+def median(rows: DataFrame, value: str, key: list[str], name: str) -> DataFrame:
+    """(key…, name): the middle value of each group, between two middle ones their mean."""
+    both = values_at(rows, value, {"_below": lambda n: F.floor((n - 1) / 2), "_above": lambda n: F.ceil((n - 1) / 2)}, key)
+    return both.select(*key, ((F.col("_below") + F.col("_above")) / 2).alias(name))
 
 
 def first_mode(rows: DataFrame, value: str, order: list[str], key: list[str]) -> DataFrame:
@@ -239,14 +272,14 @@ def latency_summary(requests: DataFrame) -> DataFrame:
     both = rows.unionByName(rows.withColumn("endpoint", F.lit("combined")))
     sums = both.groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("n"),
-        F.median("latency").alias("p50"),
         F.avg("latency").alias("avg"),
         F.min("latency").alias("least"),
         F.max("latency").alias("most"),
         F.round(F.avg(F.when(F.col("pipeline_error"), 1.0).otherwise(0.0)), 4).alias("error_rate"),
         F.round(F.avg(F.when(F.col("fallback_state") != "healthy", 1.0).otherwise(0.0)), 4).alias("fallback_rate"),
     )
-    return sums.join(nearest_rank(both, "latency", {"p95": 95, "p99": 99}, ["endpoint"]), "endpoint")
+    middle = median(both, "latency", ["endpoint"], "p50")
+    return sums.join(middle, "endpoint").join(nearest_rank(both, "latency", {"p95": 95, "p99": 99}, ["endpoint"]), "endpoint")
 
 
 def hourly(rows: DataFrame, *measures: Column, column: str = "created_at") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import ratio
+from cadenza.sources.shared import numbered, stored
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -32,9 +33,8 @@ def upsert_with_ids(table: DataFrame, rows: DataFrame, natural: list[str], id_co
     known = table.select(*natural, id_column)
     fresh = rows.join(known, natural, "left")
     top = table.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
-    number = F.row_number().over(Window.orderBy(*natural))
-    added = fresh.where(F.col(id_column).isNull()).withColumn("_n", number).crossJoin(F.broadcast(top))
-    added = added.withColumn(id_column, (F.col("_top") + F.col("_n")).cast(dict(table.dtypes)[id_column])).select(table.columns)
+    added = numbered(fresh.where(F.col(id_column).isNull()), natural, "_n").crossJoin(F.broadcast(top))  # one row
+    added = added.withColumn(id_column, (F.col("_top") + F.col("_n") + 1).cast(dict(table.dtypes)[id_column])).select(table.columns)
     return upsert(table, fresh.where(F.col(id_column).isNotNull()).select(table.columns).unionByName(added), [id_column])
 
 
@@ -117,8 +117,10 @@ def filled_from_matches(table: DataFrame, by_name: DataFrame, by_title: DataFram
 
 def activations(events: DataFrame) -> DataFrame:
     """(model_version, activated_at, deactivated_at, parent, status): each activation ends the one before."""
-    order = Window.partitionBy(F.lit(0)).orderBy("activated_at", "model_version")
-    steps = events.withColumn("deactivated_at", F.lead("activated_at").over(order)).withColumn("before", F.lag("model_version").over(order))
+    steps = stored(numbered(events.select("model_version", "activated_at"), ["activated_at", "model_version"], "_n"), "activations")
+    after = steps.select((F.col("_n") - 1).alias("_n"), F.col("activated_at").alias("deactivated_at"))
+    before = steps.select((F.col("_n") + 1).alias("_n"), F.col("model_version").alias("before"))
+    steps = steps.join(after, "_n", "left").join(before, "_n", "left")
     parent = F.when(F.col("before") != F.col("model_version"), F.col("before"))
     status = F.when(F.col("deactivated_at").isNull(), "active").otherwise("previous")
     return steps.select("model_version", "activated_at", "deactivated_at", parent.alias("parent"), status.alias("status"))

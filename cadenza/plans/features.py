@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.scalars import cosine, unit_of
 from cadenza.operators import features as f
 from cadenza.operators import training as t
+from cadenza.operators.monitoring import median
 from cadenza.plans.oracle_views import sql
 from cadenza.sources import views as v
 
@@ -63,7 +64,9 @@ def popularity(s: SparkSession, d: str) -> DataFrame:
 
 
 def popularity_summary(s: SparkSession, d: str) -> DataFrame:
-    return popularity(s, d).agg(F.max("track_count").alias("most"), F.median("track_count").alias("middle"), F.sum("track_count").alias("total"))
+    counts = popularity(s, d)
+    sums = counts.agg(F.max("track_count").alias("most"), F.sum("track_count").alias("total"))
+    return sums.crossJoin(median(counts, "track_count", [], "middle"))  # one row each
 
 
 def vocab_index(s: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -29,3 +30,17 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     path = new_folder(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`rows` with `name`, their number from 0 in the order of the columns `order` (nulls first), which no two rows have alike.
+
+    Ranges of rows are numbered each for itself and moved by the sizes of the ranges before, of which there is one row each.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_own")).select(*rows.columns, name)

@@ -33,11 +33,14 @@ def hourly_counts(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_once(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
-    """All data that is there now, as a table in memory (of the driver: for results of a bounded size)."""
-    name = f"cadenza_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def whole_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All results of an aggregate over the data that is there now; every batch overwrites the files with all of them."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -71,7 +74,8 @@ def stream_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_hourly_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = run_once(hourly_counts(read_events(spark, sf_dir)), "complete", spark)
+    own = folder(spark)
+    counts = whole_once(hourly_counts(read_events(spark, sf_dir)), f"{own}/out", f"{own}/state")
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
