@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import ratio
@@ -103,16 +103,52 @@ def artist_stats(tracks: DataFrame) -> DataFrame:
     return out.withColumn("as_json", F.to_json(F.struct(F.col("n_albums").alias("albumCount"), F.col("n_tracks").alias("songCount"), F.col("total_sec").alias("size"))))
 
 
-def filled_from_matches(table: DataFrame, by_name: DataFrame, by_title: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns that the table has are taken from the title match, else the file name match, else kept.
+def filled_from_matches(table: DataFrame, matches: DataFrame, on: Column, columns: dict[str, str]) -> DataFrame:
+    """`table` with `columns` (its own name: an expression over `matches`) filled from the one row of `matches` that it meets by `on`.
 
-    by_name: (filename, …), by_title: (title, …), both with one row for each key.
+    Rows without a match stay as they are. `matches` must have one row for each row of `table` at most.
     """
-    present = [c for c in columns if c in table.columns]
-    a = by_name.select("filename", *[F.col(c).alias(f"_a_{c}") for c in present])
-    b = by_title.select("title", *[F.col(c).alias(f"_b_{c}") for c in present])
-    joined = table.join(a, "filename", "left").join(b, "title", "left")
-    return joined.select([F.coalesce(f"_b_{c}", f"_a_{c}", c).alias(c) if c in present else F.col(c) for c in table.columns])
+    found = matches.select("_match", *[F.expr(source).alias(f"_new_{name}") for name, source in columns.items()])
+    met = table.join(found, on, "left")
+    return met.select([F.when(F.col("_match").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
+
+
+def updated_from_matches(spark: SparkSession, name: str, metadata: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The table `name` of the session's catalogue, updated in those of `columns` that the catalogue says it has.
+
+    `metadata` (filename, track_key, …) is met twice, by the table's path and then by its title (as the first match left it); the second
+    overwrites the first. Of several rows with one key the least counts.
+    """
+    has = {c.name for c in spark.catalog.listColumns(name)}
+    present = {c: source for c, source in columns.items() if c in has}
+    table = spark.table(name)
+    for key, own in (("filename", "path"), ("track_key", "title")):
+        if own in has and present:
+            once = metadata.groupBy(key).agg(F.min(F.struct(*[c for c in metadata.columns if c != key])).alias("_m")).select(F.col(key).alias("_match"), "_m.*")
+            table = filled_from_matches(table, once, F.col("_match") == F.col(own), present)
+    return table
+
+
+def track_records(catalog: DataFrame, width: int = 12) -> DataFrame:
+    """(track_id, record): each track as the JSON object of the interface; titles over `width` characters end in an ellipsis."""
+    title = F.when(F.char_length("title") > width, F.concat(F.substring("title", 1, width - 1), F.lit("…"))).otherwise(F.col("title"))
+    playable = F.col("is_playable") & (F.col("availability_status") == "available")
+    record = F.struct(F.col("track_id").cast("string").alias("track_id"), title.alias("title"), "artist", playable.alias("playable"))
+    return catalog.select("track_id", F.to_json(record).alias("record"))
+
+
+def where_given(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """`rows` that have the wanted values; a column whose wanted value is None does not matter."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def first_keys(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows of the `most` smallest keys."""
+    keys = rows.select(key).distinct().orderBy(key).limit(most)
+    return rows.join(keys, key, "left_semi")
 
 
 def activations(events: DataFrame) -> DataFrame:
