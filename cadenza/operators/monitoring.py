@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,10 +107,11 @@ def request_rollup(requests: DataFrame, key: list[str], least: int = 20) -> Data
     )
 
 
-def joint_rollup(requests: DataFrame, plays: DataFrame, feedback: DataFrame, name: str, start: str, end: str, least: int = 20) -> DataFrame:
-    """One row for a window over requests (with artist and track_ids), plays and feedback; no rows in it give zeros."""
-    requests = in_window(requests, start, end).withColumn("window_name", F.lit(name))
-    plays, feedback = in_window(plays, start, end), in_window(feedback, start, end)
+def joint_rollups(requests: DataFrame, plays: DataFrame, feedback: DataFrame, windows: DataFrame, least: int = 20) -> DataFrame:
+    """One row for each of `windows` (window_name, …) over requests (with artist and track_ids), plays and feedback.
+
+    All have the window_name that they fall in. A window without rows has zeros.
+    """
     artists = first_mode(requests.where("artist <> ''"), "artist", ["created_at", "metric_id"], ["window_name"])
     models = first_mode(requests.where("model_version <> ''"), "model_version", ["created_at", "metric_id"], ["window_name"])
     repeats = requests.groupBy("window_name").agg(
@@ -117,22 +119,22 @@ def joint_rollup(requests: DataFrame, plays: DataFrame, feedback: DataFrame, nam
     )
     finalized = F.coalesce(F.col("event_type").isin("skip", "complete"), F.lit(False)) | F.col("playratio").isNotNull()
     complete = (F.col("event_type") == "complete") | (F.col("playratio") >= 0.8)
-    played = plays.agg(
+    played = plays.groupBy("window_name").agg(
         F.count(F.when(finalized, 1)).alias("finalized_playback_count"),
         F.count(F.when(finalized & (F.col("event_type") == "skip"), 1)).alias("_skips"),
         F.count(F.when(finalized & complete, 1)).alias("_completes"),
         F.count(F.when(F.startswith("event_type", F.lit("stream_failure")), 1)).alias("stream_failure_count"),
         F.count(F.lit(1)).alias("_plays"),
     )
-    said = feedback.agg(F.count(F.lit(1)).alias("feedback_count"), F.count(F.when(F.col("feedback_type") == "dislike", 1)).alias("_dislikes"))
-    one = played.crossJoin(said).withColumn("window_name", F.lit(name))  # one row each
-    rows = one.join(request_rollup(requests, ["window_name"], least), "window_name", "left")
-    rows = rows.join(repeats, "window_name", "left")
-    rows = rows.join(models.select("window_name", "model_version"), "window_name", "left")
+    said = feedback.groupBy("window_name").agg(F.count(F.lit(1)).alias("feedback_count"), F.count(F.when(F.col("feedback_type") == "dislike", 1)).alias("_dislikes"))
+    rows = windows
+    for part in (played, said, request_rollup(requests, ["window_name"], least), repeats, models.select("window_name", "model_version")):
+        rows = rows.join(part, "window_name", "left")
     rows = rows.join(artists.select("window_name", F.col("share").alias("top_artist_share")), "window_name", "left")
     counts = ("request_count", "catalog_failure_count", "repeat_violation_count")
     rates = ("error_rate", "fallback_rate", "avg_returned_count", "p50_latency_ms", "p95_latency_ms", "top_artist_share")
-    rows = rows.fillna(0, list(counts)).fillna(0.0, list(rates)).fillna("insufficient", ["sample_status"])
+    others = ("finalized_playback_count", "_skips", "_completes", "stream_failure_count", "_plays", "feedback_count", "_dislikes")
+    rows = rows.fillna(0, [*counts, *others]).fillna(0.0, list(rates)).fillna("insufficient", ["sample_status"])
     shares = {
         "completion_rate": ratio(F.col("_completes"), F.col("finalized_playback_count")),
         "skip_rate": ratio(F.col("_skips"), F.col("finalized_playback_count")),
@@ -140,7 +142,41 @@ def joint_rollup(requests: DataFrame, plays: DataFrame, feedback: DataFrame, nam
         "stream_failure_rate": ratio(F.col("stream_failure_count"), F.greatest("_plays", F.lit(1))),
     }
     extra = ("model_version", "sample_status", "finalized_playback_count", "feedback_count", "stream_failure_count")
-    return rows.withColumns(shares).select("window_name", *counts, *rates, *extra, *shares)
+    return rows.withColumns(shares).select(*windows.columns, *counts, *rates, *extra, *shares)
+
+
+def joint_rollup(requests: DataFrame, plays: DataFrame, feedback: DataFrame, name: str, start: str, end: str, least: int = 20) -> DataFrame:
+    """One row for a window over requests (with artist and track_ids), plays and feedback; no rows in it give zeros."""
+    named = [in_window(rows, start, end).withColumn("window_name", F.lit(name)) for rows in (requests, plays, feedback)]
+    return joint_rollups(*named, requests.sparkSession.range(1).select(F.lit(name).alias("window_name")), least)
+
+
+def window_length(text: str) -> str:
+    """The interval of a window like 5m, 1h or 1d, for SQL; anything else is an error."""
+    units = {"m": "MINUTES", "h": "HOURS", "d": "DAYS"}
+    amount, unit = text.strip()[:-1], text.strip()[-1:].lower()
+    if unit not in units or not re.fullmatch(r"[+-]?\d+", amount):
+        raise ValueError(f"window {text!r} must be a number and m, h or d")
+    return f"{int(amount)} {units[unit]}"
+
+
+def parsed_time(text: Column) -> Column:
+    """The UTC time of an ISO text with Z, an offset or none (which is UTC); null if it is not one."""
+    plain = F.regexp_replace(text, r"[Zz]\z", "+00:00")
+    zoned = F.when(plain.rlike(r"[+-]\d\d:?\d\d\z"), plain).otherwise(F.concat(plain, F.lit("+00:00")))
+    return F.try_to_timestamp(zoned)
+
+
+def serving_models(rollups: DataFrame, activations: DataFrame, at: str) -> DataFrame:
+    """`rollups` with active_version and previous_version: the model activated last until the time `at`, and the one before it.
+
+    One activation replaces the other, so the two are found among the (few) activations as of each window: each activation
+    holds from its time to the next one's.
+    """
+    span = activations.select("model_version", "parent", "activated_at", "deactivated_at")
+    holds = (F.col("activated_at") <= F.col(at)) & (F.col("deactivated_at").isNull() | (F.col(at) < F.col("deactivated_at")))
+    named = span.select("activated_at", "deactivated_at", F.col("model_version").alias("active_version"), F.col("parent").alias("previous_version"))
+    return rollups.join(named, holds, "left").drop("activated_at", "deactivated_at")
 
 
 def playback_rollup(plays: DataFrame, key: list[str]) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.plans import catalogs, features, files, operations, serving, streams
+from cadenza.plans import catalogs, decisions, features, files, operations, serving, streams
 
-GROUPS = (features, serving, operations, files, streams, catalogs)
+GROUPS = (features, serving, operations, files, streams, catalogs, decisions)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
