@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,12 @@ def positioned(plays: DataFrame) -> DataFrame:
     return plays.where("playratio IS NOT NULL").withColumn("position", F.row_number().over(order) - 1)
 
 
+def event_time() -> Column:
+    """When a play counts: finalized ones (skip, complete or with a ratio) at their last update, if there is one, others at their start."""
+    final = F.coalesce(F.col("event_type").isin("skip", "complete"), F.lit(False)) | F.col("playratio").isNotNull()
+    return F.when(final, F.coalesce("updated_at", "created_at")).otherwise(F.col("created_at"))
+
+
 def delta(plays: DataFrame, last: str, cutoff: str, event_time: str = "created_at") -> DataFrame:
     """Rows of the half-open window (last, cutoff], with positions of the whole history.
 

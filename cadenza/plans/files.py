@@ -71,13 +71,13 @@ def versioned_export(s: SparkSession, d: str) -> DataFrame:
 
 
 def export_listing(s: SparkSession, d: str) -> DataFrame:
-    """Which folder holds the manifest that was written last."""
-    root = f"{e.folder(s)}/bundles"
-    for version in ("2024a", "2024b"):
-        k.write_csv(s.range(0, 1, 1, 1), f"{root}/{version}/data")
-    files = r.listing(s, root, (".csv",)).withColumn("path", F.regexp_replace("path", r"/data/[^/]*\z", "/manifest.json"))
-    newest = r.newest_prefix(files).select(F.element_at(F.split("prefix", "/"), -2).alias("version"))
-    return newest.crossJoin(files.agg(F.count(F.lit(1)).alias("n_files")))  # one row each
+    """The artists' folders of a catalogue that was written by artist, from the names of its files, with the tracks in each."""
+    root = f"{e.folder(s)}/catalog"
+    v.catalog(s, d).select("artist", "track_id", "title").repartition("artist").write.partitionBy("artist").option("header", True).csv(root)
+    folder = F.element_at(F.split("path", "/"), -2)
+    names = r.listing(s, root, (".csv",)).select(F.url_decode(F.regexp_replace(folder, "^artist=", "")).alias("artist")).distinct()
+    rows = s.read.schema("track_id bigint, title string, artist string").option("header", True).csv(root)
+    return names.join(rows.groupBy("artist").agg(F.count(F.lit(1)).alias("n_tracks")), "artist", "left")
 
 
 def snapshot_and_deltas(s: SparkSession, d: str) -> DataFrame:
@@ -165,11 +165,20 @@ def centroid_or_zero(s: SparkSession, d: str) -> DataFrame:
 
 
 def unseen_tracks(s: SparkSession, d: str) -> DataFrame:
-    """Candidates of a session that were neither played nor recommended lately nor disliked by its user."""
+    """For each session the tracks of its user's sessions that it neither played (50) nor was shown (500) lately and its user does not dislike."""
     plays = v.plays(s, d)
-    candidates = plays.select("session_int_id", "user_int_id", "track_id").distinct()
-    disliked = plays.where("event_type = 'skip'").select("user_int_id", "track_id")
-    return rec.excluding(candidates, [(e.recent_tracks(plays, 5), ["session_int_id"]), (e.recommended_tracks(plays, 5), ["session_int_id"]), (disliked, ["user_int_id"])])
+    of_user = plays.select("user_int_id", "track_id").distinct()
+    candidates = plays.select("session_int_id", "user_int_id").distinct().join(of_user, "user_int_id").select("session_int_id", "user_int_id", "track_id")
+    disliked = plays.where("event_type = 'skip' AND track_id % 2 = 0").select("user_int_id", "track_id")
+    shown = e.recommended_tracks(plays.withColumn("track_id", F.col("track_id") + 1))
+    return rec.excluding(candidates, [(e.recent_tracks(plays), ["session_int_id"]), (shown, ["session_int_id"]), (disliked, ["user_int_id"])])
+
+
+def plays_by_event_time(s: SparkSession, d: str) -> DataFrame:
+    """Plays by the hour at which they count, with those that began in an earlier one."""
+    plays = v.plays(s, d).withColumn("at", x.event_time())
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
+    return plays.groupBy(hour("at").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hour("created_at") < hour("at"), 1)).alias("n_earlier"))
 
 
 ZEROS = f"list_resize([]::DOUBLE[], {DIMENSIONS}, 0.0::DOUBLE)"
@@ -232,25 +241,28 @@ SELECT track_id, title FROM (
   )
 ) WHERE r = 1
 """
-UNSEEN = """
-SELECT DISTINCT session_int_id, user_int_id, track_id FROM plays p
-WHERE NOT EXISTS (SELECT 1 FROM plays x WHERE x.event_type = 'skip' AND x.user_int_id = p.user_int_id AND x.track_id = p.track_id)
-  AND NOT EXISTS (
-    SELECT 1 FROM (
-      SELECT session_int_id, track_id, row_number() OVER (PARTITION BY session_int_id ORDER BY last DESC) AS newest,
-        row_number() OVER (PARTITION BY session_int_id ORDER BY first DESC) AS added
-      FROM (SELECT session_int_id, track_id, max((created_at, event_id)) AS last, min((created_at, event_id)) AS first FROM plays GROUP BY 1, 2)
-    ) y WHERE (newest <= 5 OR added <= 5) AND y.session_int_id = p.session_int_id AND y.track_id = p.track_id
-  )
+UNSEEN = """, candidate AS (
+  SELECT DISTINCT s.session_int_id, s.user_int_id, p.track_id FROM (SELECT DISTINCT session_int_id, user_int_id FROM plays) s JOIN plays p USING (user_int_id)
+), newest AS (
+  SELECT session_int_id, track_id, row_number() OVER (PARTITION BY session_int_id ORDER BY last DESC) AS place
+  FROM (SELECT session_int_id, track_id, max((created_at, event_id)) AS last FROM plays GROUP BY 1, 2)
+)
+SELECT session_int_id, user_int_id, track_id FROM candidate c
+WHERE NOT EXISTS (SELECT 1 FROM plays x WHERE x.event_type = 'skip' AND x.track_id % 2 = 0 AND x.user_int_id = c.user_int_id AND x.track_id = c.track_id)
+  AND NOT EXISTS (SELECT 1 FROM newest y WHERE y.place <= 50 AND y.session_int_id = c.session_int_id AND y.track_id = c.track_id)
+  AND NOT EXISTS (SELECT 1 FROM newest y WHERE y.place <= 500 AND y.session_int_id = c.session_int_id AND y.track_id + 1 = c.track_id)
 """
 
+EVENT_TIME = """SELECT date_trunc('hour', at_) AS hour, count(*) AS n, count(*) FILTER (date_trunc('hour', created_at) < date_trunc('hour', at_)) AS n_earlier
+FROM (SELECT *, CASE WHEN event_type IN ('skip', 'complete') OR playratio IS NOT NULL THEN coalesce(updated_at, created_at) ELSE created_at END AS at_ FROM plays) GROUP BY 1"""
+
 QUERIES = {
     "popularity_csv": (popularity_csv, sql("pop", "SELECT track_id, track_count FROM pop")),
     "manifest_csv": (manifest_csv, sql("cat", MANIFEST)),
     "tracks_json": (tracks_json, sql("cat", "SELECT artist, track_id, title FROM cat")),
     "track_index_map": (track_index_map, sql("cat", "SELECT track_id::VARCHAR AS key, duration_sec AS value FROM cat")),
     "versioned_export": (versioned_export, sql("plays", EXPORTED)),
-    "export_listing": (export_listing, "SELECT '2024b' AS version, 2 AS n_files"),
+    "export_listing": (export_listing, sql("cat", "SELECT artist, count(*) AS n_tracks FROM cat GROUP BY 1")),
     "snapshot_and_deltas": (snapshot_and_deltas, sql("cat", SNAPSHOT)),
     "manifest_status": (manifest_status, sql("cat", STATUS)),
     "manifest_gaps": (
@@ -305,5 +317,6 @@ QUERIES = {
               WHERE created_at + INTERVAL 14 DAY > TIMESTAMP '1996-06-01' AND NOT pipeline_error""",
         ),
     ),
-    "unseen_tracks": (unseen_tracks, sql("plays", UNSEEN)),
+    "unseen_tracks": (unseen_tracks, sql("plays", "").rstrip() + UNSEEN),
+    "plays_by_event_time": (plays_by_event_time, sql("plays", EVENT_TIME)),
 }

@@ -209,9 +209,9 @@ def rejections(s: SparkSession, d: str) -> DataFrame:
 
 
 def rejection_rate(s: SparkSession, d: str) -> DataFrame:
-    v.plays(s, d).createOrReplaceTempView("cadenza_plays")
-    return s.sql("""SELECT round(rejected / nullif(rejected + accepted, 0), 4) AS rejection_rate FROM (SELECT
-      (SELECT count(*) FROM cadenza_plays WHERE playratio IS NULL) AS rejected, (SELECT count(*) FROM cadenza_plays WHERE playratio IS NOT NULL) AS accepted)""")
+    number = lambda condition: v.plays(s, d).where(condition).agg(F.count(F.lit(1)).alias("n"))
+    counts = number("playratio IS NULL").select(F.col("n").alias("rejected")).crossJoin(number("playratio IS NOT NULL").select(F.col("n").alias("accepted")))  # one row each
+    return counts.select(F.round(F.col("rejected") / F.nullif(F.col("rejected") + F.col("accepted"), F.lit(0)), 4).alias("rejection_rate"))
 
 
 def like_rate(s: SparkSession, d: str) -> DataFrame:
@@ -328,7 +328,7 @@ QUERIES = {
     "recent_tracks_50": (lambda s, d: e.recent_tracks(v.plays(s, d)), sql("plays", """SELECT session_int_id, track_id, place::INTEGER AS place FROM (SELECT session_int_id, track_id, row_number() OVER (PARTITION BY session_int_id ORDER BY last_at DESC, id DESC) AS place
       FROM (SELECT session_int_id, track_id, max(created_at) AS last_at, max_by(event_id, (created_at, event_id)) AS id FROM plays GROUP BY 1, 2)) WHERE place <= 50""")),
     "recommended_500": (lambda s, d: e.recommended_tracks(v.plays(s, d)), sql("plays", """SELECT session_int_id, track_id, place::INTEGER AS place FROM (SELECT session_int_id, track_id, row_number() OVER (PARTITION BY session_int_id ORDER BY last_at DESC, id DESC) AS place
-      FROM (SELECT session_int_id, track_id, min(created_at) AS last_at, min_by(event_id, (created_at, event_id)) AS id FROM plays GROUP BY 1, 2)) WHERE place <= 500""")),
+      FROM (SELECT session_int_id, track_id, max(created_at) AS last_at, max_by(event_id, (created_at, event_id)) AS id FROM plays GROUP BY 1, 2)) WHERE place <= 500""")),
     "event_lifecycle": (lambda s, d: e.lifecycle(e.lifecycle_events(v.plays(s, d))), sql("plays", "SELECT event_id, created_at, updated_at, playratio, event_type FROM plays WHERE event_type <> 'playback_start'")),
     "stream_dedup": (e.stream_dedup_query, """SELECT (props->>'$.k')::BIGINT AS track_id, user_id, event_type FROM events GROUP BY ALL"""),
     "stream_hourly": (e.stream_hourly_query, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"),

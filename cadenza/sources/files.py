@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,13 +68,22 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """(path, stem, modified) of the files under a folder that end in one of the suffixes, in any case.
+    """(path, stem, modified) of the files under a folder that end in one of the suffixes, in any case, also of empty ones.
 
-    Their content is not read; files of no bytes are left out.
+    The driver lists the names, as for every table that Spark reads, without reading a file. Names with a component under
+    the folder that begins with _ or . are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.select("path", _stem(F.col("path")).alias("stem"), F.col("modificationTime").alias("modified"))
-    return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)).isin(*suffixes)) if suffixes else files
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    top, found, files = system.makeQualified(root).toString(), [], system.listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().toString()
+        if not re.search(r"/[_.]", name[len(top) :]):
+            found.append((name, status.getModificationTime()))
+    rows = spark.createDataFrame(found, "path string, ms bigint")
+    rows = rows.select("path", _stem(F.col("path")).alias("stem"), F.timestamp_millis("ms").alias("modified"))
+    return rows.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)).isin(*suffixes)) if suffixes else rows
 
 
 def json_rows(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:

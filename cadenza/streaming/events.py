@@ -106,5 +106,5 @@ def recent_tracks(plays: DataFrame, most: int = 50) -> DataFrame:
 
 
 def recommended_tracks(plays: DataFrame, most: int = 500) -> DataFrame:
-    """Tracks of a session, last added first; one that is there already keeps its place."""
-    return _newest(plays.groupBy("session_int_id", "track_id").agg(F.min(F.struct("created_at", "event_id")).alias("first")), "first", most)
+    """Tracks of a session, last recommended first, each once: a track that is recommended again moves to the front."""
+    return recent_tracks(plays, most)
