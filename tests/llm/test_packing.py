@@ -61,3 +61,36 @@ def test_lossless_round_trip(spark):
             assert sorted(x for _, ids in got for x in ids) == sorted(x for ids in lists for x in ids)
     assert len({(r.pack, r.row) for r in out}) == len(out)
     assert packing.pack(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_rows_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    docs = [(k, " ".join(rng.choice(["alpha", "x", "б"]) for _ in range(rng.randrange(120)))) for k in range(120)] + [(7, "again"), (7, "again"), (None, "no id")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    results = []
+    for parts in (1, 3, 8):
+        out = packing.pack(df.repartition(parts), RANKS, public_tokenizers.PATTERN, capacity=64, group_tokens=700).collect()
+        results.append(sorted(tuple(map(str, r)) for r in out))
+    assert results[0] == results[1] == results[2]
+    assert len({r[0] for r in results[0]}) > 2
+
+
+def test_shards_are_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "word " * (5 * k % 90)) for k in range(90)], "doc_id long, text string")
+    packed = packing.pack(docs, RANKS, public_tokenizers.PATTERN, capacity=32, group_tokens=500, pad_id=9)
+    packing.write_shards(packed, str(tmp_path))
+    want = {}
+    for r in packed.orderBy("pack", "row").collect():
+        want.setdefault(r.pack, []).append(r)
+    index = spark.read.parquet(f"{tmp_path}/index").orderBy("pack").collect()
+    assert [r.pack for r in index] == sorted(want) and len(index) > 1
+    total = 0
+    for entry in index:
+        rows = want[entry.pack]
+        shard = packing.read_shard(spark, str(tmp_path), entry.pack, 32)
+        assert shard["input_ids"].shape == shard["position_ids"].shape == (entry.n_rows, 32) == (len(rows), 32)
+        for k, r in enumerate(rows):
+            assert shard["input_ids"][k].tobytes() == r.input_ids and shard["position_ids"][k].tobytes() == r.position_ids
+            assert shard["cu_seqlens"][k] == r.cu_seqlens and shard["doc_ids"][k] == r.doc_ids and shard["starts"][k] == r.starts
+        assert (entry.tokens_before, entry.n_tokens) == (total, sum(r.n_tokens for r in rows))
+        total += entry.n_tokens
