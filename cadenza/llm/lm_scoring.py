@@ -1,27 +1,27 @@
 """Cross-entropy difference of two matched bigram models.
 
-Both models are of the same order and smoothing over one vocabulary: the start and every word of all documents. The
-target model counts the documents marked as targets, the background model all documents. The score of a document is its
-loss per word under the target model minus that under the background model (nats; low: like the target).
+Both models are of the same order and smoothing over one vocabulary: the start and every word of all documents. The target
+model counts the documents marked as targets. The background model counts a sample of the others of about the same number of
+documents: those whose id's hash is below the share that makes it so (all others if they are fewer). The score of a document is its loss
+per word under the target model minus that under the background model (nats; low: like the target). A document that is in a
+model is scored without its own counts there, so no score rests on words that the model has from the document itself.
 
 Smoothing: p(w|u) = (c(u,w) + k p(w)) / (c(u) + k) with p(w) = (c(w) + 1) / (n + size).
 
 Neither words nor pairs are bounded in number, and no model is built in one place. Texts are turned into chunks of about
 `CHUNK_TOKENS` words, kept in the shared folder; only ids are joined with the targets. Every chunk sends each of its
 distinct words and pairs once, with their counts, to the parts that the keys' hashes say; a part sums the counts over all
-chunks and sends the sums back in the same order. So a frequent key adds at most one entry a chunk to a part, and the
-number of parts grows with the input. Words and pairs are told apart by 64-bit hashes.
-
-With `frequent`, only so many words are told apart and all others share `classes` hash classes.
+chunks and sends the sums back in the same order. So a frequent key adds at most one entry a chunk to a part, the number of
+parts grows with the input, and a chunk sends no more rows than it has keys. Words and pairs are told apart by 64-bit hashes.
 
 Defined cases: a document without words (null, empty) has n_tokens 0 and null losses; repeated rows count and are scored
-as often as they occur; a document is a target if any of its label rows says so, and one with a null id never is; with no
-targets the target model is uniform. Other columns do not pass. Empty table: empty result.
+as often as they occur, each without its own counts; a document is a target if any of its label rows says so, and one with a
+null id is in neither model; with no targets both models are uniform. Other columns do not pass. Empty table: empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +37,6 @@ CHUNK_TOKENS, CHUNK_ROWS = 1 << 20, 1 << 17
 PART_BYTES = 8 << 20
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, data, bounds in chunks(batch.column(0)):
-            words, counts = np.unique(Words(data, bounds).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(counts)], names=["word", "n"])
-
-
-def vocabulary(docs: DataFrame, text: str, frequent: int) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, sorted; at most `frequent`."""
-    counts = docs.select(text).mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word").collect()
-    return np.sort(np.array([r.word for r in top], np.int64).view(U64))
-
-
-def number_words(hashes: np.ndarray, vocabulary: np.ndarray, classes: int) -> np.ndarray:
-    """1 and up: place in the vocabulary; beyond it the hash class."""
-    size = len(vocabulary)
-    rare = 1 + size + (mix(hashes, 9) % U64(classes)).astype(np.int64)
-    if not size:
-        return rare
-    at = np.minimum(np.searchsorted(vocabulary, hashes), size - 1)
-    return np.where(vocabulary[at] == hashes, 1 + at, rare)
-
-
 def pack(x: np.ndarray) -> bytes:
     """The numbers of `x`, byte plane by byte plane, compressed."""
     raw = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
@@ -94,19 +70,19 @@ class Chunk:
         self.keys = mix(words, 11), mix(hashes[self.before] + words[self.after], 5)
         self.orders = [np.argsort(keys) for keys in self.keys]
 
-    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of words: all, in targets, last of all, last in targets; of pairs: all, in targets. One row each."""
-        n, chosen = len(self.keys[0]), np.repeat(target, self.lengths)
-        last = self.number[self.last]
-        of_word = [self.number, self.number[chosen], last, last[target[self.lengths > 0]]]
-        of_pair = [self.pair_counts, np.bincount(self.pair[chosen], minlength=len(self.pair_counts))]
+    def counts(self, models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each model (whether it has each document): of words all and those at the end; of pairs. A row for each."""
+        n, last = len(self.keys[0]), self.number[self.last]
+        tokens = [np.repeat(m, self.lengths) for m in models]
+        of_word = [self.number[t] for t in tokens] + [last[m[self.lengths > 0]] for m in models]
+        of_pair = [np.bincount(self.pair[t], minlength=len(self.pair_counts)) for t in tokens]
         return np.stack([np.bincount(x, minlength=n) for x in of_word]).astype(np.int32), np.stack(of_pair).astype(np.int32)
 
 
 WIDTHS = {"word": 4, "pair": 2}
 
 
-def _chunked(number: Callable[[np.ndarray], np.ndarray]):
+def _chunked():
     """Rows (id, text) to chunks."""
 
     def chunk(serial: int, ids: list[pa.Array], lengths: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
@@ -126,7 +102,7 @@ def _chunked(number: Callable[[np.ndarray], np.ndarray]):
         for batch in batches:
             for row, until, data, bounds in chunks(batch.column(1)):
                 w = Words(data, bounds)
-                held.append((batch.column(0).slice(row, until - row), w.counts, number(w.hash)))
+                held.append((batch.column(0).slice(row, until - row), w.counts, w.hash))
                 n_tokens, n_rows = n_tokens + len(w.hash), n_rows + until - row
                 if n_tokens >= CHUNK_TOKENS or n_rows >= CHUNK_ROWS:
                     yield flush()
@@ -141,13 +117,10 @@ def _asked(n_parts: int):
     """The distinct words and pairs of a chunk with their counts, by part: a range of keys."""
     edges = np.array([-(-(p << 64) // n_parts) for p in range(1, n_parts)], U64)
 
-    def run(held: pa.Table, marked: pa.Table) -> pa.Table:
+    def run(held: pa.Table) -> pa.Table:
         c = Chunk(held)
-        target = np.zeros(len(c.lengths), bool)
-        for rows in marked.column("rows").to_pylist():
-            target[rows] = True
         columns, some = [], np.zeros(n_parts, bool)
-        for keys, order, counts in zip(c.keys, c.orders, c.counts(target), strict=True):
+        for keys, order, counts in zip(c.keys, c.orders, c.counts(_models(held, len(c.lengths))), strict=True):
             keys, counts = keys[order], counts[:, order]
             bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
@@ -181,43 +154,61 @@ def _answered(asked: pa.Table) -> pa.Table:
     return pa.table([asked.column("chunk"), asked.column("part"), *columns, told], names=["chunk", "part", "word_sums", "pair_sums", "told"])
 
 
-def _losses(c: Chunk, words: np.ndarray, last: np.ndarray, pairs: np.ndarray, n: int, starts: int, size: int, k: float) -> np.ndarray:
-    """-log p(w|u) of the distinct pairs of a chunk."""
-    left = np.concatenate([[starts], words - last])
-    p = (words + 1) / (n + size)
-    return -np.log((pairs + k * p[c.after]) / (left[c.before] + k))
+def _models(held: pa.Table, n: int) -> list[np.ndarray]:
+    """Whether each document of a chunk is in the background model and in the target model."""
+    out = []
+    for name in ("background", "target"):
+        member = np.zeros(n, bool)
+        member[np.array(held.column(name)[0].as_py() or [], np.int64)] = True
+        out.append(member)
+    return out
+
+
+def _own(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For every row how many rows have its owner and key."""
+    base = int(key.max(initial=0)) + 1
+    _, at, counts = np.unique(owner * base + key, return_inverse=True, return_counts=True)
+    return counts[at]
+
+
+def _losses(c: Chunk, member: np.ndarray, words: np.ndarray, last: np.ndarray, pairs: np.ndarray, n: int, starts: int, size: int, k: float) -> np.ndarray:
+    """The sum of -log p(w|u) over the words of every document of a chunk; members are scored without their own counts."""
+    owner = np.repeat(np.arange(len(c.lengths)), c.lengths)
+    inside = member[owner].astype(np.int64)
+    before, after = c.before[c.pair], c.after[c.pair]
+    left = np.concatenate([[starts], words - last])[before]
+    own_pairs, own_words, own_left = _own(owner, c.pair), _own(owner, c.number), _own(owner, before)
+    p = (words[after] - inside * own_words + 1) / (n - inside * c.lengths[owner] + size)
+    seen = pairs[c.pair] - inside * own_pairs
+    return np.bincount(owner, -np.log((seen + k * p) / (left - inside * own_left + k)), len(c.lengths))
+
+
+#: Steps of the hash that chooses the background.
+STEPS = 1 << 30
 
 
-def score(
-    docs: DataFrame,
-    targets: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    frequent: int | None = None,
-    classes: int = 512,
-    k: float = 50.0,
-) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", k: float = 50.0) -> DataFrame:
     """(doc_id, n_tokens, ce_target, ce_background, score). `targets`: a column `doc_id`, any number of rows for one."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[doc_id]
-    size, number = None, lambda hashes: hashes
-    if frequent is not None:
-        words = vocabulary(docs, text, frequent)
-        size, number = 1 + len(words) + classes, lambda hashes: number_words(hashes, words, classes).astype(U64)
     schema = f"chunk bigint, ids array<{kind}>, lengths binary, words binary, numbers binary"
-    held = materialize(docs.select(doc_id, text).mapInArrow(_chunked(number), schema), "chunks")
-    marks = targets.select(F.col(doc_id).alias("_id")).distinct()
-    marked = held.select("chunk", F.posexplode("ids").alias("row", "_id")).where("_id IS NOT NULL")
+    held = materialize(docs.select(doc_id, text).mapInArrow(_chunked(), schema), "chunks")
+    marks = targets.select(F.col(doc_id).alias("_id")).distinct().withColumn("_target", F.lit(True))
+    rows = held.select("chunk", F.posexplode("ids").alias("row", "_id")).where("_id IS NOT NULL")
     # one plan at every size: few labels would be broadcast, many shuffled
-    marked = marked.join(marks.hint("merge"), "_id").groupBy(F.col("chunk").alias("_of")).agg(F.collect_list("row").alias("rows"))
-    sent = held.select("chunk", "lengths", "words", "numbers")
+    rows = materialize(rows.join(marks.hint("merge"), "_id", "left").withColumn("_target", F.col("_target").isNotNull()), "members")
+    n_targets, n_others = rows.agg(F.count(F.when(F.col("_target"), 1)), F.count(F.when(~F.col("_target"), 1))).first()
+    share = int(STEPS * min(1.0, n_targets / max(1, n_others)))
+    background = ~F.col("_target") & (F.pmod(F.xxhash64("_id"), F.lit(STEPS)) < share)
+    rows = rows.groupBy(F.col("chunk").alias("_of")).agg(F.collect_list(F.when(background, F.col("row"))).alias("background"), F.collect_list(F.when(F.col("_target"), F.col("row"))).alias("target"))
+    held = held.join(rows.hint("merge"), held["chunk"] == rows["_of"], "left").drop("_of")
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_parts = max(n_partitions(spark), -(-n_bytes // PART_BYTES))
     asked = "chunk bigint, part int, words binary, word_counts binary, pairs binary, pair_counts binary"
-    asked = sent.groupBy("chunk").cogroup(marked.groupBy("_of")).applyInArrow(_asked(n_parts), asked)
+    asked = held.drop("ids").groupBy("chunk").applyInArrow(_asked(n_parts), asked)
     answers = "chunk bigint, part int, word_sums binary, pair_sums binary, told array<bigint>"
     answers = materialize(asked.groupBy("part").applyInArrow(_answered, answers), "counts")
     told = answers.where("told IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("told")[i]), F.lit(0)) for i in range(5))).first()
-    size = size or 1 + told[0]
+    size = 1 + told[0]
 
     def run(held: pa.Table, answers: pa.Table) -> pa.Table:
         c, answers = Chunk(held), answers.sort_by("part")
@@ -227,11 +218,10 @@ def score(
             back = [unpack(x, np.int64).reshape(width, -1) for x in answers.column(f"{name}_sums").to_pylist()]
             own[:, order] = np.concatenate([np.zeros((width, 0), np.int64), *back], axis=1)
             sums += list(own)
-        owner = np.repeat(np.arange(len(c.lengths)), c.lengths)
-        ce = []
+        members, ce = _models(held, len(c.lengths)), []
         for at in (1, 0):  # of `sums` and `told`: target, background
-            losses = _losses(c, sums[at], sums[2 + at], sums[4 + at], told[1 + at], told[3 + at], size, k)
-            ce.append(np.bincount(owner, losses[c.pair], len(c.lengths)) / np.maximum(c.lengths, 1))
+            losses = _losses(c, members[at], sums[at], sums[2 + at], sums[4 + at], told[1 + at], told[3 + at], size, k)
+            ce.append(losses / np.maximum(c.lengths, 1))
         none = c.lengths == 0
         ids = held.column("ids").combine_chunks().flatten()
         values = [pa.array(v, pa.float64(), mask=none) for v in (ce[0], ce[1], ce[0] - ce[1])]

@@ -1,39 +1,14 @@
-import math
 import random
-from collections import Counter
 
 from cadenza.llm import lm_scoring
+from tests.llm.test_lm_scoring import compare
 
 
 def test_every_word_and_pair_has_its_own_counts(spark, monkeypatch):
-    """More words than any table of frequent words and classes held; brute force over the words themselves."""
-    monkeypatch.setattr(lm_scoring, "PART_BYTES", 1 << 12, raising=False)
+    """Thousands of words over many parts; brute force over the words themselves."""
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 1 << 12)
     rng = random.Random(3)
     docs = [(k, " ".join(["the", *(f"w{int(rng.paretovariate(0.3)) % 9000}" for _ in range(80)), "the of"])) for k in range(300)]
     docs += [(400, None), (401, " "), (402, "the"), (3, "w1 second row"), (None, "the of")]
-    marked = set(range(0, 300, 3))
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
-    targets = spark.createDataFrame([(i,) for i in marked], "doc_id long")
-    split = [(i, (t or "").split()) for i, t in docs]
-    size = 1 + len({w for _, words in split for w in words})
-    assert size > 2048
-
-    def model(rows):
-        word = Counter(w for words in rows for w in words)
-        pair = Counter(p for words in rows for p in zip([None, *words], words))
-        left = Counter()
-        for (u, _), n in pair.items():
-            left[u] += n
-        n = sum(word.values())
-        return lambda u, v: -math.log((pair[u, v] + 50 * (word[v] + 1) / (n + size)) / (left[u] + 50))
-
-    models = model([w for i, w in split if i in marked]), model([w for _, w in split])
-    expected = []
-    for i, words in split:
-        ce = [sum(m(u, v) for u, v in zip([None, *words], words)) / len(words) if words else None for m in models]
-        expected.append((str(i), len(words), *ce, ce[0] - ce[1] if words else None))
-    got = [(str(r.doc_id), r.n_tokens, r.ce_target, r.ce_background, r.score) for r in lm_scoring.score(df, targets).collect()]
-    assert len(got) == len(expected)
-    for a, b in zip(sorted(got, key=lambda r: r[:2]), sorted(expected, key=lambda r: r[:2]), strict=True):
-        assert a[:2] == b[:2]
-        assert all((x is None and y is None) or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:], strict=True))
+    assert len({w for _, t in docs for w in (t or "").split()}) > 2048
+    compare(spark, docs, set(range(0, 300, 3)), 50.0, parts=7)
