@@ -4,7 +4,8 @@ A text is a vector of hashed byte trigrams (words lower-cased for A-Z, other cha
 word between two spaces), weighted by TF-IDF and scaled to length 1; the document frequencies are those of all learnable
 texts, summed by trigram bucket. For every language the vectors of a bounded sample of labelled texts are clustered into
 `clusters` spherical centroids; a text gets the language of the centroid of greatest cosine, and is marked as rejected
-where that cosine is below the smallest one that the sample's own texts have, up to a quantile.
+where that cosine is below the smallest one that the sample's own texts have, up to a quantile. Of equally near centroids the
+first counts, by language and then by number.
 
 The sample: of every language `per_language` different whole texts, fewer with many languages (`most_rows` in all) but
 `LEAST` at least, or all that it has; those of least hash of language and text, so it does not depend on partitions or
