@@ -25,15 +25,12 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.byte_bpe import PIECE
 from cadenza.llm.tokens import chunks, released
 
 CAPACITY = 2048
 GROUP_TOKENS = 4 << 20
 #: Bytes of text for one token, about; only the number of groups follows from it.
 BYTES_OF_TOKEN = 3
-#: Pieces of text whose ids a task remembers.
-REMEMBERED = 400_000
 
 
 class Rooms:
@@ -118,25 +115,15 @@ def _packed(group: int, docs: list[pa.Array], starts: list[int], pieces: list[by
 
 
 class Tokens:
-    """Ids of texts; the ids of a piece between white space are worked out once and remembered for a while."""
+    """Ids of texts by a public vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
 
     def of(self, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each)."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, encode, out, ends = self.known, self.encoding.encode_ordinary, [], [0]
-        for t in range(len(bounds) - 1):
-            for piece in PIECE.findall(raw[bounds[t] : bounds[t + 1]].decode()):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = encode(piece)
-                out += ids
-            ends.append(len(out))
-        return np.array(out, np.int64), np.array(ends)
+        ids = [np.array(self.encoding.encode_ordinary(raw[a:b].decode()), np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return np.concatenate(ids), np.cumsum([0, *map(len, ids)])
 
 
 def pack(
@@ -188,7 +175,7 @@ def pack(
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     groups = max(1, -(-size // (BYTES_OF_TOKEN * group_tokens)))
     found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).mapInArrow(released(pieces), f"doc {kind}, start int, n int, ids binary")
-    found = found.withColumn("group", F.pmod(F.xxhash64("doc", "start", F.sha2("ids", 256)), F.lit(groups)).cast("int"))
+    found = found.withColumn("group", F.pmod(F.xxhash64("doc", "start", "ids"), F.lit(groups)).cast("int"))
     found = found.repartitionById(groups, F.col("group")).sortWithinPartitions("group", F.desc("n"), "doc", "start", "ids")
     schema = f"pack string, row int, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<{kind}>, starts array<int>"
     return found.select("group", "doc", "start", "ids").mapInArrow(released(packed), schema)
