@@ -81,6 +81,26 @@ def watermark(rows: DataFrame, last: int) -> DataFrame:
     return rows.agg(F.coalesce(F.max("session_id"), F.lit(last).cast("bigint")).alias("session_int_id_watermark"))
 
 
+def daily_checkpoints(plays: DataFrame) -> DataFrame:
+    """(version, status, session_tracks_rows, session_int_id_watermark, exported_at): what an export at the end of every day records.
+
+    A day's export has its finalized plays; days without any record an export without rows as skipped. The watermark
+    never falls.
+    """
+    day = F.date_trunc("day", "created_at").cast("timestamp_ntz")
+    rows = plays.groupBy(day.alias("day")).agg(
+        F.count(F.when(F.col("playratio").isNotNull(), 1)).alias("session_tracks_rows"), F.max(F.when(F.col("playratio").isNotNull(), F.col("session_int_id"))).alias("_top")
+    )
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each day
+    return rows.select(
+        F.date_format("day", "yyyyMMdd").alias("version"),
+        F.when(F.col("session_tracks_rows") > 0, "success").otherwise("skipped").alias("status"),
+        "session_tracks_rows",
+        F.max("_top").over(upto).alias("session_int_id_watermark"),
+        (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("exported_at"),
+    )
+
+
 def retrain_trigger(rows: DataFrame, threshold: int = 1000) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("triggered", F.col("n_rows") >= threshold)
 

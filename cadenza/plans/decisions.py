@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import export as x
 from cadenza.operators import monitoring as m
 from cadenza.operators import tables as t
 from cadenza.plans.oracle_views import sql
@@ -64,6 +65,30 @@ def last_rollbacks(s: SparkSession, d: str) -> DataFrame:
     return m.latest(_decisions(s, d).where("decision <> 'no_action'"), "window_end", 5)
 
 
+def _checkpoints(s: SparkSession, d: str) -> DataFrame:
+    return stored(x.daily_checkpoints(v.plays(s, d)), "checkpoints")
+
+
+def export_checkpoints(s: SparkSession, d: str) -> DataFrame:
+    return _checkpoints(s, d)
+
+
+def last_exports(s: SparkSession, d: str) -> DataFrame:
+    """The ten exports recorded last."""
+    return m.latest(_checkpoints(s, d).select("version", "status", "session_tracks_rows", "exported_at"), "exported_at", 10)
+
+
+def ended_exports(s: SparkSession, d: str) -> DataFrame:
+    return _checkpoints(s, d).agg(F.count(F.when(F.col("status") == "success", 1)).alias("n_exports"), F.max("session_int_id_watermark").alias("watermark"))
+
+
+def serving_model(s: SparkSession, d: str) -> DataFrame:
+    """The model that is active now, and whether the last decision marks it as degraded, as 0 or 1."""
+    active = _activations(s, d).where("status = 'active'").select(F.col("model_version").alias("active_version"), "activated_at")
+    last = m.latest(_decisions(s, d).select("window_end", "decision"), "window_end")
+    return active.crossJoin(last.select((F.col("decision") == "mark_degraded").cast("int").alias("degraded")))  # one row each
+
+
 ROLLED = """, req AS (
   SELECT *, strftime(created_at, '%Y-%m') AS window_name, CASE WHEN metric_id % 4 > 0 THEN 'artist ' || (metric_id % 7) END AS artist, metric_id % 97 = 0 AS repeated FROM rm
 ), play AS (
@@ -112,6 +137,14 @@ DECIDED = ROLLED + f""", act AS (
 )"""
 
 
+CHECKPOINTS = """, days AS (
+  SELECT date_trunc('day', created_at)::TIMESTAMP AS day, count(playratio) AS n, max(session_int_id) FILTER (playratio IS NOT NULL) AS top FROM plays GROUP BY 1
+), checkpoint AS (
+  SELECT strftime(day, '%Y%m%d') AS version, CASE WHEN n > 0 THEN 'success' ELSE 'skipped' END AS status, n AS session_tracks_rows,
+    max(top) OVER (ORDER BY day) AS session_int_id_watermark, day + INTERVAL 1 DAY AS exported_at FROM days
+)"""
+
+
 def _sql(chain: str, body: str) -> str:
     return sql("rm plays", "").rstrip() + chain + "\n" + body
 
@@ -124,5 +157,16 @@ QUERIES = {
         last_rollups,
         _sql(ROLLED, "SELECT window_name, window_end, request_count, fallback_rate, error_rate, sample_status FROM rolled ORDER BY window_end DESC LIMIT 5"),
     ),
+    "export_checkpoints": (export_checkpoints, _sql(CHECKPOINTS, "SELECT * FROM checkpoint")),
+    "last_exports": (last_exports, _sql(CHECKPOINTS, "SELECT version, status, session_tracks_rows, exported_at FROM checkpoint ORDER BY exported_at DESC LIMIT 10")),
+    "ended_exports": (ended_exports, _sql(CHECKPOINTS, "SELECT count(*) FILTER (status = 'success') AS n_exports, max(session_int_id_watermark) AS watermark FROM checkpoint")),
+    "serving_model": (
+        serving_model,
+        _sql(
+            DECIDED,
+            """SELECT model_version AS active_version, activated_at, (SELECT (decision = 'mark_degraded')::INT FROM decided ORDER BY window_end DESC LIMIT 1) AS degraded
+              FROM span WHERE deactivated_at IS NULL""",
+        ),
+    ),
     "last_rollbacks": (last_rollbacks, _sql(DECIDED, "SELECT * FROM decided WHERE decision <> 'no_action' ORDER BY window_end DESC LIMIT 5")),
 }

@@ -86,10 +86,14 @@ def artist_diversity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _queue(s: SparkSession, d: str) -> DataFrame:
+    """Without what the session played or was shown and what its user dislikes, as long as there are other tracks."""
     ranked = stored(r.apply_policy(_ranked(s, d), _recent(s, d), ["session_id"]).select("session_id", "track_id", "place"), "ranked")
     played = _recent(s, d).select("session_id", "track_id")
     shown = ranked.where("place % 3 = 0").select("session_id", "track_id")
-    return r.composed_queue(ranked, v.catalog(s, d).where(v.playable()), played.unionByName(shown))
+    tracks = v.session_tracks(s, d)
+    disliked = tracks.where("label = 'skip' AND track_id % 5 = 0").select("user_id", "track_id").distinct()
+    disliked = tracks.select("session_id", "user_id").distinct().join(disliked, "user_id").select("session_id", "track_id")
+    return r.composed_queue(ranked, v.catalog(s, d).where(v.playable()), played.unionByName(shown).unionByName(disliked))
 
 
 def queue_compose(s: SparkSession, d: str) -> DataFrame:
@@ -111,6 +115,7 @@ def playable_catalog(s: SparkSession, d: str) -> DataFrame:
 
 QUEUE = """, gone AS (
     SELECT session_id, track_id FROM excluded UNION SELECT session_id, track_id FROM queue WHERE place % 3 = 0
+    UNION SELECT s.session_id, x.track_id FROM (SELECT DISTINCT session_id, user_id FROM st) s JOIN (SELECT user_id, track_id FROM st WHERE label = 'skip' AND track_id % 5 = 0) x USING (user_id)
   ), taken AS (
     SELECT session_id, track_id FROM gone UNION SELECT session_id, track_id FROM queue
   ), ring AS (
@@ -157,8 +162,8 @@ QUERIES = {
       + CASE track_id WHEN 6 THEN 0.4 WHEN 10 THEN -0.2 ELSE 0 END AS ranker_score FROM ({SOURCES}) WHERE sources <> ''""")),
     "policy_penalty": (policy_penalty, sql("penal", "SELECT session_id, track_id, round(policy_score, 6) AS policy_score FROM penal WHERE NOT spared")),
     "artist_diversity": (artist_diversity, sql("queue", "SELECT session_id, track_id, round(policy_score, 6) AS policy_score, place::INTEGER AS place FROM queue")),
-    "queue_compose": (queue_compose, sql("queue excluded playable", "").rstrip() + QUEUE + "SELECT session_id, track_id, tier::INTEGER AS tier, place::INTEGER AS place FROM composed"),
-    "queue_rotate": (queue_rotate, sql("queue excluded playable", "").rstrip() + QUEUE + """SELECT session_id, track_id, ((place - 1 - off + n) % n + 1)::INTEGER AS place FROM (
+    "queue_compose": (queue_compose, sql("queue excluded playable st", "").rstrip() + QUEUE + "SELECT session_id, track_id, tier::INTEGER AS tier, place::INTEGER AS place FROM composed"),
+    "queue_rotate": (queue_rotate, sql("queue excluded playable st", "").rstrip() + QUEUE + """SELECT session_id, track_id, ((place - 1 - off + n) % n + 1)::INTEGER AS place FROM (
       SELECT *, CASE WHEN (session_id % 5) % n = 0 AND n > 1 THEN 1 ELSE (session_id % 5) % n END AS off FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM composed))"""),
     "safe_catalog_fallback": (safe_catalog_fallback, sql("playable pop", """SELECT track_id, artist, title, place::INTEGER AS place FROM (SELECT p.track_id, artist, title, row_number() OVER (ORDER BY track_count DESC NULLS LAST, CASE WHEN track_count IS NULL THEN lower(artist) END, CASE WHEN track_count IS NULL THEN lower(title) END, p.track_id) AS place
       FROM playable p LEFT JOIN pop r USING (track_id)) WHERE place <= 18""")),
