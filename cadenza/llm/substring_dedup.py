@@ -1,13 +1,16 @@
 """Removal of word windows that an earlier document holds: seed and extend.
 
-Seeds. Of every `window` consecutive words one anchor is chosen, the shingle of `anchor` words with the least hash
-(winnowing), so equal windows have equal anchors. A document has a seed where its anchor also occurs in another
-document. Within a chunk of texts, equal anchors are reduced to one row before the shuffle, and anchors known to be
-shared are spread by document, so no anchor's rows grow with the documents that hold it.
-
-Extension. Around every seed the windows that chose the anchor, to its left and right, are keyed by the anchor's 64-bit
-hash and one of all their words (equal hashes are taken for equal words; both build on the words' own hashes); the earliest document of each key is an aggregate with map-side partial results.
-Overlapping matched windows join to maximal repeats, and the words they cover are removed. Documents whose whole text
+Seeds. Of every `window` consecutive words one anchor is chosen, the shingle of `anchor` words with the least hash, the leftmost of
+equal ones (winnowing), so equal windows have equal anchors at the same place. A document has a seed where its anchor also
+occurs in another document. Within a chunk of texts, equal anchors are reduced to one row before the shuffle, and anchors
+known to be shared are spread by document, so no anchor's rows grow with the documents that hold it.
+
+Extension. The earliest document of an anchor gives the words around it, as many to each side as a window can reach, and these
+are joined to all other documents of the anchor. There the seed is extended to the left and to the right, word by word, as
+far as both agree; windows inside are held by an earlier document. Windows that go on where these words differ can be held by
+others that differ alike, or by the earliest document at another place: they are keyed by the anchor's hash and one of all their
+words, and the earliest document of each key is an aggregate with map-side partial results. Words are compared by 64-bit hashes.
+Overlapping windows join to maximal repeats, and the words they cover are removed. Documents whose whole text
 an earlier document has are repeats from end to end and send no windows.
 
 Defined cases: a null text has no words; a document with a null id is neither earlier nor later than another: it
@@ -28,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.scratch import materialize
 from cadenza.llm.tokens import U64, Words, chunks, list_array, mix, released, signed, sliding_min
 
 WINDOW, ANCHOR = 13, 5
@@ -42,6 +46,79 @@ def _windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     return at, chosen[at], whole[at]
 
 
+def _offsets(words: Words, at: np.ndarray, chosen: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """How many words of each window come before its anchor."""
+    shingles, _ = words.windows(anchor, 2)
+    out = np.full(len(at), window - anchor, np.int64)
+    for k in range(window - anchor - 1, -1, -1):
+        out[shingles[at + k] == chosen] = k
+    return out
+
+
+def _around(words: Words, text: np.ndarray, place: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """For every anchor at `place` the hashes of the words to its left, nearest first, and to its right; 0 beyond its text."""
+    reach = window - anchor
+    steps = np.arange(reach)
+    where = np.concatenate([place[:, None] - 1 - steps, place[:, None] + anchor + steps], axis=1)
+    inside = (where >= words.first[:-1][text][:, None]) & (where < words.first[1:][text][:, None])
+    return np.where(inside, words.hash[np.where(inside, where, 0)], U64(0)) if len(place) else np.zeros((0, 2 * reach), U64)
+
+
+def _contexts(window: int, anchor: int):
+    """(anchor, around) of the anchors in `_own`, of which a document is the earliest holder, where they occur first in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("_own").is_valid())
+            own = batch.column("_own")
+            for row, until, data, bounds in chunks(batch.column("_text")):
+                words = Words(data, bounds)
+                at, chosen, _ = _windows(words, window, anchor)
+                text = np.searchsorted(words.first, at, "right") - 1
+                hit = _member(text, chosen, own, row, until)
+                at, chosen, text = at[hit], chosen[hit], text[hit]
+                place = at + _offsets(words, at, chosen, window, anchor)
+                order = np.lexsort((place, chosen, text))
+                new = np.ones(len(order), bool)
+                new[1:] = (text[order][1:] != text[order][:-1]) | (chosen[order][1:] != chosen[order][:-1])
+                first = order[new]
+                around = _around(words, text[first], place[first], window, anchor)
+                columns = [pa.array(signed(chosen[first])), pa.array([x.tobytes() for x in around], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "around"])
+
+    return run
+
+
+def _extended(words: Words, at: np.ndarray, chosen: np.ndarray, text: np.ndarray, entries: pa.ListArray, row: int, until: int, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window with an anchor in `entries`: whether it is found in the words around the anchor there, which are another
+    document's; whether it differs from these, or from those that its own document gave."""
+    part = entries.slice(row, until - row)
+    counts = np.asarray(part.value_lengths().fill_null(0), np.int64)
+    values = part.flatten()
+    reach, salt = window - anchor, lambda t, k: k ^ mix(t.astype(U64), 5)
+    held = differs = np.zeros(len(at), bool)
+    if not len(values) or not len(at):
+        return held, differs
+    keys = salt(np.repeat(np.arange(until - row), counts), values.field(0).to_numpy().view(U64))
+    around = np.frombuffer(b"".join(values.field(1).to_pylist()), U64).reshape(len(values), 2 * reach)
+    order = np.argsort(keys)
+    keys, around, giver = keys[order], around[order], values.field(2).to_numpy(zero_copy_only=False)[order]
+    own = salt(text, chosen)
+    entry = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    known = np.flatnonzero(keys[entry] == own)
+    entry, start = entry[known], at[known]
+    before = _offsets(words, start, chosen[known], window, anchor)
+    place, same, codes = start + before, np.ones(len(known), bool), words.hash
+    for k in range(reach):  # one word further to either side, where the window has it
+        left, right = same & (k < before), same & (k < reach - before)
+        same[left] = codes[place[left] - 1 - k] == around[entry[left], k]
+        right &= same
+        same[right] = codes[place[right] + anchor + k] == around[entry[right], reach + k]
+    held, differs = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    held[known], differs[known] = same & ~giver[entry], ~same
+    return held, differs
+
+
 def _unique_pairs(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((key, text))
     text, key = text[order], key[order]
@@ -88,18 +165,17 @@ def _member(text: np.ndarray, key: np.ndarray, lists: pa.ListArray, row: int, un
 
 
 def _keys(window: int, anchor: int):
-    """(anchor, whole, doc) of the windows around the seeds of each document that is no copy, each once per document."""
+    """(anchor, whole, doc) of the windows that differ from the words given for their anchor, of each document that is no copy, each once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds = batch.column("_seeds")
-            batch = batch.filter(pc.and_(seeds.is_valid(), pc.invert(batch.column("_copy"))))
-            ids, seeds = batch.column("_doc").to_numpy(zero_copy_only=False), batch.column("_seeds")
+            batch = batch.filter(pc.and_(batch.column("_entries").is_valid(), pc.invert(batch.column("_copy"))))
+            ids, entries = batch.column("_doc").to_numpy(zero_copy_only=False), batch.column("_entries")
             for row, until, data, bounds in chunks(batch.column("_text")):
                 words = Words(data, bounds)
                 at, chosen, whole = _windows(words, window, anchor)
                 text = np.searchsorted(words.first, at, "right") - 1
-                hit = _member(text, chosen, seeds, row, until)
+                _, hit = _extended(words, at, chosen, text, entries, row, until, window, anchor)
                 text, chosen, whole = text[hit], chosen[hit], whole[hit]
                 order = np.lexsort((whole, text))
                 text, chosen, whole = text[order], chosen[order], whole[order]
@@ -114,20 +190,21 @@ def _keys(window: int, anchor: int):
 
 
 def _cut(window: int, anchor: int, with_text: bool):
-    """Of (text, seeds, first keys, copy): n_words, n_removed, removed_runs, kept_sha256 and maybe the kept text."""
+    """Of (text, entries, first keys, copy): n_words, n_removed, removed_runs, kept_sha256 and maybe the kept text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            rest = [c for c in names if c not in ("_doc", "_text", "_seeds", "_firsts", "_copy")]
-            seeds, firsts = batch.column(names.index("_seeds")), batch.column(names.index("_firsts"))
+            rest = [c for c in names if c not in ("_doc", "_text", "_entries", "_firsts", "_copy")]
+            entries, firsts = batch.column(names.index("_entries")), batch.column(names.index("_firsts"))
             copies = batch.column(names.index("_copy")).to_numpy(zero_copy_only=False).astype(bool)
             n_words, n_removed, runs, n_runs, digests, kept = [], [], [], [], [], []
             for row, until, data, bounds in chunks(batch.column(names.index("_text"))):
                 words = Words(data, bounds)
                 at, chosen, whole = _windows(words, window, anchor)
                 text = np.searchsorted(words.first, at, "right") - 1
-                gone = _member(text, chosen, seeds, row, until) & ~_member(text, whole ^ mix(chosen, 3), firsts, row, until)
+                held, differs = _extended(words, at, chosen, text, entries, row, until, window, anchor)
+                gone = held | (differs & ~_member(text, whole ^ mix(chosen, 3), firsts, row, until))
                 gone |= copies[row:until][text]
                 edge = np.zeros(len(words.hash) + 1, np.int32)
                 np.add.at(edge, at[gone], 1)
@@ -181,23 +258,30 @@ def remove_repeats(
     other = lambda c: F.coalesce(c != F.col("doc"), F.lit(False))
     met = other(F.lag("doc").over(near)) | other(F.lead("doc").over(near))
     seeds = seeds.withColumn("shared", F.col("shared") | met).where("shared")
-    seeds = seeds.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("anchor").alias("_seeds"))
-
     same = texts.select("_doc", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("digest"))
     same = same.groupBy("digest").agg(F.min("_doc").alias("_doc"))
     firsts_of_text = same.select("_doc").distinct().withColumn("_whole", F.lit(True))
 
-    joined = named.join(seeds, "_doc", "left").join(firsts_of_text, "_doc", "left")
+    seeds = materialize(seeds.select("anchor", "doc"), "seeds")
+    earliest = seeds.groupBy("anchor").agg(F.min("doc").alias("_doc"))
+    own = earliest.groupBy("_doc").agg(F.collect_list("anchor").alias("_own"))
+    # all readers of the texts take all columns and rows, so that the texts are shuffled once
+    contexts = named.join(own, "_doc", "left").mapInArrow(released(_contexts(window, anchor)), "anchor bigint, around binary")
+    contexts = contexts.groupBy("anchor").agg(F.min("around").alias("around"))  # of several rows of the earliest id one counts
+    holders = seeds.join(earliest, "anchor").select("anchor", F.col("doc").alias("_doc"), (F.col("doc") == F.col("_doc")).alias("giver"))
+    holders = holders.join(firsts_of_text.select("_doc"), "_doc", "left_semi")
+    entries = holders.join(contexts, "anchor").groupBy("_doc").agg(F.collect_set(F.struct("anchor", "around", "giver")).alias("_entries"))
+
+    joined = named.join(entries, "_doc", "left").join(firsts_of_text, "_doc", "left")
     joined = joined.withColumn("_copy", F.col("_whole").isNull() & F.col("_doc").isNotNull()).drop("_whole")
 
-    # both readers of `joined` take all its columns and rows, so that the texts are shuffled once
     keys = joined.mapInArrow(released(_keys(window, anchor)), "anchor bigint, whole bigint, doc bigint")
     earliest = keys.groupBy("anchor", "whole").agg(F.min("doc").alias("_doc"))
     firsts = earliest.mapInArrow(released(_folded), "_doc bigint, key bigint").groupBy("_doc").agg(F.collect_list("key").alias("_firsts"))
 
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in rest) + "_n_words bigint, _n_removed bigint, _removed_runs array<int>, _kept_sha256 string"
-    whole = joined.join(firsts, "_doc", "left").select(*rest, "_doc", "_text", "_seeds", "_firsts", "_copy")
+    whole = joined.join(firsts, "_doc", "left").select(*rest, "_doc", "_text", "_entries", "_firsts", "_copy")
     out = whole.mapInArrow(released(_cut(window, anchor, with_text)), schema + ", _kept_text string" * with_text)
     return out.withColumnsRenamed({f"_{c}": c for c in added})
 

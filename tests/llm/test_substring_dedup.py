@@ -51,3 +51,21 @@ def test_kept_text_clashing_columns_and_empty_table(spark):
     got = {r.doc_id: r for r in s.remove_repeats(df.selectExpr("*", "'q' AS anchor"), window=4, anchor=2, with_text=True).collect()}
     assert got[2].kept_text == "x y" and got[2].n_words == 6 and got[2].anchor == "q" and got[2].removed_runs == [1, 5]
     assert s.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_earliest_document_holds_an_anchor_at_several_places(spark):
+    """Its words around one place are given; windows of another place, of another row of its id, and of documents that differ from it alike."""
+    w = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    core = w("c", 9)
+    docs = [
+        (1, f"{w('a', 8)} {core} {w('b', 8)} {w('x', 20)} {w('d', 8)} {core} {w('e', 8)}"),
+        (1, f"{w('f', 8)} {core} {w('g', 8)}"),
+        (2, f"{w('d', 8)} {core} {w('b', 8)}"),
+        (3, f"{w('f', 8)} {core} {w('h', 8)}"),
+        (4, f"{w('k', 8)} {core} {w('h', 8)}"),
+        (5, f"{w('k', 8)} {core} {w('e', 8)} {core} {w('g', 8)}"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for anchor in (3, 5):
+        got = s.remove_repeats(df, anchor=anchor).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(docs, s.WINDOW)
