@@ -175,6 +175,45 @@ U_LONG = """, mean AS (
 """
 
 
+#: A draw is a place on the weights laid end to end, from a hash of the context and the try.
+NEGATIVES = """, weighted AS (
+    SELECT track_id, w / sum(w) OVER () AS weight FROM (SELECT cat.track_id, coalesce(track_count, 1) ** 0.75 AS w FROM cat LEFT JOIN pop USING (track_id))
+  ), span AS (
+    SELECT track_id, sum(weight) OVER (ORDER BY track_id) - weight AS low FROM weighted
+  ), needy AS (
+    SELECT c.session_id, c.t, c.anchor, coalesce(h.gone, []) AS gone, 5 - len(coalesce(h.gone, [])) AS need FROM ctx c LEFT JOIN (
+      SELECT session_id, t, list(DISTINCT candidate) AS gone FROM hard GROUP BY 1, 2) h ON h.session_id = c.session_id AND h.t = c.t
+    WHERE c.n >= 3 AND c.t <= c.n - 3 AND len(coalesce(h.gone, [])) < 5
+  ), draw_1 AS (
+    SELECT session_id, t, anchor, gone, need, k, ('0x' || substr(md5(session_id || ':' || t || ':' || k), 1, 13))::BIGINT / (2.0::DOUBLE ** 52) AS u
+    FROM (SELECT *, unnest(range(1, 13)) AS k FROM needy)
+  ), hit_1 AS (
+    SELECT d.session_id, d.t, d.need, span.track_id AS candidate, min(d.k) AS k FROM draw_1 d ASOF JOIN span ON d.u >= span.low
+    WHERE span.track_id <> d.anchor AND NOT list_contains(d.gone, span.track_id) GROUP BY ALL
+  ), short AS (
+    SELECT * FROM needy ANTI JOIN (SELECT session_id, t FROM hit_1 GROUP BY session_id, t, need HAVING count(*) >= need) USING (session_id, t)
+  ), draw_2 AS (
+    SELECT session_id, t, anchor, gone, need, k, ('0x' || substr(md5(session_id || ':' || t || ':' || k), 1, 13))::BIGINT / (2.0::DOUBLE ** 52) AS u
+    FROM (SELECT *, unnest(range(13, 200 * need + 1)) AS k FROM short)
+  ), hit AS (
+    SELECT session_id, t, need, candidate, min(k) AS k FROM (
+      SELECT session_id, t, need, candidate, k FROM hit_1
+      UNION ALL
+      SELECT d.session_id, d.t, d.need, span.track_id, d.k FROM draw_2 d ASOF JOIN span ON d.u >= span.low WHERE span.track_id <> d.anchor AND NOT list_contains(d.gone, span.track_id)
+    ) GROUP BY ALL
+  ), head AS (
+    SELECT track_id FROM weighted ORDER BY track_id LIMIT 16
+  ), every AS (
+    SELECT session_id, t, need, candidate, 0 AS part, k FROM hit
+    UNION ALL
+    SELECT s.session_id, s.t, s.need, head.track_id, 1, head.track_id FROM short s, head
+    WHERE head.track_id <> s.anchor AND NOT list_contains(s.gone, head.track_id)
+      AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.session_id = s.session_id AND hit.t = s.t AND hit.candidate = head.track_id)
+  )
+SELECT session_id, t::INTEGER AS t, candidate, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id, t ORDER BY part, k) AS rank FROM every) WHERE rank <= need"""
+
+
 def _u_long(body: str) -> str:
     return sql("st emb kmeans", "").rstrip() + U_LONG + body
 
@@ -210,7 +249,7 @@ QUERIES = {
     "contexts_train": (lambda s, d: _contexts(s, d).drop("last"), sql("ctx", "SELECT session_id, user_id, t::INTEGER AS t, anchor, y, weight FROM ctx WHERE n >= 3 AND t <= n - 3")),
     "contexts_val": (lambda s, d: _contexts(s, d, True).drop("last"), sql("ctx", "SELECT session_id, user_id, t::INTEGER AS t, anchor, y, weight FROM ctx WHERE n >= 2 AND t = n - 2")),
     "contexts_with_hard_negs": (contexts_with_hard_negs, sql("hard", "SELECT session_id, t::INTEGER AS t, candidate, rank::INTEGER AS rank FROM hard")),
-    "random_negatives": (random_negatives, None),
+    "random_negatives": (random_negatives, sql("ctx hard cat pop", "").rstrip() + NEGATIVES),
     "ranking_metrics": (ranking_metrics, sql("scored", """SELECT avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hr, avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1.0::DOUBLE) ELSE 0 END) AS ndcg, avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE / r ELSE 0 END) AS mrr, count(*) AS n_contexts
       FROM (SELECT context, sum((score > p)::INT) + 1 AS r FROM (SELECT *, max(CASE WHEN is_positive THEN score END) OVER (PARTITION BY context) AS p FROM scored) GROUP BY context)""")),
     "losses_bce_bpr": (losses_bce_bpr, sql("scored", """SELECT bce, bpr, bce + 0.5::DOUBLE * coalesce(bpr, 0) AS loss FROM (SELECT sum(weight * (greatest(score, 0) + ln(1 + exp(-abs(score))) - y * score)) / sum(weight) AS bce FROM scored),
