@@ -91,7 +91,7 @@ def _contexts(window: int, anchor: int):
 
 def _extended(words: Words, at: np.ndarray, chosen: np.ndarray, text: np.ndarray, entries: pa.ListArray, row: int, until: int, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every window with an anchor in `entries`: whether it is found in the words around the anchor there, which are another
-    document's; whether it differs from these, or from those that its own document gave."""
+    document's; whether it differs from these, or from those that its own document gave (without words: of its first place)."""
     part = entries.slice(row, until - row)
     counts = np.asarray(part.value_lengths().fill_null(0), np.int64)
     values = part.flatten()
@@ -100,9 +100,10 @@ def _extended(words: Words, at: np.ndarray, chosen: np.ndarray, text: np.ndarray
     if not len(values) or not len(at):
         return held, differs
     keys = salt(np.repeat(np.arange(until - row), counts), values.field(0).to_numpy().view(U64))
-    around = np.frombuffer(b"".join(values.field(1).to_pylist()), U64).reshape(len(values), 2 * reach)
+    around = np.frombuffer(b"".join(values.field(1).fill_null(bytes(16 * reach)).to_pylist()), U64).reshape(len(values), 2 * reach)
     order = np.argsort(keys)
     keys, around, giver = keys[order], around[order], values.field(2).to_numpy(zero_copy_only=False)[order]
+    given = values.field(1).is_valid().to_numpy(zero_copy_only=False)[order]
     own = salt(text, chosen)
     entry = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
     known = np.flatnonzero(keys[entry] == own)
@@ -115,6 +116,9 @@ def _extended(words: Words, at: np.ndarray, chosen: np.ndarray, text: np.ndarray
         right &= same
         same[right] = codes[place[right] + anchor + k] == around[entry[right], reach + k]
     held, differs = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    first = np.full(len(keys), len(codes))
+    np.minimum.at(first, entry, place)
+    same = np.where(given[entry], same, place == first[entry])
     held[known], differs[known] = same & ~giver[entry], ~same
     return held, differs
 
@@ -267,10 +271,12 @@ def remove_repeats(
     own = earliest.groupBy("_doc").agg(F.collect_list("anchor").alias("_own"))
     # all readers of the texts take all columns and rows, so that the texts are shuffled once
     contexts = named.join(own, "_doc", "left").mapInArrow(released(_contexts(window, anchor)), "anchor bigint, around binary")
-    contexts = contexts.groupBy("anchor").agg(F.min("around").alias("around"))  # of several rows of the earliest id one counts
+    contexts = contexts.groupBy("anchor").agg(F.min("around").alias("around"), F.count(F.lit(1)).alias("n"))  # of several rows of the earliest id one counts
     holders = seeds.join(earliest, "anchor").select("anchor", F.col("doc").alias("_doc"), (F.col("doc") == F.col("_doc")).alias("giver"))
     holders = holders.join(firsts_of_text.select("_doc"), "_doc", "left_semi")
-    entries = holders.join(contexts, "anchor").groupBy("_doc").agg(F.collect_set(F.struct("anchor", "around", "giver")).alias("_entries"))
+    words = F.when(~F.col("giver") | (F.col("n") > 1), F.col("around")).alias("around")  # who gave them has them
+    entries = holders.join(contexts, "anchor").select("_doc", "anchor", words, "giver")
+    entries = entries.groupBy("_doc").agg(F.collect_set(F.struct("anchor", "around", "giver")).alias("_entries"))
 
     joined = named.join(entries, "_doc", "left").join(firsts_of_text, "_doc", "left")
     joined = joined.withColumn("_copy", F.col("_whole").isNull() & F.col("_doc").isNotNull()).drop("_whole")
