@@ -260,7 +260,14 @@ def find_copies(
 
     entries = classes.select(F.explode(F.array_distinct("keys")).alias("path"), "cid")
     counts = entries.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("n > 1")
-    buckets = materialize(entries.join(counts, "path"), "buckets")
+    counts = materialize(counts, "bucket-counts")
+    most = max(1000, classes.count() * bands // 1000)  # so at most a thousand buckets have more
+    large = F.broadcast(counts.where(F.col("n") > most).withColumnsRenamed({"n": "_n", "lo": "_lo", "hi": "_hi"}))
+    marked = entries.join(large, "path", "left")
+    buckets = marked.where("_n IS NOT NULL").select("path", "cid", F.col("_n").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    buckets = buckets.unionByName(marked.where("_n IS NULL").select("path", "cid").join(counts.where(F.col("n") <= most), "path"))
+    buckets = materialize(buckets, "buckets")
+    discard(counts)
     stars = buckets.where("cid <> lo").select(F.col("lo").alias("rep"), "cid")
     stars = stars.unionByName(buckets.where("n > 2 AND cid <> lo AND cid <> hi").select(F.col("hi").alias("rep"), "cid")).distinct()
     packed = classes.select("cid", "packed")
