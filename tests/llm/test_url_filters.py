@@ -94,3 +94,19 @@ def test_components_of_a_hub_and_a_chain(spark):
     chain = spark.range(100_000, 103_000).selectExpr("id AS u", "id + 1 AS v")
     got = components(hub.unionByName(chain)).groupBy("component").count().collect()
     assert {(r.component, r["count"]) for r in got} == {(0, 60_001), (100_000, 3_001)}
+
+
+def test_decisions_reach_the_ends_of_hubs_and_chains(spark):
+    """Verdicts over redirects alone: a blocked page behind a hub of 3,000 links and at the end of a chain of 400; an allowed one wins."""
+    hub, chain, both = "https://hub.org/", "https://c0.org/", "https://both.org/"
+    redirects = [(f"https://h{i}.org/", hub) for i in range(3000)] + [(hub, "https://x.net/es/1")]
+    redirects += [(f"https://c{i}.org/", f"https://c{i + 1}.org/") for i in range(400)] + [("https://c400.org/", "https://y.net/fr/")]
+    redirects += [(both, "https://z.net/es/"), (both, "https://shop.com/")]
+    asked = [hub, "https://h17.org/", "https://H2999.org/#top", chain, "https://c399.org/", both, "https://z.net/es/", "https://alone.org/"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(asked)], SCHEMA)
+    got = url_filters.judge(pages, spark.createDataFrame(redirects, "u string, v string")).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "block", "block", "block", "block", "allow", "block", "allow"]
+    assert got[6].rule == "net/es/" and got[5].rule is None
+    long = "https://long.org/" + "p/" * 100_000
+    pages = spark.createDataFrame([(1, long, None), (2, "https://a.net/fr/" + "q" * 100_000, None)], SCHEMA)
+    assert [(r.host, len(r.path), r.verdict) for r in url_filters.judge(pages).orderBy("page_id").collect()] == [("long.org", 200_001, "allow"), ("a.net", 100_004, "block")]
