@@ -266,17 +266,26 @@ def remove_repeats(
     same = same.groupBy("digest").agg(F.min("_doc").alias("_doc"))
     firsts_of_text = same.select("_doc").distinct().withColumn("_whole", F.lit(True))
 
-    seeds = materialize(seeds.select("anchor", "doc"), "seeds")
-    earliest = seeds.groupBy("anchor").agg(F.min("doc").alias("_doc"))
-    own = earliest.groupBy("_doc").agg(F.collect_list("anchor").alias("_own"))
+    # copies need no seeds, and anchors that only they share with their first none either
+    seeds = seeds.select("anchor", F.col("doc").alias("_doc")).join(firsts_of_text.select("_doc"), "_doc", "left_semi")
+    seeds = materialize(seeds.select("anchor", F.col("_doc").alias("doc")), "seeds")
+    earliest = seeds.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    most = max(1000, seeds.count() // 1000)  # so at most a thousand anchors have more holders; these are met by broadcasts
+    common = F.broadcast(earliest.where(F.col("n") > most).select("anchor", F.col("first").alias("_first")))
+    rare = earliest.where(F.col("n") <= most)
+    own = earliest.groupBy(F.col("first").alias("_doc")).agg(F.collect_list("anchor").alias("_own"))
     # all readers of the texts take all columns and rows, so that the texts are shuffled once
     contexts = named.join(own, "_doc", "left").mapInArrow(released(_contexts(window, anchor)), "anchor bigint, around binary")
-    contexts = contexts.groupBy("anchor").agg(F.min("around").alias("around"), F.count(F.lit(1)).alias("n"))  # of several rows of the earliest id one counts
-    holders = seeds.join(earliest, "anchor").select("anchor", F.col("doc").alias("_doc"), (F.col("doc") == F.col("_doc")).alias("giver"))
-    holders = holders.join(firsts_of_text.select("_doc"), "_doc", "left_semi")
-    words = F.when(~F.col("giver") | (F.col("n") > 1), F.col("around")).alias("around")  # who gave them has them
-    entries = holders.join(contexts, "anchor").select("_doc", "anchor", words, "giver")
-    entries = entries.groupBy("_doc").agg(F.collect_set(F.struct("anchor", "around", "giver")).alias("_entries"))
+    contexts = contexts.groupBy("anchor").agg(F.min("around").alias("around"), F.count(F.lit(1)).alias("rows"))  # of several rows of the earliest id one counts
+    marked = seeds.join(common, "anchor", "left")
+    parts = [
+        marked.where("_first IS NOT NULL").select("anchor", "doc", F.col("_first").alias("first")).join(F.broadcast(contexts.join(common, "anchor", "left_semi")), "anchor"),
+        marked.where("_first IS NULL").select("anchor", "doc").join(rare.select("anchor", "first"), "anchor").join(contexts, "anchor"),
+    ]
+    giver = F.col("doc") == F.col("first")
+    words = F.when(~giver | (F.col("rows") > 1), F.col("around")).alias("around")  # who gave them has them
+    entries = parts[0].select("doc", "anchor", words, giver.alias("giver")).unionByName(parts[1].select("doc", "anchor", words, giver.alias("giver")))
+    entries = entries.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("anchor", "around", "giver")).alias("_entries"))
 
     joined = named.join(entries, "_doc", "left").join(firsts_of_text, "_doc", "left")
     joined = joined.withColumn("_copy", F.col("_whole").isNull() & F.col("_doc").isNotNull()).drop("_whole")
