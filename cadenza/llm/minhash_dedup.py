@@ -225,7 +225,8 @@ def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, tokens_of,
     named = buckets.where("n > 3").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = materialize(named.select("path", "cid", "n", "label"), "labelled")
     mixed = named.groupBy("path").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("path")
-    rows = named.join(mixed, "path").join(classes.select("cid", "packed", "keys"), "cid").withColumnRenamed("cid", "id")
+    mixed = materialize(mixed, "mixed")  # as a table, so that a large bucket's rows can be split
+    rows = named.join(broadcast_if_small(mixed), "path").join(classes.select("cid", "packed", "keys"), "cid").withColumnRenamed("cid", "id")
     found = _dealt(_tiled(rows, 4 * limit)).mapInArrow(released(_plausible(minima, least_estimate(similarity, minima))), "path bigint, id bigint")
     found = materialize(found.distinct(), "plausible")
     sets = tokens_of(found.select(F.col("id").alias("cid")).distinct())
@@ -233,7 +234,7 @@ def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, tokens_of,
     rows = counted.join(sets.withColumnRenamed("cid", "id"), "id").join(labels.withColumnRenamed("cid", "id"), "id", "left")
     rows = rows.withColumn("label", F.coalesce("label", "id"))
     links = materialize(_dealt(_tiled(rows, limit)).mapInArrow(released(_linked(similarity)), "u bigint, v bigint").distinct(), "rest")
-    for table in (named, found, sets):
+    for table in (named, mixed, found, sets):
         discard(table)
     return links
 
