@@ -20,3 +20,10 @@ def test_mean_vectors_keep_the_sign_of_zero(spark, monkeypatch):
     monkeypatch.setattr(features.f, "mean_centroids", lambda *_: means)
     row = files.centroid_or_zero(spark, "/root/testdata/sf0.001").where("user_id = 1").first()
     assert row.known and [str(x) for x in row.vector] == ["-0.0", "0.5"]
+
+
+def test_centroids_keep_the_sign_of_zero(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, 0, [-4e-6, 4e-6, 0.123456], 2)], "user_id long, centroid_idx int, centroid array<double>, cluster_size long")
+    monkeypatch.setattr(features, "centroids", lambda *_: frame)
+    row = features.user_centroids_kmeans(spark, "").first()
+    assert [str(x) for x in row.centroid] == ["-0.0", "0.0", "0.12346"]
