@@ -86,13 +86,15 @@ def quality_report(manifest: DataFrame, required: tuple[str, ...] = ("track_id",
 def artist_relations(files: DataFrame, tracks: DataFrame) -> DataFrame:
     """(media_id, artist, role): media files matched to tracks by file name or by title, once for either role.
 
-    The condition is an OR: two equi-joins, united.
+    The condition is an OR: two equi-joins with the different artists of a path and of a title, united file by file.
     """
-    columns = [F.col("media_id"), F.col("artist")]
-    paths, keys = tracks.select("path", "artist").distinct(), tracks.select("track_key", "artist").distinct()
-    by_name = files.select("media_id", "filename").join(paths, F.col("filename") == F.col("path")).select(*columns)
-    by_title = files.select("media_id", "title").join(keys, F.col("title") == F.col("track_key")).select(*columns)
-    return by_name.unionByName(by_title).distinct().withColumn("role", F.explode(F.array(F.lit("artist"), F.lit("albumartist"))))
+    artists = lambda key, name: tracks.select(key, "artist").distinct().groupBy(key).agg(F.transform(F.collect_list(F.struct("artist")), lambda x: x["artist"]).alias(name))
+    found = files.join(artists("path", "by_name"), F.col("filename") == F.col("path"), "left").join(artists("track_key", "by_title"), F.col("title") == F.col("track_key"), "left")
+    none = F.array().cast(f"array<{dict(tracks.dtypes)['artist']}>")
+    found = found.select("media_id", F.array_union(F.coalesce("by_name", none), F.coalesce("by_title", none)).alias("artists")).where("size(artists) > 0")
+    found = found.groupBy("media_id").agg(F.array_distinct(F.flatten(F.collect_list("artists"))).alias("artists"))
+    found = found.select("media_id", F.explode("artists").alias("artist"))
+    return found.withColumn("role", F.explode(F.array(F.lit("artist"), F.lit("albumartist"))))
 
 
 def artist_stats(tracks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from cadenza.operators.tables import artist_relations
 from cadenza.plans import registry
 from cadenza.sources import shared, views
 
@@ -30,3 +31,14 @@ def test_a_large_query_is_dealt_by_its_tables(spark, monkeypatch):
         assert spark.conf.get(shared.PARTITIONS) == "4"
     finally:
         shared.deal_as_before(spark)
+
+
+def test_artists_of_a_file_are_united_before_they_are_expanded(spark):
+    """No row for each file and artist is shuffled; an artist without a name, and a file that comes twice, count once."""
+    files = spark.createDataFrame([(1, "a", "t"), (1, "b", "u"), (2, "a", "none"), (3, "none", "none")], "media_id long, filename string, title string")
+    tracks = spark.createDataFrame([("a", "t", "X"), ("a", "x", None), ("b", "t", "X"), ("c", "u", "Y")], "path string, track_key string, artist string")
+    found = artist_relations(files, tracks)
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert got == sorted([(m, a, r) for m, a in ((1, "X"), (1, None), (1, "Y"), (2, "X"), (2, None)) for r in ("artist", "albumartist")], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [media_id" in plan and plan.index("Generate") < plan.index("Aggregate [media_id")
