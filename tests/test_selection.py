@@ -160,3 +160,16 @@ def test_records_and_optional_conditions(spark):
     assert tables.where_given(rows, {"artist": None, "is_playable": None}).count() == 2
     assert tables.where_given(rows, {"artist": "x", "title": None}).count() == 1
     assert sorted(r.track_id for r in tables.first_keys(rows.unionByName(rows), "track_id", 1).collect()) == [1, 1]
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_terms_of_many_rows_and_songs_are_not_met_by_pairs(spark, monkeypatch, few):
+    """As pair by pair, also for ids with other characters, ids within words and ids of no song; no row for each row and song."""
+    monkeypatch.setattr(search, "FEW", few)
+    songs = [(f"nav{k:03}", f"blue {k % 7}", f"a/{k}x.mp3", None, "Ann") for k in range(60)]
+    ids = [*(str(k) for k in range(0, 90, 3)), "A/5", "4X", "zz", "nn", ""]
+    frame = spark.createDataFrame(songs, "id string, title string, path string, album string, artist string")
+    got = search.term_search(spark.createDataFrame([(t, ["none", "blue"]) for t in ids], "track_id string, terms array<string>"), frame)
+    texts = {s[0]: " ".join(x or "" for x in s).lower() for s in songs}
+    want = {t: min((t.lower() not in texts[s], s) for s in texts) for t in ids}
+    assert {r.track_id: (not r.marked, r.song_id) for r in got.collect()} == want
