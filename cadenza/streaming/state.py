@@ -4,22 +4,33 @@ The processors keep their state in Spark's state store, so a stream that is stop
 checkpoint. Times are those of the events: what has a time to live is dropped by event-time timers once the watermark has
 passed its end, and is not looked at beyond it even where the timer has not run yet. All events of a key in one batch are
 taken in the order of their times.
+
+Plays and lists have very many keys with a few events each. They are dealt into `BUCKETS` buckets by a hash of the key, and a
+processor is called once for the bucket, not once for each key: its state holds all keys of the bucket, and the timers of
+a bucket run at the end of the day.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PLAY = "kind string, event_id bigint, created_at bigint, updated_at bigint, playratio double, event_type string"
 SESSION = "event_id bigint, user_id bigint, at bigint, session_id string, session_start bigint"
-LISTS = "session_id bigint, version bigint, recent array<bigint>, recommended array<bigint>, until bigint"
+LISTS = "session_id bigint, version bigint, recent array<string>, recommended array<string>, until bigint"
 #: Times inside the processors are microseconds (column `us`), those of timers milliseconds.
 DAY_US = 86_400_000_000
+#: The checkpoint of a stream depends on this number.
+BUCKETS = 1024
+#: Stands for a key that is null while rows are in a processor, where whole numbers have no nulls.
+NO_KEY = -(1 << 63)
 
 
 def _timer(us: int) -> int:
@@ -35,11 +46,25 @@ def _times(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({name: F.timestamp_micros(name) for name in names})
 
 
+def _last_day(us: int) -> int:
+    """The number of the first day that begins at `us` or later."""
+    return -(-us // DAY_US)
+
+
+def _bucketed(rows: DataFrame, key: str) -> DataFrame:
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return rows.withColumn(key, F.coalesce(key, F.lit(NO_KEY)))
+
+
+def _unbucketed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn(key, F.nullif(F.col(key), F.lit(NO_KEY)))
+
+
 class EventMerge(StatefulProcessor):
     """Ends (skip or complete) are merged into the start of the same id; an end that finds no start goes out as lost.
 
     The first start of an id counts. Every end gives a merged row, so the latest of an id holds. A start is forgotten `keep`
-    days after it began; a later end is lost.
+    days after it began; a later end is lost. A batch adds its new starts to those of the bucket as one row of (id, us) pairs.
     """
 
     def __init__(self, keep: int = 1):
@@ -47,26 +72,42 @@ class EventMerge(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.start = handle.getValueState("start", "us bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        known = self.start.get()[0] if self.start.exists() else None
-        for row in sorted(rows, key=lambda r: (r["us"], r["phase"] != "start")):
-            if known is not None and row["us"] >= known + self.keep * DAY_US:
+        self.starts = handle.getListState("starts", "pairs binary")
+
+    def _pairs(self) -> np.ndarray:
+        return np.frombuffer(b"".join(bytes(row[0]) for row in self.starts.get()), dtype=np.int64).reshape(-1, 2)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        rows = rows.iloc[np.lexsort((rows["phase"] != "start", rows["us"]))]
+        begun, new, created = dict(self._pairs().tolist()), [], []
+        for own, us, start in zip(rows["event_id"].tolist(), rows["us"].tolist(), (rows["phase"] == "start").tolist(), strict=True):
+            known = begun.get(own)
+            if known is not None and us >= known + self.keep * DAY_US:
                 known = None
-                self.start.clear()
-            if row["phase"] == "start":
-                if known is None:
-                    known = row["us"]
-                    self.start.update((known,))
-                    self.handle.registerTimer(_timer(known + self.keep * DAY_US))
-            else:
-                ratio = 0.0 if row["playratio"] is None else row["playratio"]
-                yield Row(kind="lost" if known is None else "merged", event_id=key[0], created_at=known, updated_at=row["us"], playratio=ratio, event_type=row["event_type"])
+            if not start:
+                created.append(known)
+            elif known is None:
+                begun[own] = us
+                new.append((own, us))
+        if new:
+            self.starts.appendValue((np.array(new, dtype=np.int64).tobytes(),))
+            for day in {_last_day(us + self.keep * DAY_US) for _, us in new}:
+                self.handle.registerTimer(_timer(day * DAY_US))
+        ends = rows[rows["phase"] != "start"]
+        created = pd.array(created, dtype="Int64")
+        kind = np.where(created.isna(), "lost", "merged").astype(object)
+        yield pd.DataFrame(
+            {"kind": kind, "event_id": ends["event_id"].array, "created_at": created, "updated_at": ends["us"].array, "playratio": ends["playratio"].array, "event_type": ends["event_type"].array}
+        )
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.start.exists() and _timer(self.start.get()[0] + self.keep * DAY_US) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.start.clear()
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        pairs = self._pairs()
+        left = pairs[pairs[:, 1] + self.keep * DAY_US > expiredTimerInfo.getExpiryTimeInMs() * 1000]
+        if len(left):
+            self.starts.put([(left.tobytes(),)])
+        else:
+            self.starts.clear()
         return iter(())
 
     def close(self) -> None:
@@ -119,7 +160,7 @@ class TrackLists(StatefulProcessor):
 
     A played track moves to the front. Recommended tracks come before those of earlier calls, in their order; the list lives
     `days` from its last change, which is sent out as `until`. Every batch that changes a session sends out both lists with a
-    growing version.
+    growing version. A bucket knows which sessions' lists may end on a day. Tracks are texts in here, as a track can be null.
     """
 
     def __init__(self, recent: int = 50, recommended: int = 500, days: int = 14):
@@ -127,49 +168,71 @@ class TrackLists(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lists = {kind: handle.getListState(kind, "track_id bigint") for kind in self.most}
-        self.last = handle.getValueState("last", "us bigint, version bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        tracks = {kind: [t[0] for t in state.get()] if state.exists() else [] for kind, state in self.lists.items()}
-        last, version = self.last.get() if self.last.exists() else (None, 0)
-        changed = set()
-        for row in sorted(rows, key=lambda r: (r["us"], r["event_id"])):
-            kind = row["action"]
-            if last is not None and row["us"] >= last + self.days * DAY_US:
-                tracks["recommended"], last = [], None
-                changed.add("recommended")
-            tracks[kind] = list(dict.fromkeys([*row["tracks"], *tracks[kind]]))[: self.most[kind]]
-            changed.add(kind)
+        self.lists = handle.getMapState("lists", "session_id bigint", "played array<string>, recommended array<string>, us bigint, version bigint")
+        self.ends = handle.getMapState("ends", "day bigint", "sessions array<bigint>")
+
+    def _row(self, session: int, version: int, recent: list, recommended: list, last: int | None) -> tuple:
+        return session, version, recent, recommended, None if last is None else last + self.days * DAY_US
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        rows = rows.iloc[np.lexsort((rows["event_id"], rows["us"]))]
+        anything, found = self.lists.exists(), {}
+        for session, us, kind, tracks in zip(*(rows[c].tolist() for c in ("session_id", "us", "action", "tracks")), strict=True):
+            if session not in found:
+                played, recommended, last, version = (self.lists.getValue((session,)) if anything else None) or ([], [], None, 0)
+                # the newest track is the last one here
+                found[session] = {"played": OrderedDict.fromkeys(reversed(played)), "recommended": OrderedDict.fromkeys(reversed(recommended)), "last": last, "version": version, "again": False}
+            own = found[session]
+            if own["last"] is not None and us >= own["last"] + self.days * DAY_US:
+                own["recommended"], own["last"] = OrderedDict(), None
+            for track in reversed(tracks):
+                own[kind][track] = None
+                own[kind].move_to_end(track)
+            while len(own[kind]) > self.most[kind]:
+                own[kind].popitem(last=False)
             if kind == "recommended":
-                last = row["us"]
-        for kind in changed:
-            if tracks[kind]:
-                self.lists[kind].put([(t,) for t in tracks[kind]])
-            else:
-                self.lists[kind].clear()
-        self.last.update((last, version + 1))
-        if last is not None and "recommended" in changed:
-            self.handle.registerTimer(_timer(last + self.days * DAY_US))
-        until = None if last is None else last + self.days * DAY_US
-        yield Row(session_id=key[0], version=version + 1, recent=tracks["played"], recommended=tracks["recommended"], until=until)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        last, version = self.last.get() if self.last.exists() else (None, 0)
-        if last is not None and _timer(last + self.days * DAY_US) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.lists["recommended"].clear()
-            self.last.update((None, version + 1))
-            played = [t[0] for t in self.lists["played"].get()] if self.lists["played"].exists() else []
-            yield Row(session_id=key[0], version=version + 1, recent=played, recommended=[], until=None)
+                own["last"], own["again"] = us, True
+        out, ends = [], {}
+        for session, own in found.items():
+            played, recommended = list(reversed(own["played"])), list(reversed(own["recommended"]))
+            self.lists.updateValue((session,), (played, recommended, own["last"], own["version"] + 1))
+            if own["again"]:
+                ends.setdefault(_last_day(own["last"] + self.days * DAY_US), []).append(session)
+            out.append(self._row(session, own["version"] + 1, played, recommended, own["last"]))
+        for day, sessions in ends.items():
+            before = self.ends.getValue((day,))
+            self.ends.updateValue((day,), (list({*(before[0] if before else ()), *sessions}),))
+            self.handle.registerTimer(_timer(day * DAY_US))
+        yield _frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        day, out = now // DAY_US, []
+        sessions = self.ends.getValue((day,))
+        for session in sessions[0] if sessions else ():
+            played, _, last, version = self.lists.getValue((session,))
+            if last is not None and last + self.days * DAY_US <= now:
+                self.lists.updateValue((session,), (played, [], None, version + 1))
+                out.append(self._row(session, version + 1, list(played), [], None))
+        self.ends.removeKey((day,))
+        if out:
+            yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    session, version, recent, recommended, until = zip(*rows, strict=True)
+    return pd.DataFrame({"session_id": session, "version": version, "recent": recent, "recommended": recommended, "until": pd.array(until, dtype="Int64")})
+
+
 def merged_plays(events: DataFrame, keep: int = 1, delay: str = "1 hour") -> DataFrame:
     """(kind, event_id, created_at, updated_at, playratio, event_type) from (event_id, phase, at, playratio, event_type)."""
-    merged = _in_order(events, delay).groupBy("event_id").transformWithState(EventMerge(keep), PLAY, "Append", "EventTime")
-    return _times(merged, "created_at", "updated_at")
+    rows = _bucketed(_in_order(events, delay), "event_id").withColumn("playratio", F.coalesce("playratio", F.lit(0.0)))
+    merged = rows.groupBy("bucket").transformWithStateInPandas(EventMerge(keep), PLAY, "Append", "EventTime")
+    return _times(_unbucketed(merged, "event_id"), "created_at", "updated_at")
 
 
 def sticky_sessions(events: DataFrame, days: int = 14, delay: str = "1 hour") -> DataFrame:
@@ -180,8 +243,10 @@ def sticky_sessions(events: DataFrame, days: int = 14, delay: str = "1 hour") ->
 
 def track_lists(actions: DataFrame, recent: int = 50, recommended: int = 500, days: int = 14, delay: str = "1 hour") -> DataFrame:
     """(session_id, version, recent, recommended, until) from (session_id, event_id, at, action, tracks)."""
-    lists = TrackLists(recent, recommended, days)
-    return _times(_in_order(actions, delay).groupBy("session_id").transformWithState(lists, LISTS, "Append", "EventTime"), "until")
+    rows = _bucketed(_in_order(actions, delay), "session_id").withColumn("tracks", F.col("tracks").cast("array<string>"))
+    lists = rows.groupBy("bucket").transformWithStateInPandas(TrackLists(recent, recommended, days), LISTS, "Append", "EventTime")
+    tracks = {name: F.col(name).cast("array<bigint>") for name in ("recent", "recommended")}
+    return _times(_unbucketed(lists, "session_id").withColumns(tracks), "until")
 
 
 def latest_plays(rows: DataFrame) -> DataFrame:
