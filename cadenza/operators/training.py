@@ -43,14 +43,19 @@ def contexts(tracks: DataFrame, validation: bool = False) -> DataFrame:
     return rows.where(chosen & (F.col("anchor_label") != "unknown")).select("session_id", "user_id", "t", "last", "anchor", y.alias("y"), weight.alias("weight"))
 
 
-def hard_negatives(found: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
-    """(session_id, t, candidate, rank): the k heaviest neighbours of the prefix's last track, without the anchor."""
+def with_hard_negatives(found: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """`found` with `hard`, the k heaviest neighbours of the prefix's last track in their order, without the anchor; null if the track has no neighbour."""
     near = top_neighbours(edges, k + 1, loops=True)  # of these the anchor is one at most
     near = near.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst"))).alias("near"))
-    rows = found.join(near, found["last"] == near["src"])
+    rows = found.join(near, found["last"] == near["src"], "left")
     left = F.slice(F.filter("near", lambda x: x["dst"] != F.col("anchor")), 1, k)
-    rows = rows.select("session_id", "t", F.posexplode(left).alias("rank", "x"))
-    return rows.select("session_id", "t", F.col("x.dst").alias("candidate"), (F.col("rank") + 1).alias("rank"))
+    return rows.select(*found.columns, F.transform(left, lambda x: x["dst"]).alias("hard"))
+
+
+def hard_negatives(found: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """(session_id, t, candidate, rank): the k heaviest neighbours of the prefix's last track, without the anchor."""
+    rows = with_hard_negatives(found, edges, k).select("session_id", "t", F.posexplode("hard").alias("rank", "candidate"))
+    return rows.select("session_id", "t", "candidate", (F.col("rank") + 1).alias("rank"))
 
 
 def _spans(weights: DataFrame, bands: int, width: int = 4096) -> DataFrame:
@@ -123,9 +128,16 @@ def _softplus(x: Column) -> Column:
 
 
 def losses(scored: DataFrame, pair_weight: float = 0.5) -> DataFrame:
-    """Weighted binary cross-entropy of (context, score, y, weight, is_positive), and the pairwise loss of its positives."""
+    """Weighted binary cross-entropy of (context, score, y, weight, is_positive), and the pairwise loss of its positives.
+
+    Rows that come with `positive_score`, the score of their context's only positive, are not joined with it.
+    """
     bce = F.sum(F.col("weight") * (_softplus(F.col("score")) - F.col("y") * F.col("score"))) / F.sum("weight")
-    positive = scored.where("is_positive").select("context", F.col("score").alias("p"))
-    pairs = scored.where("NOT is_positive").join(positive, "context").agg(F.avg(_softplus(F.col("score") - F.col("p"))).alias("bpr"))
-    both = scored.agg(bce.alias("bce")).crossJoin(pairs)
+    if "positive_score" in scored.columns:
+        pair = F.when(~F.col("is_positive"), _softplus(F.col("score") - F.col("positive_score")))
+        both = scored.agg(bce.alias("bce"), F.avg(pair).alias("bpr"))
+    else:
+        positive = scored.where("is_positive").select("context", F.col("score").alias("p"))
+        pairs = scored.where("NOT is_positive").join(positive, "context").agg(F.avg(_softplus(F.col("score") - F.col("p"))).alias("bpr"))
+        both = scored.agg(bce.alias("bce")).crossJoin(pairs)
     return both.withColumn("loss", F.col("bce") + pair_weight * F.coalesce("bpr", F.lit(0.0)))

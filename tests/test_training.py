@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from cadenza.operators import training
@@ -42,3 +44,21 @@ def test_query_reaches_the_number_with_the_hard_ones(spark):
     for r in [*got, *hard]:
         found.setdefault((r.session_id, r.t), []).append(r.candidate)
     assert all(len(c) == len(set(c)) == 5 for c in found.values())
+
+
+def test_losses_with_and_without_the_positive_score(spark):
+    schema = "context string, score double, y double, weight double, is_positive boolean, positive_score double"
+    rows = [("a", 1.0, 1.0, 0.3, True, 1.0), ("a", 0.5, 0.0, 1.0, False, 1.0), ("a", -1.5, 0.0, 1.0, False, 1.0), ("c", None, 0.0, 1.0, None, None), ("d", 0.0, 1.0, 2.0, True, 0.0), ("d", 1.5, 0.0, 1.0, False, 0.0)]
+    scored = spark.createDataFrame(rows, schema)
+    soft = lambda x: max(x, 0) + math.log1p(math.exp(-abs(x)))
+    bce = sum(w * (soft(s) - y * s) for _, s, y, w, _, _ in rows if s is not None) / sum(r[3] for r in rows)
+    bpr = (soft(-0.5) + soft(-2.5) + soft(1.5)) / 3
+    for found in (training.losses(scored), training.losses(scored.drop("positive_score"))):
+        assert list(found.first()) == pytest.approx([bce, bpr, bce + 0.5 * bpr])
+    assert training.losses(scored.where("is_positive")).first().bpr is None
+
+
+def test_losses_read_the_plays_twice(spark):
+    """Once for the contexts, once for the edges: no context is joined with its own rows."""
+    plan = registry.queries()["losses_bce_bpr"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 2
