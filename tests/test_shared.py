@@ -42,3 +42,12 @@ def test_artists_of_a_file_are_united_before_they_are_expanded(spark):
     assert got == sorted([(m, a, r) for m, a in ((1, "X"), (1, None), (1, "Y"), (2, "X"), (2, None)) for r in ("artist", "albumartist")], key=str)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [media_id" in plan and plan.index("Generate") < plan.index("Aggregate [media_id")
+
+
+def test_a_task_gets_four_megabytes_of_a_table_at_most(spark, monkeypatch):
+    monkeypatch.setattr(shared, "file_bytes", lambda s, path: 425 << 20)
+    try:
+        shared.deal_by_size(spark, "lineitem")
+        assert int(spark.conf.get(shared.PARTITIONS)) >= 106 and shared._plain_bytes(spark.conf.get(shared.ADVISORY)) <= 4 << 20
+    finally:
+        shared.deal_as_before(spark)
