@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import label_code, label_target, unit_of
 from cadenza.operators.features import top_neighbours
+from cadenza.sources.shared import stored
 
 LENGTH = 20
 
@@ -61,13 +62,16 @@ def hard_negatives(found: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
 def _spans(weights: DataFrame, bands: int, width: int = 4096) -> DataFrame:
     """(candidate, from, to, band): the weights laid out on [0, total) by track, once for every band that they touch.
 
-    Running sums are made in ranges of `width` track numbers, and begin at the sum of the ranges before.
+    Running sums are made in ranges of `width` track numbers, and begin at the sum of the ranges before. They are sums of decimals
+    of 27 places, so a place is exact to its last binary digit, and the same however the rows are dealt.
     """
-    ranged = weights.withColumn("range", F.floor(F.col("track_id") / width))
+    kind = "decimal(38, 27)"
+    ranged = weights.withColumn("range", F.floor(F.col("track_id") / width)).withColumn("w", F.col("weight").cast(kind))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy("range").agg(F.sum("weight").alias("w")).select("range", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("base"))
-    spans = ranged.withColumn("to", F.sum("weight").over(Window.partitionBy("range").orderBy("track_id"))).join(base, "range")
-    spans = spans.withColumn("to", F.col("base") + F.col("to")).withColumn("from", F.col("to") - F.col("weight"))
+    base = ranged.groupBy("range").agg(F.sum("w").cast(kind).alias("s")).select("range", F.coalesce(F.sum("s").over(before).cast(kind), F.lit(0).cast(kind)).alias("base"))
+    spans = ranged.withColumn("sum", F.sum("w").over(Window.partitionBy("range").orderBy("track_id")).cast(kind)).join(base, "range")
+    to = (F.col("base") + F.col("sum")).cast(kind)
+    spans = spans.withColumn("to", to.cast("double")).withColumn("from", (to - F.col("w")).cast("double"))
     touched = F.sequence(F.floor(F.col("from") * bands), F.floor(F.col("to") * bands))
     return spans.select(F.col("track_id").alias("candidate"), "from", "to", F.explode(touched).alias("band"))
 
@@ -81,7 +85,7 @@ def random_negatives(found: DataFrame, weights: DataFrame, hard: DataFrame | Non
     track they need, and then the first tracks of the vocabulary: as many as it has.
     """
     key, bands = ["session_id", "t"], 4096
-    spans = _spans(weights, bands)
+    spans = stored(_spans(weights, bands), "spans")
     none = F.array().cast("array<bigint>")
     rows = found.select(*key, "anchor").withColumn("gone", none)
     if hard is not None:
@@ -94,13 +98,14 @@ def random_negatives(found: DataFrame, weights: DataFrame, hard: DataFrame | Non
         fresh = F.array_except(F.array_except(more, "gone"), F.col("got"))
         return rows.withColumn("got", F.concat("got", F.slice(fresh, F.lit(1), F.col("need") - F.size("got")))).drop(more)
 
-    for first, last in ((1, F.lit(tries)), (tries + 1, most * F.col("need"))):
-        short = rows.where((F.size("got") < F.col("need")) & (last >= first))
-        drawn = short.select(*key, F.explode(F.sequence(F.lit(first), last)).alias("try"))
+    # most contexts are full after one draw more than they need, so only the others draw on
+    soon = F.least(F.lit(tries), F.col("need") + 1)
+    for first, last in ((F.lit(1), soon), (soon + 1, F.lit(tries)), (F.lit(tries + 1), most * F.col("need"))):
+        drawn = rows.where((F.size("got") < F.col("need")) & (last >= first)).select(*key, F.explode(F.sequence(first, last)).alias("try"))
         drawn = drawn.withColumn("u", unit_of(F.concat_ws(":", "session_id", "t", "try"))).withColumn("band", F.floor(F.col("u") * bands))
-        once = drawn.join(spans, "band").where("u >= `from` AND u < `to`").groupBy(*key, "candidate").agg(F.min("try").alias("try"))
-        hits = once.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("try", F.col("candidate").cast("bigint").alias("c")))).alias("hits"))
-        rows = with_more(rows.join(hits, key, "left").withColumn("more", F.coalesce(F.col("hits.c"), none)).drop("hits"), "more")
+        met = drawn.join(spans, "band").where("u >= `from` AND u < `to`").select(*key, "try", F.col("candidate").cast("bigint").alias("c"))
+        hits = met.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("try", "c"))).alias("hits"))
+        rows = stored(with_more(rows.join(hits, key, "left").withColumn("more", F.array_distinct(F.coalesce(F.col("hits.c"), none))).drop("hits"), "more"), "drawn")
     # a context leaves out n tracks at most besides those it has, and needs n at most
     head = weights.select(F.col("track_id").cast("bigint").alias("track_id")).orderBy("track_id").limit(3 * n + 1)
     head = head.agg(F.sort_array(F.collect_list("track_id")).alias("head"))

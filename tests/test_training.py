@@ -1,8 +1,11 @@
+import hashlib
 import math
+import random
+from fractions import Fraction
 
 import pytest
 
-from cadenza.operators import training
+from cadenza.operators import features, training
 from cadenza.plans import registry
 
 HARD = "session_id long, t int, candidate long"
@@ -62,3 +65,39 @@ def test_losses_read_the_plays_twice(spark):
     """Once for the contexts, once for the edges: no context is joined with its own rows."""
     plan = registry.queries()["losses_bce_bpr"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 2
+
+
+def test_places_of_weights_are_exact_and_the_same_however_rows_are_dealt(spark):
+    """Sums of doubles depend on the order of the rows; a draw between two of their results goes to another track."""
+    rng = random.Random(8)
+    counts = [(t, rng.randint(1, 60)) for t in range(9_000)]
+    frame = spark.createDataFrame(counts, "track_id long, track_count long")
+    seen = []
+    for parts in (1, 3, 7):
+        weights = features.negative_weights(frame, frame.repartition(parts)).repartition(parts)
+        spans = training._spans(weights, 64).select("candidate", "from", "to").distinct().collect()
+        seen.append(sorted((r.candidate, r["from"], r["to"]) for r in spans))
+        exact, low = {r.track_id: Fraction(r.weight) for r in weights.collect()}, Fraction(0)
+        for t, start, end in seen[-1]:
+            assert abs(start - float(low)) <= math.ulp(start) and abs(end - float(low + exact[t])) <= math.ulp(end)
+            low += exact[t]
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_few_draws_are_made_at_first_and_the_result_is_that_of_all(spark):
+    """Contexts that are short after the first draws go on with the same tries, so the order of the tries decides as before."""
+    found = spark.createDataFrame([(s, t, 10, s % 4) for s in range(40) for t in range(2)], "session_id long, t int, last long, anchor long")
+    weights = spark.createDataFrame([(k, w) for k, w in enumerate((0.4, 0.3, 0.1, 0.1, 0.06, 0.04))], "track_id long, weight double")
+    got = {}
+    for r in training.random_negatives(found, weights, n=3).orderBy("session_id", "t", "rank").collect():
+        got.setdefault((r.session_id, r.t), []).append(r.candidate)
+    bounds = [0.0, 0.4, 0.7, 0.8, 0.9, 0.96, 1.0]
+    for s in range(40):
+        for t in range(2):
+            want = []
+            for k in range(1, 601):
+                u = int(hashlib.md5(f"{s}:{t}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+                c = max(i for i in range(6) if bounds[i] <= u)
+                if c != s % 4 and c not in want and len(want) < 3:
+                    want.append(c)
+            assert got[s, t] == want
